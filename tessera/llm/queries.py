@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, token_planes
+from tessera.llm import mixing, simhash, token_planes
 from tessera.session import scratch_dir, table
 
 
@@ -19,6 +19,12 @@ def op1_bit_planes(spark, sf_dir):
     return token_planes.digest(spark, path)
 
 
+def op7_simhash_anchors(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    g = simhash.group(table(spark, sf_dir, "documents"))
+    return g.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_mix_sources(spark, sf_dir):
     """Words that the mix of all sources takes from each document."""
     c = mixing.copies(table(spark, sf_dir, "documents"))
@@ -49,5 +55,9 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op1_bit_planes": op1_bit_planes, "op8_mix_sources": op8_mix_sources}
+QUERIES = {
+    "op1_bit_planes": op1_bit_planes,
+    "op7_simhash_anchors": op7_simhash_anchors,
+    "op8_mix_sources": op8_mix_sources,
+}
 ORACLES = {"op8_mix_sources": OP8_SQL}
