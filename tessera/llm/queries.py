@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, simhash, token_planes
+from tessera.llm import decontaminate, mixing, simhash, token_planes
 from tessera.session import scratch_dir, table
 
 
@@ -31,6 +31,11 @@ def op8_mix_sources(spark, sf_dir):
     return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    """Each document with each benchmark item that it holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -59,5 +64,6 @@ QUERIES = {
     "op1_bit_planes": op1_bit_planes,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_mix_sources": op8_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op8_mix_sources": OP8_SQL}
