@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, simhash, token_planes
+from tessera.llm import decontaminate, langid, mixing, nbsvm, simhash, token_planes
 from tessera.session import scratch_dir, table
 
 
@@ -19,6 +19,20 @@ def op1_bit_planes(spark, sf_dir):
     return token_planes.digest(spark, path)
 
 
+def op4_string_kernels(spark, sf_dir):
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    p = langid.predict(docs, langid.fit(docs, held_out=langid.held_out(F.col("k"))))
+    return p.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_nbsvm_quality(spark, sf_dir):
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    s = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels"), held_out=nbsvm.held_out(F.col("k"))))
+    return s.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_simhash_anchors(spark, sf_dir):
     """Fingerprint and component of every document."""
     g = simhash.group(table(spark, sf_dir, "documents"))
@@ -62,6 +76,8 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 
 QUERIES = {
     "op1_bit_planes": op1_bit_planes,
+    "op4_string_kernels": op4_string_kernels,
+    "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_mix_sources": op8_mix_sources,
     "op10_decontaminate": op10_decontaminate,
