@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, mixing, nbsvm, simhash, token_planes
+from tessera.llm import decontaminate, langid, mixing, nbsvm, simhash, token_planes, topk
 from tessera.session import scratch_dir, table
 
 
@@ -45,6 +45,11 @@ def op8_mix_sources(spark, sf_dir):
     return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op9_exact_topk(spark, sf_dir):
+    """The five best vectors for every vector whose id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_decontaminate(spark, sf_dir):
     """Each document with each benchmark item that it holds."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -74,12 +79,24 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+OP9_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+WINDOW w AS (PARTITION BY q.r ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
 QUERIES = {
     "op1_bit_planes": op1_bit_planes,
     "op4_string_kernels": op4_string_kernels,
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_mix_sources": op8_mix_sources,
+    "op9_exact_topk": op9_exact_topk,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op8_mix_sources": OP8_SQL}
+ORACLES = {"op8_mix_sources": OP8_SQL, "op9_exact_topk": OP9_SQL}
