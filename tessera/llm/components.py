@@ -26,17 +26,18 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one link at most to a lesser one, and that one none."""
+    n = e.agg(F.count("*"), F.count_distinct("b")).first()
+    return n[0] == n[1] and e.select("a").join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of the links a, b.
 
     Rounds grow with the logarithm of the longest chain of links. Loops are ignored, no links give no rows.
     """
     e = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == state:
-            break
-        state = now
+    while not _stars(e):
         e = checkpointed(_small(_large(e)))
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

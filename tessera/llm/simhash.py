@@ -179,7 +179,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Links a < b between distinct fingerprints (column fp), enough to connect all that is connected."""
     placed = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    by_anchor = placed.repartition("anchor").sortWithinPartitions("anchor")
+    by_anchor = placed.repartition("anchor").sortWithinPartitions("anchor", "fp")
     return by_anchor.mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -191,11 +191,11 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     gives no rows; further columns are ignored.
     """
     d = checkpointed(fingerprints(docs, id_col, text_col, k))
-    distinct = checkpointed(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct))
     own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpointed(own.join(least, "root").select("fp", "component_id"))
+    named = own.join(least, "root").select("fp", "component_id")
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
