@@ -17,9 +17,12 @@ No task holds more than one batch of texts and one block, however long a documen
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 #: Ids in a block.
 BLOCK = 1 << 16
-#: Pieces whose ids a Python worker remembers; the table is emptied when it is full.
-CACHE = 300_000
+#: Pieces whose ids a Python worker remembers, in each of two tables.
+CACHE = 400_000
 #: Shard tables up to this many rows are broadcast.
 BROADCAST_SHARDS = 100_000
 #: Level of zstandard.
@@ -50,46 +53,83 @@ class Encoder:
     """Whole texts to little-endian 32-bit ids with the tokenizers library.
 
     A byte-level tokenizer with its usual pattern and no normaliser always starts a new piece at a space
-    before a character that is not white space. Texts are cut there, and the ids of each distinct piece
-    are taken from the library once. Any other tokenizer gets whole texts.
+    before a character that is not white space, and at punctuation after a letter. Texts are cut at such
+    places, and the ids of each distinct piece are taken from the library once; of two tables of pieces,
+    the older goes when the younger is full. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, definition: str, cache: int = CACHE):
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_str(definition), cache, {}
+        self.tokenizer, self.limit = Tokenizer.from_str(definition), cache
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         j = json.loads(definition)
-        pre = j.get("pre_tokenizer") or {}
+        pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens", [])
+        self.added = [t["content"] for t in added]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer")
         plain = plain and not j.get("truncation") and not j.get("padding") and not j["model"].get("dropout") and j["model"].get("type") == "BPE"
-        self.cut = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in j.get("added_tokens", []))
+        self.cut = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
 
     _odd = re.compile(r" (?:\s|\Z)")
     _gap = re.compile(r" (?=\S)")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """As _ids, by one call of the library for all the pieces."""
+        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids, ends = array("I", e.ids).tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _bare(self, word: str) -> tuple[str, str]:
+        """A word and the punctuation at its end, if that is a piece of its own."""
+        w = word.rstrip(string.punctuation)
+        return (w, word[len(w) :]) if w and w != word and w[-1].isalpha() and not any(t in word for t in self.added) else (word, "")
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of words, each with a space before it, into the young table."""
+        young, old, marks = self.young, self.old, self.marks
+        young.update((w, old[w]) for w in words if w in old)
+        parts = {w: self._bare(w) for w in words if w not in old}
+        new = list({b for b, _ in parts.values() if b not in young})
+        young.update((b, old[b]) for b in new if b in old)
+        new = [b for b in new if b not in old]
+        young.update(zip(new, self._ids_of_pieces([f" {b}" for b in new]), strict=True))
+        if len(marks) > self.limit:
+            marks.clear()
+        ends = list({m for _, m in parts.values() if m and m not in marks})
+        marks.update(zip(ends, self._ids_of_pieces(ends), strict=True))
+        young.update((w, young[b] + marks[m]) for w, (b, m) in parts.items() if m)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
             return self._ids(texts)
-        known, cut = self.known, []
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        heads, tails = [], []
         for t in texts:
             head, *rest = self._gap.split(t) if self._odd.search(t) else t.split(" ")
-            cut.append((head, rest))
-        new = {x for _, rest in cut for x in rest}.difference(known)
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = {x for _, rest in cut for x in rest}
-        if new:
-            new = list(new)
-            known.update(zip(new, self._ids([f" {x}" for x in new]), strict=True))
-        heads = self._ids([h for h, _ in cut])
-        get = known.__getitem__
-        return [h + b"".join(map(get, rest)) for h, (_, rest) in zip(heads, cut, strict=True)]
+            heads.append(head)
+            tails.append(rest)
+        if missing := set().union(*tails).difference(self.young):
+            self._learn(missing)
+        get = self.young.__getitem__
+        return [h + b"".join(map(get, rest)) for h, rest in zip(self._ids(heads), tails, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """This worker's encoder; its tables outlive a task."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = Encoder(definition)
+    return _encoders[definition]
 
 
 def to_planes(block: bytes, level: int = LEVEL) -> list[bytes]:
@@ -113,7 +153,7 @@ def _writer(definition: str, end_id: int, block: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), Encoder(definition)
+        shard, encoder = TaskContext.get().partitionId(), encoder_of(definition)
         buf, parts, first, chunk, ordinal = bytearray(), [], 0, 0, 0
 
         def flush(data: bytes, own: list) -> pa.RecordBatch:

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from tessera.llm import token_planes as tp
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", "a b  c", " lead", "x\n y\t z", "a  b", "tail ", "  ", "don't stop 'til 99 %% <|endoftext|> end<|endoftext|>", "é  ü \x1c q", "a \n  b   c", "word " * 3000]
+TEXTS = ["", "a b  c", " lead", "x\n y\t z", "a  b", "tail ", "  ", "don't stop 'til 99 %% <|endoftext|> end<|endoftext|>", "é  ü \x1c q", "a \n  b   c", "word " * 3000, "it's, x.. é!? 12%, a_b_ n̈. 'll'; foo<|endoftext|>. ab<|endoftext|> ñ***"]
 
 
 def brute(rows):
