@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, mixing, nbsvm, simhash, token_planes, topk
+from tessera.llm import decontaminate, langid, lm, mixing, nbsvm, simhash, token_planes, topk
 from tessera.session import scratch_dir, table
 
 
@@ -19,6 +19,12 @@ def op1_bit_planes(spark, sf_dir):
     return token_planes.digest(spark, path)
 
 
+def op3_recurrent_lm(spark, sf_dir):
+    """Log-likelihood of every document under the recurrent model and under the word counts."""
+    s = lm.score(table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
+    return s.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_string_kernels(spark, sf_dir):
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +98,7 @@ QUALIFY row_number() OVER w <= 5
 
 QUERIES = {
     "op1_bit_planes": op1_bit_planes,
+    "op3_recurrent_lm": op3_recurrent_lm,
     "op4_string_kernels": op4_string_kernels,
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_simhash_anchors": op7_simhash_anchors,
