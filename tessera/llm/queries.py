@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, lm, mixing, nbsvm, simhash, token_planes, topk
+from tessera.llm import decontaminate, langid, licences, lm, mixing, nbsvm, simhash, token_planes, toolcalls, topk
 from tessera.session import scratch_dir, table
 
 
@@ -19,6 +19,11 @@ def op1_bit_planes(spark, sf_dir):
     return token_planes.digest(spark, path)
 
 
+def op2_tool_calls(spark, sf_dir):
+    """Every call of the conversations with its result, and every other message, as canonical JSON."""
+    return toolcalls.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_recurrent_lm(spark, sf_dir):
     """Log-likelihood of every document under the recurrent model and under the word counts."""
     s = lm.score(table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
@@ -32,6 +37,11 @@ def op4_string_kernels(spark, sf_dir):
     return p.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_licence_digests(spark, sf_dir):
+    """Canonical digest, licence and licence notices of every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_nbsvm_quality(spark, sf_dir):
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -96,14 +106,51 @@ WINDOW w AS (PARTITION BY q.r ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id
 QUALIFY row_number() OVER w <= 5
 """
 
+OP2_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, CAST(to_json(text) AS VARCHAR) AS text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
+  FROM conversations
+), s AS (
+  SELECT call_id, count(*) FILTER (kind = 'call') AS n_calls, count(*) FILTER (kind = 'result') AS n_results,
+    min({'turn': turn, 'content': text}) FILTER (kind = 'result') AS r
+  FROM m WHERE call_id IS NOT NULL GROUP BY call_id
+)
+SELECT conv_id, turn, 0::INTEGER AS pos, kind, m.call_id, 0::INTEGER AS level,
+  CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'result' THEN 'orphan' WHEN n_calls > 1 THEN 'ambiguous' WHEN n_results = 0 THEN 'pending' ELSE 'linked' END AS status,
+  CASE WHEN kind = 'call' THEN n_results ELSE 0 END::BIGINT AS n_results,
+  CASE WHEN kind = 'call' THEN '{"arguments":{"text":' || text || '},"errors":[],"id":"' || m.call_id || '","level":0,"name":"reply","result":' || coalesce(r.content, 'null') || '}'
+    ELSE '{"content":' || text || ',"id":' || coalesce('"' || m.call_id || '"', 'null') || ',"role":"' || CASE WHEN kind = 'result' THEN 'result' ELSE role END || '"}' END AS json
+FROM m LEFT JOIN s ON m.call_id = s.call_id
+WHERE kind <> 'result' OR n_calls = 0
+"""
+
+_KNOWN = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in row)) for row in licences.TEXTS + licences.NOTICES)
+_LINES = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in row)) for row in licences.NOTICES)
+OP5_SQL = f"""
+WITH k AS (SELECT sha256({licences.duckdb_canonical("t")}) AS digest, min(licence) AS licence FROM (VALUES {_KNOWN}) v(licence, t) GROUP BY 1
+), n AS (SELECT sha256({licences.duckdb_canonical("t")}) AS digest, min(licence) AS notice FROM (VALUES {_LINES}) v(licence, t) GROUP BY 1
+), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
+), f AS (
+  SELECT r, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n_notices
+  FROM l JOIN n ON sha256({licences.duckdb_canonical("line")}) = n.digest GROUP BY r
+)
+SELECT d.doc_id, sha256({licences.duckdb_canonical("d.text")}) AS digest, k.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
+FROM d LEFT JOIN f ON d.r = f.r LEFT JOIN k ON sha256({licences.duckdb_canonical("d.text")}) = k.digest
+"""
+
 QUERIES = {
     "op1_bit_planes": op1_bit_planes,
+    "op2_tool_calls": op2_tool_calls,
     "op3_recurrent_lm": op3_recurrent_lm,
     "op4_string_kernels": op4_string_kernels,
+    "op5_licence_digests": op5_licence_digests,
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_mix_sources": op8_mix_sources,
     "op9_exact_topk": op9_exact_topk,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES = {"op8_mix_sources": OP8_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op2_tool_calls": OP2_SQL, "op5_licence_digests": OP5_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_topk": OP9_SQL}
