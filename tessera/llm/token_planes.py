@@ -49,13 +49,16 @@ _ARROW = pa.schema(
 )
 
 
+_MARKS = string.punctuation
+
+
 class Encoder:
     """Whole texts to little-endian 32-bit ids with the tokenizers library.
 
     A byte-level tokenizer with its usual pattern and no normaliser always starts a new piece at a space
     before a character that is not white space, and at punctuation after a letter. Texts are cut at such
-    places, and the ids of each distinct piece are taken from the library once; of two tables of pieces,
-    the older goes when the younger is full. Any other tokenizer gets whole texts.
+    places, and the ids of pieces met before are remembered; of two tables of pieces, the older goes when
+    the younger is full. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, definition: str, cache: int = CACHE):
@@ -66,9 +69,11 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.met = bytearray(1 << 23)  # by hash, which words were met before
+        self.marked = 0
         j = json.loads(definition)
         pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens", [])
-        self.added = [t["content"] for t in added]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer")
         plain = plain and not j.get("truncation") and not j.get("padding") and not j["model"].get("dropout") and j["model"].get("type") == "BPE"
         self.cut = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
@@ -85,25 +90,50 @@ class Encoder:
         ids, ends = array("I", e.ids).tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _bare(self, word: str) -> tuple[str, str]:
-        """A word and the punctuation at its end, if that is a piece of its own."""
-        w = word.rstrip(string.punctuation)
-        return (w, word[len(w) :]) if w and w != word and w[-1].isalpha() and not any(t in word for t in self.added) else (word, "")
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of words, each with a space before it, into the young table."""
-        young, old, marks = self.young, self.old, self.marks
-        young.update((w, old[w]) for w in words if w in old)
-        parts = {w: self._bare(w) for w in words if w not in old}
-        new = list({b for b, _ in parts.values() if b not in young})
-        young.update((b, old[b]) for b in new if b in old)
-        new = [b for b in new if b not in old]
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put the ids of words, each with a space before it, into the young table.
+
+        Returns those met for the first time, which need not stay there.
+        """
+        young, old, marks, whole, cut = self.young, self.old, self.marks, set(), []
+        for w in words:
+            got = old.get(w)
+            if got is not None:
+                young[w] = got
+                continue
+            b = w.rstrip(_MARKS)
+            n = len(b)
+            # punctuation at the end is a piece of its own after a letter
+            if 0 < n < len(w) and b[-1].isalpha() and not (self.special and self.special.search(w)):
+                cut.append((w, b, w[n:]))
+            else:
+                whole.add(w)
+        for _, b, _ in cut:
+            if b not in young:
+                got = old.get(b)
+                if got is None:
+                    whole.add(b)
+                else:
+                    young[b] = got
+        new = list(whole)
         young.update(zip(new, self._ids_of_pieces([f" {b}" for b in new]), strict=True))
         if len(marks) > self.limit:
             marks.clear()
-        ends = list({m for _, m in parts.values() if m and m not in marks})
+        ends = list({m for _, _, m in cut}.difference(marks))
         marks.update(zip(ends, self._ids_of_pieces(ends), strict=True))
-        young.update((w, young[b] + marks[m]) for w, (b, m) in parts.items() if m)
+        for w, b, m in cut:
+            young[w] = young[b] + marks[m]
+            whole.add(w)
+        met, once, low = self.met, [], len(self.met) - 1
+        for w in whole:
+            k = hash(w) & low
+            if not met[k]:
+                met[k] = 1
+                once.append(w)
+        self.marked += len(once)
+        if self.marked > len(met) // 4:
+            self.met, self.marked = bytearray(len(met)), 0
+        return once
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
@@ -115,10 +145,13 @@ class Encoder:
             head, *rest = self._gap.split(t) if self._odd.search(t) else t.split(" ")
             heads.append(head)
             tails.append(rest)
-        if missing := set().union(*tails).difference(self.young):
-            self._learn(missing)
+        missing = set().union(*tails).difference(self.young)
+        once = self._learn(missing) if missing else []
         get = self.young.__getitem__
-        return [h + b"".join(map(get, rest)) for h, rest in zip(self._ids(heads), tails, strict=True)]
+        out = [h + b"".join(map(get, rest)) for h, rest in zip(self._ids(heads), tails, strict=True)]
+        for w in once:
+            del self.young[w]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -272,12 +305,18 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("part", "n", "crc"))).alias("segments")
     )
 
-    @F.pandas_udf("long")
-    def joined(s):
-        import functools
-
-        return s.map(lambda x: functools.reduce(lambda a, y: (crc_join(a[0], y["crc"], 4 * y["n"]),), x[1:], (x[0]["crc"],))[0])
-
+    def joined(batches):
+        for b in batches:
+            parts, sizes = b.column(4), b.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            n, crc = (parts.flatten().field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            first = np.cumsum(sizes) - sizes
+            out = crc[first] if len(first) else crc
+            for i in np.flatnonzero(sizes > 1).tolist():
+                for j in range(first[i] + 1, first[i] + sizes[i]):
+                    out[i] = crc_join(int(out[i]), int(crc[j]), 4 * int(n[j]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out)], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    docs = whole.select("shard", "doc_id", "at", "n_tokens", "segments").mapInArrow(joined, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     offsets = spark.read.parquet(f"{path}/index").filter("chunk = 0").select("shard", "start")
     offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_SHARDS else offsets
-    return whole.join(offsets, "shard").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", joined("segments").alias("ids_crc32"))
+    return docs.join(offsets, "shard").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
