@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges that an order is cut into.
-RANGES = 64
+RANGES = 48
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, exclusive: bool = False) -> DataFrame:
@@ -17,9 +17,9 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     be unique within the keys.
     """
     cuts = sorted({float(x) for x in df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.002)})
-    part = F.lit(0)
-    if cuts:
-        part = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda s, c: s + (F.col(order).cast("double") > c).cast("int"))
+    part = F.lit(len(cuts))
+    for k in range(len(cuts) - 1, -1, -1):
+        part = F.when(F.col(order).cast("double") <= cuts[k], k).otherwise(part)
     d = df.withColumn("__part", part)
     direction = F.col("__part").desc() if descending else F.col("__part").asc()
     totals = d.groupBy(*keys, "__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])

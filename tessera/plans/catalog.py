@@ -1,3 +1,5 @@
 """Imports every module of queries."""
 
 from tessera.plans import relational  # noqa: F401
+from tessera.plans import evaluation  # noqa: F401
+from tessera.plans import patches  # noqa: F401
