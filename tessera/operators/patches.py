@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 # Residual kernels and gradient kernels.
-EDGE3 = ((-1 / 4, 2 / 4, -1 / 4), (2 / 4, -4 / 4, 2 / 4), (0.0, 0.0, 0.0))
-SQUARE3 = ((-1 / 4, 2 / 4, -1 / 4), (2 / 4, -4 / 4, 2 / 4), (-1 / 4, 2 / 4, -1 / 4))
-SQUARE5 = ((-1 / 12, 2 / 12, -2 / 12, 2 / 12, -1 / 12), (2 / 12, -6 / 12, 8 / 12, -6 / 12, 2 / 12), (-2 / 12, 8 / 12, -12 / 12, 8 / 12, -2 / 12), (2 / 12, -6 / 12, 8 / 12, -6 / 12, 2 / 12), (-1 / 12, 2 / 12, -2 / 12, 2 / 12, -1 / 12))
+EDGE3 = ((0.0, -1.0, 0.0), (-1.0, 4.0, -1.0), (0.0, -1.0, 0.0))
+SQUARE3 = ((-1.0, 2.0, -1.0), (2.0, -4.0, 2.0), (-1.0, 2.0, -1.0))
+SQUARE5 = ((0.0, 0.0, 0.25, 0.0, 0.0), (0.0, 0.0, -0.5, 0.0, 0.0), (0.25, -0.5, 1.0, -0.5, 0.25), (0.0, 0.0, -0.5, 0.0, 0.0), (0.0, 0.0, 0.25, 0.0, 0.0))
 SOBEL_X = ((-1.0, 0.0, 1.0), (-2.0, 0.0, 2.0), (-1.0, 0.0, 1.0))
 SOBEL_Y = ((-1.0, -2.0, -1.0), (0.0, 0.0, 0.0), (1.0, 2.0, 1.0))
 
