@@ -3,3 +3,4 @@
 from tessera.plans import relational  # noqa: F401
 from tessera.plans import evaluation  # noqa: F401
 from tessera.plans import patches  # noqa: F401
+from tessera.plans import extras  # noqa: F401

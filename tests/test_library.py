@@ -133,3 +133,27 @@ def test_stream(spark, tmp_path):
     q = routed_stream(spark, src, "id int, p double", "p", 0.5).writeStream.format("memory").queryName("routed").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["id"], r["route"]["level"]) for r in spark.table("routed").collect()} == {(1, "LOW"), (2, "HIGH")}
+
+
+def test_d_prime(spark):
+    from tessera.plans.extras import d_prime, tpr_at_fpr5
+
+    df = spark.createDataFrame([(0.5,), (0.921350396474857,)], "a double")
+    got = df.select(d_prime(F.col("a")), tpr_at_fpr5(F.col("a"))).collect()
+    assert got[0][0] == pytest.approx(0) and got[0][1] == pytest.approx(0.05) and got[1][0] == pytest.approx(2, abs=1e-6)
+
+
+def test_fisher_distance(spark):
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.standard_normal((400, 3)), rng.standard_normal((400, 3)) + [1, 0, 0]]
+    df = spark.createDataFrame([(int(i >= 400), *map(float, r)) for i, r in enumerate(x)], "y int, a double, b double, c double")
+    assert M.fisher_distance(df, "y", ["a", "b", "c"]) == pytest.approx(1.0, abs=0.25)
+
+
+def test_markdown(spark, tmp_path):
+    from tessera.operators.report import markdown, write_tables
+
+    df = spark.createDataFrame([("a|b", 0.5), (None, 1.0)], "k string, v double")
+    assert markdown(df, 10).splitlines() == ["| k | v |", "|-|-|", "| a\\|b | 0.5 |", "|  | 1.0 |"]
+    write_tables({"t": df}, str(tmp_path), "both")
+    assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 2 and spark.read.option("header", True).csv(f"{tmp_path}/t.csv").count() == 2
