@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that an order is cut into.
-RANGES = 48
+#: Ranges that an order is cut into, and rows up to which one window per key is enough.
+RANGES, ONE_WINDOW = 48, 1_000_000
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, exclusive: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False, exclusive: bool = False, one_window: int | None = None) -> DataFrame:
     """``df`` with ``cum_<value>`` along ``order`` within ``keys``.
 
-    The order is cut at approximate quantiles into ranges. Sums run within a range, and the totals of the
+    One aggregate gives the number of rows and approximate quantiles. Up to ``one_window`` rows a window per
+    key does. Beyond it the order is cut at the quantiles: sums run within a range, and the totals of the
     ranges before are joined on, so a key that holds most rows is spread over as many tasks. ``order`` must
     be unique within the keys.
     """
-    cuts = sorted({float(x) for x in df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.002)})
-    part = F.lit(len(cuts))
-    for k in range(len(cuts) - 1, -1, -1):
-        part = F.when(F.col(order).cast("double") <= cuts[k], k).otherwise(part)
-    d = df.withColumn("__part", part)
-    direction = F.col("__part").desc() if descending else F.col("__part").asc()
+    x = F.col(order).cast("double")
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(x, [k / RANGES for k in range(1, RANGES)], 1000)).first()
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    last = -1 if exclusive else 0
+    if n <= (ONE_WINDOW if one_window is None else one_window):
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, last)
+        return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"cum_{v}") for v in values])
+    part = None
+    for k, c in enumerate(sorted(set(cuts))):
+        part = F.when(x <= c, k) if part is None else part.when(x <= c, k)
+    d = df.withColumn("__part", part.otherwise(RANGES))
     totals = d.groupBy(*keys, "__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    before = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("__part").desc() if descending else F.col("__part").asc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     totals = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__b_{v}") for v in values])
-    inner = Window.partitionBy(*keys, "__part").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    inner = Window.partitionBy(*keys, "__part").orderBy(by).rowsBetween(Window.unboundedPreceding, last)
     d = d.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"__i_{v}") for v in values])
     out = d.alias("d").join(totals.alias("t"), [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "__part"]])
     return out.select("d.*", *[(F.col(f"__i_{v}") + F.col(f"__b_{v}")).alias(f"cum_{v}") for v in values]).drop("__part", *[f"__i_{v}" for v in values])

@@ -41,8 +41,10 @@ def test_running_sums_with_a_hot_key(spark):
     rows = [("a", float(i), i % 7) for i in range(500)] + [("b", float(i), 1) for i in range(3)]
     df = spark.createDataFrame(rows, "k string, x double, v long").repartition(5)
     for down in (False, True):
-        for r in running_sums(df, ["k"], "x", ["v"], descending=down).collect():
-            assert r["cum_v"] == sum(v for k, x, v in rows if k == r["k"] and (x >= r["x"] if down else x <= r["x"]))
+        for most in (0, 10**6):
+            for r in running_sums(df, ["k"], "x", ["v"], descending=down, one_window=most).collect():
+                assert r["cum_v"] == sum(v for k, x, v in rows if k == r["k"] and (x >= r["x"] if down else x <= r["x"]))
+    assert running_sums(df.limit(0), ["k"], "x", ["v"]).count() == 0
 
 
 def test_auc_rules(spark):
