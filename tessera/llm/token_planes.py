@@ -17,6 +17,7 @@ No task holds more than one batch of texts and one block, however long a documen
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -52,6 +53,16 @@ _ARROW = pa.schema(
 _MARKS = string.punctuation
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: its own where that prints, else the next from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """Whole texts to little-endian 32-bit ids with the tokenizers library.
 
@@ -76,6 +87,9 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer")
         plain = plain and not j.get("truncation") and not j.get("padding") and not j["model"].get("dropout") and j["model"].get("type") == "BPE"
+        # a space and letters are one piece, so the model can take them without the pattern
+        j |= {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(j)) if plain and not any(t["content"].isalpha() for t in added) else None
         self.cut = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
 
     _odd = re.compile(r" (?:\s|\Z)")
@@ -84,9 +98,11 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _ids_of_pieces(self, pieces: list[str], tokenizer=None) -> list[bytes]:
         """As _ids, by one call of the library for all the pieces."""
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        if not pieces:
+            return []
+        e = (tokenizer or self.tokenizer).encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids, ends = array("I", e.ids).tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -115,8 +131,10 @@ class Encoder:
                     whole.add(b)
                 else:
                     young[b] = got
-        new = list(whole)
-        young.update(zip(new, self._ids_of_pieces([f" {b}" for b in new]), strict=True))
+        letters = [w for w in whole if w.isalpha()] if self.model else []
+        rest = list(whole.difference(letters))
+        young.update(zip(letters, self._ids_of_pieces([f" {b}".encode().decode("latin-1").translate(_BYTES) for b in letters], self.model), strict=True))
+        young.update(zip(rest, self._ids_of_pieces([f" {b}" for b in rest]), strict=True))
         if len(marks) > self.limit:
             marks.clear()
         ends = list({m for _, _, m in cut}.difference(marks))
@@ -140,17 +158,25 @@ class Encoder:
             return self._ids(texts)
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        heads, tails = [], []
+        heads, tails, open_, missing = [], [], [], set()
+        get = self.young.get
         for t in texts:
             head, *rest = self._gap.split(t) if self._odd.search(t) else t.split(" ")
+            coded = list(map(get, rest))
+            if None in coded:
+                holes = [(i, rest[i]) for i, x in enumerate(coded) if x is None]
+                open_.append((coded, holes))
+                missing.update(w for _, w in holes)
             heads.append(head)
-            tails.append(rest)
-        missing = set().union(*tails).difference(self.young)
+            tails.append(coded)
         once = self._learn(missing) if missing else []
-        get = self.young.__getitem__
-        out = [h + b"".join(map(get, rest)) for h, rest in zip(self._ids(heads), tails, strict=True)]
+        young = self.young
+        for coded, holes in open_:
+            for i, w in holes:
+                coded[i] = young[w]
+        out = [h + b"".join(coded) for h, coded in zip(self._ids(heads), tails, strict=True)]
         for w in once:
-            del self.young[w]
+            del young[w]
         return out
 
 
@@ -195,6 +221,7 @@ def _writer(definition: str, end_id: int, block: int, level: int):
             row = [[shard], [chunk], [first], [len(data) // 4], [o], [d], [n], [p], [planes], [[len(x) for x in planes]]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
+        gc.disable()  # no cycles arise, and the tables of pieces are slow to walk
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(ids), 256):
@@ -211,6 +238,7 @@ def _writer(definition: str, end_id: int, block: int, level: int):
                     ordinal += 1
         if buf:
             yield flush(bytes(buf), parts)
+        gc.enable()
 
     return run
 
