@@ -132,7 +132,7 @@ def _stretches(shared):
                 words = words_of(t.as_py())
                 n = len(words) + 1
                 take = min(n, max(LEAST, n // STRETCH))
-                key = zlib.crc32(b" ".join(words[:50])) * 2654435761 + n & 0x7FFFFFFF
+                key = zlib.crc32(b" ".join(words)) * 2654435761 + n & 0x7FFFFFFF
                 a = key % (n - take + 1)
                 part = words[a : a + take]
                 tokens = v.read(part)[0]

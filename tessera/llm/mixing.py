@@ -78,7 +78,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """``docs`` with every row repeated as often as the mix takes it; columns stay as they are.
 
     The rate depends on the source alone and the extra copy on key and rate, so rows meet their source's
-    rate in one broadcast join and no text is shuffled.
+    rate in one broadcast join and no text is shuffled. Nulls, repeated rows and empty tables are as in
+    ``copies``; sources without words are left out.
     """
     sizes = checkpointed(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     t = checkpointed(targets(sizes, weights, max_rate)).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
