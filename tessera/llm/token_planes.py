@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 #: Pieces whose ids a Python worker remembers, in each of two tables.
 CACHE = 400_000
+#: Texts encoded together; a piece new to them is asked for once.
+TEXTS = 1_536
 #: Shard tables up to this many rows are broadcast.
 BROADCAST_SHARDS = 100_000
 #: Level of zstandard.
@@ -224,8 +226,8 @@ def _writer(definition: str, end_id: int, block: int, level: int):
         gc.disable()  # no cycles arise, and the tables of pieces are slow to walk
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, coded in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, len(ids), TEXTS):
+                for doc, coded in zip(ids[at : at + TEXTS], encoder.encode(texts[at : at + TEXTS]), strict=True):
                     data, part = memoryview(coded + end), 0
                     while len(data):
                         take = data[: 4 * block - len(buf)]
