@@ -182,15 +182,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder_of(definition: str) -> Encoder:
+def encoder_of(definition: str, cache: int) -> Encoder:
     """This worker's encoder; its tables outlive a task."""
-    if definition not in _encoders:
+    if (definition, cache) not in _encoders:
         _encoders.clear()
-        _encoders[definition] = Encoder(definition)
-    return _encoders[definition]
+        _encoders[definition, cache] = Encoder(definition, cache)
+    return _encoders[definition, cache]
 
 
 def to_planes(block: bytes, level: int = LEVEL) -> list[bytes]:
@@ -208,13 +208,13 @@ def from_planes(planes: list[bytes], n: int) -> bytes:
     return flat.tobytes()
 
 
-def _writer(definition: str, end_id: int, block: int, level: int):
+def _writer(definition: str, end_id: int, block: int, level: int, cache: int, together: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), encoder_of(definition)
+        shard, encoder = TaskContext.get().partitionId(), encoder_of(definition, cache)
         buf, parts, first, chunk, ordinal = bytearray(), [], 0, 0, 0
 
         def flush(data: bytes, own: list) -> pa.RecordBatch:
@@ -226,8 +226,8 @@ def _writer(definition: str, end_id: int, block: int, level: int):
         gc.disable()  # no cycles arise, and the tables of pieces are slow to walk
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), TEXTS):
-                for doc, coded in zip(ids[at : at + TEXTS], encoder.encode(texts[at : at + TEXTS]), strict=True):
+            for at in range(0, len(ids), together):
+                for doc, coded in zip(ids[at : at + together], encoder.encode(texts[at : at + together]), strict=True):
                     data, part = memoryview(coded + end), 0
                     while len(data):
                         take = data[: 4 * block - len(buf)]
@@ -245,19 +245,20 @@ def _writer(definition: str, end_id: int, block: int, level: int):
     return run
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, level: int = LEVEL) -> None:
+def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, level: int = LEVEL, cache: int = CACHE, together: int = TEXTS) -> None:
     """Write the ids of ``docs`` in ascending order of key below ``path`` (any Hadoop path).
 
     ``tokenizer`` is the path of a tokenizers JSON file; its content goes to the executors. Every text,
     null counting as empty, is followed by ``end_id``. Ties in the key are ordered by a hash of the text,
-    null keys come first, repeated rows are written each, an empty table gives empty tables.
+    null keys come first, repeated rows are written each, an empty table gives empty tables. ``cache`` and
+    ``together`` trade a worker's memory for time and change no file.
     """
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = d.mapInArrow(_writer(definition, end_id, block, level), CHUNKS)
+    chunks = d.mapInArrow(_writer(definition, end_id, block, level, cache, together), CHUNKS)
     chunks.write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
     spark = docs.sparkSession
     c = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "first", "n_ids", "plane_bytes")
