@@ -37,7 +37,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{scratch_dir(spark)}/token-planes/{uuid.uuid4().hex}"
-    token_planes.write(docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    # workers also hold what earlier stages left, so they remember fewer pieces here
+    token_planes.write(docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0, cache=200_000, together=256)
     return token_planes.digest(spark, path)
 
 
