@@ -4,9 +4,9 @@
 2. The ``HEAD`` most frequent tokens, the end among them, are outputs of their own, in classes of similar
    mass. Every other word belongs to one of ``TAIL`` classes by its last three bytes, and within it has
    the add-one share (c + 1) / (N_j + V_j + 1); the class's last share is for words never seen.
-3. The recurrent model (``gru``) learns from every training document a stretch of one part in
-   ``STRETCH`` of its tokens (``LEAST`` at least) at a hashed place, the same share at every size. In each of
-   ``ROUNDS`` rounds tasks train copies on their part, and the copies are averaged by tokens seen.
+3. The recurrent model (``gru``) learns from all tokens of every training document, with its state carried
+   over the document's windows. Each document belongs to one of ``ROUNDS`` rounds; in each round tasks
+   train copies on their part, and the copies are averaged by tokens seen.
 4. One pass reads each whole text with its state carried over all windows. Counts of the most frequent
    words (``TABLE`` at most) lie in the workers; the document's other words are summed by word and joined
    to the counts, so the table of all words is never broadcast.
@@ -28,7 +28,8 @@ from tessera.llm import gru
 from tessera.llm.common import checkpointed, fold
 
 HEAD, GROUPS, TAIL = 1024, 24, 72
-STRETCH, LEAST, ROUNDS, TASK_TOKENS = 16, 24, 3, 150_000
+#: Tokens of a task: many times the longest documents, so that few lanes wait for one.
+ROUNDS, TASK_TOKENS = 3, 1_000_000
 #: Words whose counts are broadcast at most.
 TABLE = 300_000
 #: Words a worker counts before it hands them on, and tokens that it scores together.
@@ -123,26 +124,22 @@ def _vocabulary(shared) -> Vocabulary:
     return _vocabularies[name]
 
 
-def _stretches(shared):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
         for b in batches:
-            keys, out = [], []
-            for t in b.column(0):
-                words = words_of(t.as_py())
-                n = len(words) + 1
-                take = min(n, max(LEAST, n // STRETCH))
-                key = zlib.crc32(b" ".join(words)) * 2654435761 + n & 0x7FFFFFFF
-                a = key % (n - take + 1)
-                part = words[a : a + take]
-                tokens = v.read(part)[0]
-                out.append((tokens if a + take == n else tokens[:-1]).astype("<u2").tobytes())
-                keys.append(key // 7)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "tokens"])
+            out = [v.read(words_of(t.as_py()))[0].astype("<u2").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "tokens"])
 
     return run
 
 
+def encoded(texts: DataFrame, vocabulary) -> DataFrame:
+    """key and tokens of each whole text, its end included; copies of a text differ in their keys."""
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    return keyed.mapInArrow(_encode(vocabulary), "key long, tokens binary")
+
+
 def _train(shared, shape, seed_round: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen, held, size = shared.value, 0, [], 0
@@ -178,10 +175,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(texts: DataFrame, vocabulary, v: Vocabulary) -> dict[str, np.ndarray]:
-    """The model's parameters from all training texts (one column)."""
+    """The model's parameters from all training texts (doc_id, text)."""
     sc = texts.sparkSession.sparkContext
     p = gru.fresh(v.shape, v.counts)
-    s = checkpointed(texts.mapInArrow(_stretches(vocabulary), "key long, tokens binary"))
+    s = checkpointed(encoded(texts, vocabulary))
     tokens = s.agg(F.sum(F.length("tokens"))).first()[0] or 0
     n = max(1, round(tokens / 2 / ROUNDS / TASK_TOKENS))
     for r in range(ROUNDS if tokens else 0):
@@ -239,8 +236,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     """
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = d.filter(~F.coalesce(held_out, F.lit(False))).select("text")
-    counts = checkpointed(count_words(texts))
+    texts = d.filter(~F.coalesce(held_out, F.lit(False)))
+    counts = checkpointed(count_words(texts.select("text")))
     n_end = texts.count()
     tail = F.crc32(F.substring("word", -3, 3)) % TAIL
     step = F.floor(F.log2("c") * STEPS)

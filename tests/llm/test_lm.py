@@ -132,3 +132,18 @@ def test_no_training_rows(spark):
     got = {r["doc_id"]: r for r in lm.score(df, F.lit(True)).collect()}
     assert got[1]["train_tokens"] == 0 and got[1]["base_score"] == 0 and got[1]["n_known"] == 0 and math.isfinite(got[1]["score"])
     assert lm.score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_learns_from_whole_texts(spark):
+    rows = [*docs(60), (7001, "b1 " * 900 + "c1"), (7002, "b1 " * 900 + "c1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = Counter(w for _, t in rows for w in lm.words_of(t))
+    tail = np.zeros((2, lm.TAIL))
+    for w, c in words.items():
+        tail[:, lm.tail_of(w)] += c, 1
+    packed = ("whole texts", b" ".join(words), np.array(list(words.values())), len(rows), *tail)
+    v = lm.Vocabulary(list(words), *packed[2:])
+    got = lm.encoded(df, spark.sparkContext.broadcast(packed)).collect()
+    want = [v.read(lm.words_of(t))[0].tolist() for _, t in rows]
+    assert sorted(np.frombuffer(r["tokens"], "<u2").tolist() for r in got) == sorted(want)
+    assert len({r["key"] for r in got}) == len(set(rows))  # copies of a text are spread over tasks
