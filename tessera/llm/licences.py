@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import licence_table
+
 # Equivalent spellings, as in the SPDX matching guidelines.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
@@ -57,6 +59,7 @@ NOTICES = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *licence_table.NOTICES,
 ]
 MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -86,7 +89,7 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
 LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
 OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""
-TEXTS = [("MIT", MIT_TEXT), ("MIT", f"MIT License\n\n{MIT_TEXT}"), ("MIT", f"The MIT License (MIT)\n\n{MIT_TEXT}"), ("ISC", ISC_TEXT), ("ISC", f"ISC License\n\n{ISC_TEXT}")]
+TEXTS = [("MIT", MIT_TEXT), ("MIT", f"MIT License\n\n{MIT_TEXT}"), ("MIT", f"The MIT License (MIT)\n\n{MIT_TEXT}"), ("ISC", ISC_TEXT), ("ISC", f"ISC License\n\n{ISC_TEXT}"), *licence_table.TEXTS]
 
 #: A line that holds none of these, in lower case, is no known notice.
 MARKERS = ("licen",)

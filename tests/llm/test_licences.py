@@ -28,3 +28,21 @@ def test_native(spark):
 def test_canonical_spellings(spark):
     df = spark.createDataFrame([("The  LICENCE, of an Organisation!",)], "t string")
     assert df.select(li.canonical(F.col("t"))).first()[0] == "the license of an organization"
+
+
+def test_table_of_licences(spark):
+    shipped = "/usr/share/common-licenses"
+    rows = [(k, open(f"{shipped}/{f}", encoding="utf-8").read()) for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL-2"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.1-only", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD-3-Clause", "BSD"))]
+    apache = rows[0][1]
+    rows += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Somebody")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), (None, apache + " And more.")]
+    lines = [("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0-or-later", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");'), ("GPL", " * it under the terms of the GNU General Public License as published by"), ("", "The licence of prose")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(100 + i, f"Prose.\n{t}\nmore") for i, (_, t) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in li.scan(df).collect()}
+    assert [got[i]["licence"] for i in range(len(rows))] == [k for k, _ in rows]
+    assert [got[100 + i]["notices"] for i in range(len(lines))] == [k for k, _ in lines]
+
+
+def test_no_form_has_two_licences(spark):
+    for table in (li.TEXTS + li.NOTICES, li.NOTICES):
+        df = spark.createDataFrame(table, "licence string, t string")
+        assert df.groupBy(li.digest(F.col("t"))).agg(F.collect_set("licence").alias("x")).filter(F.size("x") > 1).collect() == []
