@@ -35,3 +35,14 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     d = d.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"__i_{v}") for v in values])
     out = d.alias("d").join(totals.alias("t"), [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "__part"]])
     return out.select("d.*", *[(F.col(f"__i_{v}") + F.col(f"__b_{v}")).alias(f"cum_{v}") for v in values]).drop("__part", *[f"__i_{v}" for v in values])
+
+
+def ranked(df: DataFrame, value: str, key: str, one_window: int | None = None) -> DataFrame:
+    """``df`` with its place ``rank`` by ``value`` from the largest, ties by ``key``; rows without a value are left out.
+
+    Running counts over the distinct values give the rows before a value, a window the place within it.
+    """
+    d = df.filter(F.col(value).isNotNull())
+    before = running_sums(d.groupBy(value).agg(F.count("*").alias("n")), [], value, ["n"], descending=True, exclusive=True, one_window=one_window)
+    within = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    return d.withColumn("__k", within).join(before.select(value, "cum_n"), value).withColumn("rank", F.col("__k") + F.col("cum_n")).drop("__k", "cum_n")

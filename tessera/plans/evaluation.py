@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as X
 from tessera.operators import metrics as M
 from tessera.operators import sampling as S
+from tessera.operators.ordered import ranked
 from tessera.plans.registry import query
 from tessera.plans.relational import customer, documents, events, labels, lineitem, orders, part, supplier
 
@@ -312,6 +313,14 @@ def file_digests(spark, sf_dir):
 
 @query("scaled_rank_join", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer QUALIFY k <= 50) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier QUALIFY k <= 50) USING (k)")
 def scaled_rank_join(spark, sf_dir):
-    """Rows of two tables aligned by rank; only the first 50 of each are ranked."""
+    """The first 50 rows of two tables by rank, a top 50; ``rank_alignment`` aligns all rows."""
     top = lambda d, b, k: d.select(k, b).orderBy(F.desc(b), k).limit(50).select(k, F.row_number().over(Window.orderBy(F.desc(b), k)).alias("k"))
     return top(customer(spark, sf_dir), "c_acctbal", "c_custkey").join(top(supplier(spark, sf_dir), "s_acctbal", "s_suppkey"), "k").select("c_custkey", "s_suppkey")
+
+
+@query("rank_alignment", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) USING (k)")
+def rank_alignment(spark, sf_dir):
+    """All rows of two tables aligned by rank, as far as the shorter one goes."""
+    c = ranked(customer(spark, sf_dir).select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    s = ranked(supplier(spark, sf_dir).select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey")
+    return c.join(s, "rank").select("c_custkey", "s_suppkey")

@@ -159,3 +159,20 @@ def test_markdown(spark, tmp_path):
     assert markdown(df, 10).splitlines() == ["| k | v |", "|-|-|", "| a\\|b | 0.5 |", "|  | 1.0 |"]
     write_tables({"t": df}, str(tmp_path), "both")
     assert spark.read.parquet(f"{tmp_path}/t.parquet").count() == 2 and spark.read.option("header", True).csv(f"{tmp_path}/t.csv").count() == 2
+
+
+@pytest.mark.parametrize("one_window", [None, 10])
+def test_rank_alignment_has_no_limit(spark, one_window):
+    from tessera.operators.ordered import ranked
+
+    rows = [(i, float(i * 7 % 90)) for i in range(200)]
+    got = {r["k"]: r["rank"] for r in ranked(spark.createDataFrame([*rows, (999, None)], "k long, v double"), "v", "k", one_window).collect()}
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_rank_alignment_covers_the_shorter_table(spark):
+    from tessera.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    n = min(spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("customer", "supplier"))
+    assert n > 50 and registry.queries()["rank_alignment"](spark, d).count() == n
