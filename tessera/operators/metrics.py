@@ -112,21 +112,43 @@ def overlap(df: DataFrame, y: str, x: str, low: float, high: float, bins: int =
     return c.crossJoin(F.broadcast(totals)).agg(F.sum(F.least(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))).alias("overlap"))  # totals is one row
 
 
-def bootstrap_auc(df: DataFrame, y: str, x: str, id_col: str, replicates: int = 50, seed: str = "boot") -> DataFrame:
+def _resampled(df: DataFrame, id_col: str, replicates: int, seed: str) -> DataFrame:
+    """``df`` with the column ``replicate``, once for each, and the row's multiplicity ``m`` (1 at least) in it."""
+    r = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # Poisson(1) distribution function
+    m = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda s, e: s + (u >= e).cast("int"))
+    return df.crossJoin(F.broadcast(r)).withColumn("m", m).filter("m > 0")  # r is a fixed, small range
+
+
+def bootstrap_auc(df: DataFrame, y: str, x: str, id_col: str, replicates: int = 300, seed: str = "boot") -> DataFrame:
     """Percentile interval of the AUC over Poisson replicates.
 
     A row's multiplicity in a replicate is the Poisson(1) quantile of a hash of replicate and id, so reruns
     agree and nothing is resampled on the driver.
     """
-    r = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # Poisson(1) distribution function
-    m = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda s, e: s + (u >= e).cast("int"))
-    d = df.select(id_col, y, x).crossJoin(F.broadcast(r)).withColumn("m", m).filter("m > 0")  # r is a fixed, small range
-    a = auc(d, y, x, ["replicate"], "m").filter("auc IS NOT NULL")
+    a = auc(_resampled(df.select(id_col, y, x), id_col, replicates, seed), y, x, ["replicate"], "m").filter("auc IS NOT NULL")
     return a.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"), F.count("*").alias("replicates"))
 
 
+def bootstrap_delta(df: DataFrame, y: str, a: str, b: str, id_col: str, replicates: int = 2000, seed: str = "boot") -> DataFrame:
+    """AUC of score ``a`` less that of ``b``, its percentile interval over paired replicates and the two-sided p.
+
+    Both scores meet the same Poisson multiplicities. These are independent between the classes and an AUC is a
+    mean within each, so a class's size varies but not its share: this stands for the stratified draw too.
+    """
+    d = df.filter(F.col(y).isNotNull() & finite(F.col(a).cast("double")) & finite(F.col(b).cast("double")))
+    d = d.select(F.col(id_col).alias("__id"), F.col(y).alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    delta = (F.max(F.when(F.col("which") == "__a", F.col("auc"))) - F.max(F.when(F.col("which") == "__b", F.col("auc")))).alias("delta")
+    whole = auc(d.unpivot(["__y"], ["__a", "__b"], "which", "x"), "__y", "x", ["which"]).agg(delta)
+    r = _resampled(d, "__id", replicates, seed).unpivot(["replicate", "__y", "m"], ["__a", "__b"], "which", "x")
+    r = auc(r, "__y", "x", ["replicate", "which"], "m").groupBy("replicate").agg(delta).filter("delta IS NOT NULL")
+    share = lambda c: F.avg(c.cast("double"))
+    p = 2 * F.least(share(F.col("delta") <= 0), share(F.col("delta") >= 0))
+    out = r.agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), p.alias("p"), F.count("*").alias("replicates"))
+    return whole.crossJoin(out)  # a row each
+
+
 def feature_audit(df: DataFrame, features: list[str], slices: dict[str, tuple[Column, str]]) -> DataFrame:
     """Absolute AUC of every feature on every slice (a condition and a label column), in one job."""
     parts = [F.when(cond & F.col(y).isNotNull(), F.struct(F.lit(name).alias("slice"), F.col(y).cast("int").alias("y"))) for name, (cond, y) in slices.items()]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import route, safe_logit
-from tessera.operators.metrics import auc, threshold_at_fpr
+from tessera.operators.metrics import auc, bootstrap_delta, threshold_at_fpr
 
 
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
@@ -63,6 +63,17 @@ def leave_one_group_out(df: DataFrame, features: list[str], group: str, id_cols:
     return out
 
 
+def logo_bootstrap(df: DataFrame, sets: dict[str, list[str]], comparisons: list[tuple[str, str]], group: str, id_col: str, kind: str = "logreg", replicates: int = 1000) -> DataFrame:
+    """Paired AUC differences of feature sets whose scores come from models of the other groups."""
+    scores = {n: leave_one_group_out(df, fs, group, [id_col], kind).select(id_col, "y", F.col("raw_score").alias(n)) for n, fs in sets.items()}
+    out = None
+    for a, b in comparisons:
+        pair = scores[a].join(scores[b].drop("y"), id_col)
+        part = bootstrap_delta(pair, "y", a, b, id_col, replicates).select(F.lit(a).alias("set_a"), F.lit(b).alias("set_b"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ablation(train: DataFrame, test: DataFrame, features: list[str], families: dict[str, list[str]], kind: str = "logreg") -> DataFrame:
     """AUC with all features and without each family, and the difference."""
     spark, rows = train.sparkSession, []

@@ -162,13 +162,26 @@ def correlation_matrix(spark, sf_dir):
     return one.select(F.explode("x").alias("x")).select("x.*")
 
 
-@query("bootstrap_auc", f"""{SCORED}, r AS (SELECT doc_id, y, p, i::INT AS replicate, CAST('0x' || substr(md5('boot|' || i || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM s, range(50) t(i)),
+_BOOTSTRAP = f"""{SCORED}, r AS (SELECT doc_id, y, p, i::INT AS replicate, CAST('0x' || substr(md5('boot|' || i || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM s, range(50) t(i)),
     m AS (SELECT replicate, y, p, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT + (u >= 0.9999167588507119::DOUBLE)::INT AS m FROM r),
     d AS (SELECT replicate, p, coalesce(sum(m) FILTER (y = 1), 0) AS pos, coalesce(sum(m) FILTER (y = 0), 0) AS neg FROM m WHERE m > 0 GROUP BY 1, 2),
     c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM d),
-    a AS (SELECT replicate, sum(pos * (cum + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM c GROUP BY 1) SELECT round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(*) AS replicates FROM a""")
+    a AS (SELECT replicate, sum(pos * (cum + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM c GROUP BY 1) SELECT round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(*) AS replicates FROM a"""
+
+
+@query("bootstrap_auc", _BOOTSTRAP)
 def bootstrap_auc(spark, sf_dir):
-    return M.bootstrap_auc(scored(spark, sf_dir), "y", "p", "doc_id").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
+    """A short interval of 50 replicates, as its SQL says; ``bootstrap_auc_300`` has all."""
+    return _interval(spark, sf_dir, 50)
+
+
+@query("bootstrap_auc_300", _BOOTSTRAP.replace("range(50)", "range(300)"))
+def bootstrap_auc_300(spark, sf_dir):
+    return _interval(spark, sf_dir, 300)
+
+
+def _interval(spark, sf_dir, replicates):
+    return M.bootstrap_auc(scored(spark, sf_dir), "y", "p", "doc_id", replicates).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
 
 
 @query("paired_shift", "SELECT l_returnflag, round(avg(l_tax - l_discount), 9) AS mean_delta, round(avg(abs((l_tax - l_discount) / s)), 6) AS mean_abs, round(median(abs((l_tax - l_discount) / s)), 6) AS median_abs FROM lineitem, (SELECT stddev_pop(l_discount) AS s FROM lineitem) GROUP BY 1")

@@ -176,3 +176,35 @@ def test_rank_alignment_covers_the_shorter_table(spark):
     d = "/root/testdata/sf0.01"
     n = min(spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("customer", "supplier"))
     assert n > 50 and registry.queries()["rank_alignment"](spark, d).count() == n
+
+
+def auc_of(y, x):
+    a, b = x[y == 1][:, None], x[y == 0][None, :]
+    return float(((a > b) + 0.5 * (a == b)).mean())
+
+
+def test_bootstrap_has_300_replicates(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(i % 2), float(rng.normal() + i % 2)) for i in range(80)], "id long, y int, x double")
+    assert M.bootstrap_auc(df, "y", "x", "id").first()["replicates"] == 300
+
+
+def test_paired_bootstrap(spark):
+    rng = np.random.default_rng(6)
+    y = np.arange(300) % 2
+    a, b = rng.normal(size=300) + 1.5 * y, rng.normal(size=300) + 0.2 * y
+    rows = [(i, int(k), float(u), float(v)) for i, (k, u, v) in enumerate(zip(y, a, b))]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    got = M.bootstrap_delta(df, "y", "a", "b", "id", replicates=200).first()
+    draws = [(lambda i: auc_of(y[i], a[i]) - auc_of(y[i], b[i]))(rng.integers(0, 300, 300)) for _ in range(1000)]
+    assert got["replicates"] == 200 and got["delta"] == pytest.approx(auc_of(y, a) - auc_of(y, b))
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])), abs=0.03) and got["p"] == 0
+    same = M.bootstrap_delta(df.withColumn("b", F.col("a")), "y", "a", "b", "id", replicates=20).first()
+    assert same["low"] == same["high"] == 0 and same["p"] == 2
+
+
+def test_logo_bootstrap(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, int(i % 2), "gh"[i // 2 % 2], float(rng.normal() + 2 * (i % 2)), float(rng.normal())) for i in range(160)], "id long, y int, g string, u double, v double")
+    got = models.logo_bootstrap(df, {"good": ["u"], "noise": ["v"]}, [("good", "noise")], "g", "id", replicates=50).collect()
+    assert [(r["set_a"], r["set_b"], r["replicates"]) for r in got] == [("good", "noise", 50)] and got[0]["low"] > 0
