@@ -208,3 +208,33 @@ def test_logo_bootstrap(spark):
     df = spark.createDataFrame([(i, int(i % 2), "gh"[i // 2 % 2], float(rng.normal() + 2 * (i % 2)), float(rng.normal())) for i in range(160)], "id long, y int, g string, u double, v double")
     got = models.logo_bootstrap(df, {"good": ["u"], "noise": ["v"]}, [("good", "noise")], "g", "id", replicates=50).collect()
     assert [(r["set_a"], r["set_b"], r["replicates"]) for r in got] == [("good", "noise", 50)] and got[0]["low"] > 0
+
+
+def test_shortcut_alerts_of_every_kind(spark):
+    from tessera.operators import shortcuts as S
+
+    rows = []
+    for i in range(100):
+        y = i % 2
+        rows.append((y, y == 1 and i < 40, "p" if y else None, 10.0 + 10 * y, "cam" if y and i < 60 else None, "both", 64 if y else i, 64, None if i % 4 == 0 else 1.0 * (i % 7)))
+    df = spark.createDataFrame([*rows, (None, True, "q", 1.0, "z", "z", 1, 1, 1.0)], "y int, b boolean, c string, n double, t string, u string, w int, h int, f double")
+    got = S.alerts(df, "y", binary=["b"], categories=["c"], numbers=["n"], texts=["t", "u"], size=("w", "h")).collect()
+    assert {(r["kind"], r["feature"]): (round(r["delta"], 6), r["severity"]) for r in got} == {
+        ("binary_rate", "b"): (0.4, "HIGH"), ("category_share", "c"): (1.0, "HIGH"), ("relative_median", "n"): (round(10 / 15, 6), "HIGH"), ("presence", "t"): (0.6, "HIGH"),
+        ("exclusive_value", "t"): (1.0, "HIGH"), ("resolution_pattern", "wxh"): (0.98, "HIGH"),
+    }
+    assert [r["detail"] for r in got if r["kind"] == "exclusive_value"] == ["cam only in 1 30"]
+
+
+def test_label_ranking_counts_missing_values(spark):
+    from tessera.operators import shortcuts as S
+
+    rng = np.random.default_rng(8)
+    rows = [(i % 2, None if i % 2 and i < 80 else 1.0, float(i % 2 + rng.normal()), *rng.normal(size=24).tolist()) for i in range(100)]
+    names = [f"r{k}" for k in range(24)]
+    df = spark.createDataFrame(rows, "y int, gone double, told double, " + ", ".join(f"{n} double" for n in names)).withColumn("twin", -2 * F.col("told"))
+    got = S.label_ranking(df, "y", ["gone", "told", "twin", *names]).collect()
+    assert len(got) == 20 and got[0]["feature"] == "gone" and got[0]["corr"] is None and got[0]["score"] == pytest.approx(0.8)
+    assert {got[1]["feature"], got[2]["feature"]} == {"told", "twin"}
+    pairs = S.correlated_pairs(df, ["gone", "told", "twin", "r0"]).collect()
+    assert [(r["feature_a"], r["feature_b"], round(r["corr"], 9), r["n"]) for r in pairs] == [("told", "twin", -1.0, 100)]
