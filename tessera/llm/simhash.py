@@ -190,26 +190,37 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     rows are rows of their own; null keys never name a component unless it has no other; an empty table
     gives no rows; further columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, k).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``group`` with the column root, a fingerprint that names the group even where two share a component_id."""
     d = checkpointed(fingerprints(docs, id_col, text_col, k))
     distinct = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct))
     own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select("fp", "component_id")
-    return d.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = own.join(least, "root").select("fp", "root", "component_id")
+    return d.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of smallest key of each group; rows without a key stay."""
-    g = checkpointed(group(docs, id_col=id_col, text_col=text_col, k=k))
+    """``docs`` with the document of smallest key of each group; rows without a key stay.
+
+    Rows that share a key with another are told apart by their fingerprints; of several in a group one stays.
+    """
+    g = checkpointed(_grouped(docs, id_col, text_col, k))
     gone = g.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     out = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    repeated = g.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        # only rows that share a key with another are dealt by it
-        named = out.join(repeated.select(F.col("doc_id").alias("__twice")), out[id_col] == F.col("__twice"), "left_semi")
-        alone = out.join(repeated.select(F.col("doc_id").alias("__twice")), out[id_col] == F.col("__twice"), "left_anti")
-        out = alone.unionByName(named.dropDuplicates([id_col]))
+    twice = checkpointed(g.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
+    if not twice.isEmpty():
+        out = out.join(twice, out[id_col] == F.col("__twice"), "left_anti")
+        named = docs.join(twice, docs[id_col] == F.col("__twice"), "left_semi")
+        named = checkpointed(named.withColumn("__row", F.monotonically_increasing_id()))
+        fps = fingerprints(named.select("__row", F.col(text_col).alias("__text")), "__row", "__text", k).select(F.col("doc_id").alias("__at"), F.col("fp").alias("__fp"))
+        first = g.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+        named = named.join(fps, F.col("__row") == F.col("__at")).join(first, "__fp").filter(F.col(id_col) == F.col("__id"))
+        out = out.unionByName(named.dropDuplicates(["__root"]).select(*docs.columns))
     return out
 
 

@@ -103,3 +103,11 @@ def test_components(spark):
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == joined([p for p in pairs if p[0] != p[1]], nodes)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_keys_keep_one_row_of_each_group(spark):
+    words = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    rows = [(5, words("a")), (5, words("b")), (3, words("b")), (8, words("a")), (9, words("c")), (9, words("c")), (9, words("d")), (None, words("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, sh.keep_one(docs).collect()), key=str)
+    assert got == sorted([(5, words("a")), (3, words("b")), (9, words("c")), (9, words("d")), (None, words("a"))], key=str)
