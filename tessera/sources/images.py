@@ -52,24 +52,65 @@ def _orientation(tiff: bytes) -> int | None:
     return None
 
 
+def _tiff(data: bytes) -> dict[int, int]:
+    """Tags of the first directory with their first value, or offset where that is elsewhere."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (n,) = struct.unpack_from(order + "H", data, at)
+    out = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        short = kind == 3 and count <= 2
+        (out[tag],) = struct.unpack_from(order + ("H" if short else "I"), data, at + 10 + 12 * k)
+    return out
+
+
+def _has_iptc(body: bytes) -> bool:
+    """Whether Photoshop resources hold one of IPTC (0x0404) that is not empty."""
+    at = 14
+    while body[at : at + 4] == b"8BIM":
+        (name,) = struct.unpack_from(">H", body, at + 4)
+        at += 6 + (body[at + 6] + 2) // 2 * 2
+        (size,) = struct.unpack_from(">I", body, at)
+        if name == 0x0404:
+            return size > 0
+        at += 4 + (size + 1) // 2 * 2
+    return False
+
+
 def header(data: bytes) -> dict:
-    """Facts of a JPEG or PNG from its header; keys that do not apply are None."""
-    out = dict.fromkeys(["format", "mode", "width", "height", "bit_depth", "orientation", "has_exif", "has_icc", "progressive", "subsampling", "quality", "n_tables"])
+    """Facts of a JPEG, PNG or TIFF from its structure; keys that do not apply, and all of other formats, are None."""
+    out = dict.fromkeys(["format", "mode", "width", "height", "bit_depth", "orientation", "has_exif", "has_icc", "progressive", "subsampling", "quality", "n_tables", "has_xmp", "has_iptc"])
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             w, h, depth, color = struct.unpack_from(">IIBB", data, 16)
-            out |= {"format": "PNG", "width": w, "height": h, "bit_depth": depth, "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(color), "has_exif": b"eXIf" in data[:4096], "has_icc": b"iCCP" in data[:4096]}
-            at = data.find(b"eXIf")
-            if at > 0:
-                out["orientation"] = _orientation(data[at + 4 :])
+            out |= {"format": "PNG", "width": w, "height": h, "bit_depth": depth, "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(color), "has_exif": False, "has_icc": False, "has_xmp": False, "has_iptc": False}
+            at, kind = 8, b""
+            while at + 8 <= len(data) and kind != b"IEND":
+                size, kind = struct.unpack_from(">I4s", data, at)
+                body = at + 8
+                if kind == b"eXIf":
+                    out["has_exif"] = True
+                    out["orientation"] = _orientation(data[body : body + size])
+                out["has_icc"] |= kind == b"iCCP"
+                out["has_xmp"] |= kind == b"iTXt" and data[body : body + 18] == b"XML:com.adobe.xmp\0"
+                at = body + size + 4
+        elif data[:4] in (b"II*\0", b"MM\0*"):
+            tags = _tiff(data)
+            out |= {"format": "TIFF", "width": tags.get(256), "height": tags.get(257), "has_exif": 34665 in tags, "has_icc": 34675 in tags, "has_xmp": 700 in tags, "has_iptc": 33723 in tags}
+            out["orientation"] = _orientation(data)
         elif data[:3] == b"\xff\xd8\xff":
-            out |= {"format": "JPEG", "has_exif": False, "has_icc": False, "n_tables": 0}
+            out |= {"format": "JPEG", "has_exif": False, "has_icc": False, "has_xmp": False, "has_iptc": False, "n_tables": 0}
             at = 2
             while at + 4 <= len(data) and data[at] == 0xFF:
                 kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
                 body = data[at + 4 : at + 2 + size]
                 if kind == 0xE1 and body[:6] == b"Exif\0\0":
                     out |= {"has_exif": True, "orientation": _orientation(body[6:])}
+                elif kind == 0xE1 and body[:29] == b"http://ns.adobe.com/xap/1.0/\0":
+                    out["has_xmp"] = True
+                elif kind == 0xED and body[:14] == b"Photoshop 3.0\0":
+                    out["has_iptc"] |= _has_iptc(body)
                 elif kind == 0xE2 and body[:11] == b"ICC_PROFILE":
                     out["has_icc"] = True
                 elif kind == 0xDB:
@@ -103,7 +144,7 @@ def quality_of(table) -> int:
     return int(min(100, max(1, round(5000 / mean) if mean >= 100 else round((200 - mean) / 2))))
 
 
-_FACTS = "format string, mode string, width int, height int, bit_depth int, orientation int, has_exif boolean, has_icc boolean, progressive boolean, subsampling string, quality int, n_tables int"
+_FACTS = "format string, mode string, width int, height int, bit_depth int, orientation int, has_exif boolean, has_icc boolean, progressive boolean, subsampling string, quality int, n_tables int, has_xmp boolean, has_iptc boolean"
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -238,3 +238,19 @@ def test_label_ranking_counts_missing_values(spark):
     assert {got[1]["feature"], got[2]["feature"]} == {"told", "twin"}
     pairs = S.correlated_pairs(df, ["gone", "told", "twin", "r0"]).collect()
     assert [(r["feature_a"], r["feature_b"], round(r["corr"], 9), r["n"]) for r in pairs] == [("told", "twin", -1.0, 100)]
+
+
+def test_facts_are_found_anywhere_in_a_file():
+    tiff = b"II*\0" + struct.pack("<IHHHIHHHHIHHHHIHHHHIII", 8, 5, 256, 3, 1, 7, 0, 257, 3, 1, 5, 0, 274, 3, 1, 6, 0, 700, 1, 9, 0, 0)[:-4] + struct.pack("<HHII", 34675, 7, 9, 0)
+    assert {k: v for k, v in images.header(tiff).items() if v is not None} == {"format": "TIFF", "width": 7, "height": 5, "orientation": 6, "has_exif": False, "has_icc": True, "has_xmp": True, "has_iptc": False}
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0))
+    late = png + chunk(b"tEXt", b"k\0" + b"eXIf iCCP" * 900) + chunk(b"IDAT", b"x" * 9000)
+    assert [images.header(late + chunk(b"IEND", b""))[k] for k in ("has_exif", "has_icc", "has_xmp", "orientation")] == [False, False, False, None]
+    late += chunk(b"iCCP", b"p\0\0") + chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0<x/>") + chunk(b"eXIf", tiff) + chunk(b"IEND", b"")
+    assert [images.header(late)[k] for k in ("has_exif", "has_icc", "has_xmp", "orientation")] == [True, True, True, 6]
+    part = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
+    resource = lambda name, body: b"8BIM" + struct.pack(">H", name) + b"\0\0" + struct.pack(">I", len(body)) + body + b"\0" * (len(body) % 2)
+    jpeg = b"\xff\xd8" + part(0xE1, b"http://ns.adobe.com/xap/1.0/\0<x/>") + part(0xED, b"Photoshop 3.0\0" + resource(0x03ED, b"abc") + resource(0x0404, b"\x1c\x02\x05\0\1a"))
+    assert [images.header(jpeg)[k] for k in ("has_xmp", "has_iptc")] == [True, True]
+    assert images.header(b"\xff\xd8" + part(0xED, b"Photoshop 3.0\0" + resource(0x03ED, b"abc")))["has_iptc"] is False
