@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import route, safe_logit
-from tessera.operators.metrics import auc, bootstrap_delta, threshold_at_fpr
+from tessera.operators.metrics import auc, bootstrap_delta, ece, threshold_at_fpr
+from tessera.operators.sampling import folds
+from tessera.session import scratch_dir
 
 
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
@@ -27,12 +29,14 @@ def build(kind: str, features: list[str], total_weight: float) -> Pipeline:
     if kind == "logreg":
         stages += [StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / max(total_weight, 1.0), elasticNetParam=0.0, standardization=False, maxIter=200)]
     else:
-        stages += [GBTClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", maxIter=40, stepSize=0.05, maxDepth=5, minInstancesPerNode=80, featureSubsetStrategy="0.8", seed=42)]
+        stages += [GBTClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", maxIter=400, stepSize=0.05, maxDepth=5, minInstancesPerNode=80, featureSubsetStrategy="0.8", seed=42)]
     return Pipeline(stages=stages)
 
 
 def fit(df: DataFrame, features: list[str], kind: str = "logreg") -> PipelineModel:
-    d = balanced(df)
+    d, sc = balanced(df), df.sparkSession.sparkContext
+    if kind == "gbt" and sc.getCheckpointDir() is None:  # boosting cuts its lineage every ten rounds
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
     return build(kind, features, float(df.count())).fit(d)
 
 
@@ -63,6 +67,56 @@ def leave_one_group_out(df: DataFrame, features: list[str], group: str, id_cols:
     return out
 
 
+def cross_degradation(clean: DataFrame, degraded: DataFrame, features: list[str], group: str, id_cols: list[str], kind: str = "logreg") -> DataFrame:
+    """Raw scores of every group's degraded rows from a model of the other groups' clean rows."""
+    out = None
+    for g in sorted(r[0] for r in clean.select(group).distinct().collect()):
+        part = raw_scores(fit(clean.filter(F.col(group) != g), features, kind), degraded.filter(F.col(group) == g), [*id_cols, "y", group])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cross_validated_auc(df: DataFrame, features: list[str], id_col: str, kind: str = "logreg", k: int = 5) -> float:
+    """AUC of the probabilities that each row gets from a model of the other folds, pooled over stratified folds."""
+    d, out = df.join(folds(df, "y", id_col, k).select(id_col, "fold"), id_col), None
+    for f in range(k):
+        part = raw_scores(fit(d.filter(F.col("fold") != f), features, kind), d.filter(F.col("fold") == f), ["y"])
+        out = part if out is None else out.unionByName(part)
+    return auc(out.withColumn("p", calibrated(F.col("raw_score"), 1.0, 0.0)), "y", "p").first()["auc"]
+
+
+def candidates(train: DataFrame, calibration: DataFrame, validation: DataFrame, sets: dict[str, list[str]], kinds: tuple[str, ...] = ("logreg", "gbt"), target: float = 0.05) -> DataFrame:
+    """Every feature set with every kind of model: calibrated, and measured on the validation rows, best first."""
+    rows = []
+    for name, features in sets.items():
+        for kind in kinds:
+            m = fit(train, features, kind)
+            a, b = platt(raw_scores(m, calibration, ["y"]))
+            p = raw_scores(m, validation, ["y"]).withColumn("p", calibrated(F.col("raw_score"), a, b))
+            tau = threshold_at_fpr(p, "y", "p", target).first()["threshold"]
+            hit, y = F.col("p") >= tau, F.col("y") == 1
+            c = p.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(y).alias("pos"), F.count("*").alias("n")).first()
+            tn = c["n"] - c["pos"] - c["fp"]
+            share = lambda u, v: u / v if v else None
+            rows.append((f"{name}__{kind}", name, kind, len(features), auc(p, "y", "p").first()["auc"], c["brier"], ece(p, "y", "p").first()["ece"], float(tau), share(c["tp"], c["pos"]), share(c["fp"], c["n"] - c["pos"]), share(c["tp"], c["tp"] + c["fp"]), share(c["tp"] + tn, c["n"])))
+    schema = "candidate string, feature_set string, kind string, n_features int, auc double, brier double, ece double, threshold double, tpr double, fpr double, precision double, accuracy double"
+    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "brier", "n_features")
+
+
+def ablation_intervals(train: DataFrame, test: DataFrame, features: list[str], families: dict[str, list[str]], id_col: str, kind: str = "logreg", replicates: int = 2000) -> DataFrame:
+    """Per family, AUC of all features less that without it (drop) and with it alone (solo), with paired intervals."""
+    score = lambda kept: raw_scores(fit(train, kept, kind), test, [id_col, "y"])
+    full, out = score(features).withColumnRenamed("raw_score", "full"), None
+    for name, family in families.items():
+        for mode, kept in (("drop", [f for f in features if f not in family]), ("solo", [f for f in features if f in family])):
+            if not kept:
+                continue
+            pair = full.join(score(kept).select(id_col, F.col("raw_score").alias("part")), id_col)
+            row = bootstrap_delta(pair, "y", "full", "part", id_col, replicates).select(F.lit(name).alias("family"), F.lit(mode).alias("mode"), F.lit(len(kept)).alias("n_features"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def logo_bootstrap(df: DataFrame, sets: dict[str, list[str]], comparisons: list[tuple[str, str]], group: str, id_col: str, kind: str = "logreg", replicates: int = 1000) -> DataFrame:
     """Paired AUC differences of feature sets whose scores come from models of the other groups."""
     scores = {n: leave_one_group_out(df, fs, group, [id_col], kind).select(id_col, "y", F.col("raw_score").alias(n)) for n, fs in sets.items()}

@@ -254,3 +254,18 @@ def test_facts_are_found_anywhere_in_a_file():
     jpeg = b"\xff\xd8" + part(0xE1, b"http://ns.adobe.com/xap/1.0/\0<x/>") + part(0xED, b"Photoshop 3.0\0" + resource(0x03ED, b"abc") + resource(0x0404, b"\x1c\x02\x05\0\1a"))
     assert [images.header(jpeg)[k] for k in ("has_xmp", "has_iptc")] == [True, True]
     assert images.header(b"\xff\xd8" + part(0xED, b"Photoshop 3.0\0" + resource(0x03ED, b"abc")))["has_iptc"] is False
+
+
+def test_model_grid_folds_and_solo(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 2), "gh"[i // 2 % 2], float(rng.normal() + 2 * (i % 2)), float(rng.normal())) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y int, g string, u double, v double")
+    assert models.build("gbt", ["u"], 1.0).getStages()[-1].getMaxIter() == 400
+    assert models.cross_validated_auc(df, ["u"], "id") > 0.8 > 0.65 > models.cross_validated_auc(df, ["v"], "id")
+    worse = df.withColumn("u", F.col("v"))
+    got = models.cross_degradation(df, worse, ["u"], "g", ["id"])
+    assert got.count() == 200 and M.auc(got, "y", "raw_score").first()["auc"] < 0.65
+    grid = models.candidates(df, df, df, {"good": ["u", "v"], "noise": ["v"]}, kinds=("logreg",)).collect()
+    assert [r["candidate"] for r in grid] == ["good__logreg", "noise__logreg"] and all(r["fpr"] <= 0.05 for r in grid)
+    parts = {(r["family"], r["mode"]): r for r in models.ablation_intervals(df, df, ["u", "v"], {"u": ["u"], "v": ["v"]}, "id", replicates=40).collect()}
+    assert len(parts) == 4 and parts["u", "drop"]["low"] > 0 and parts["v", "solo"]["low"] > 0 and abs(parts["v", "drop"]["delta"]) < 0.05
