@@ -1,12 +1,14 @@
 """Language-model scores of whole documents.
 
 1. All words of the training documents are counted, in workers first and then by word.
-2. The ``HEAD`` most frequent tokens, the end among them, are outputs of their own, in classes of similar
-   mass. Every other word belongs to one of ``TAIL`` classes by its last three bytes, and within it has
-   the add-one share (c + 1) / (N_j + V_j + 1); the class's last share is for words never seen.
+2. The ``HEAD`` most frequent words and the end are tokens. Every other word belongs to one of ``TAIL`` tokens
+   by its last two bytes; of that token's probability a word has the share (c - D) / N_j of its training
+   count, and words never seen have the rest, D V_j / N_j, with one discount D from the words that occur
+   once and twice. The recurrent model's softmax is factored into classes of tokens of similar mass.
 3. The recurrent model (``gru``) learns from all tokens of every training document, with its state carried
-   over the document's windows. Each document belongs to one of ``ROUNDS`` rounds; in each round tasks
-   train copies on their part, and the copies are averaged by tokens seen.
+   over the document's windows. In each of ``ROUNDS`` rounds tasks train copies on their part, and the copies
+   are averaged by tokens seen. A round has its share of the documents, or, where all of them have few
+   tokens, all documents as often as ``LEARN`` and ``PASSES`` ask for.
 4. One pass reads each whole text with its state carried over all windows. Counts of the most frequent
    words (``TABLE`` at most) lie in the workers; the document's other words are summed by word and joined
    to the counts, so the table of all words is never broadcast.
@@ -18,6 +20,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,14 @@ from pyspark.sql import functions as F
 from tessera.llm import gru
 from tessera.llm.common import checkpointed, fold
 
-HEAD, GROUPS, TAIL = 1024, 24, 72
-#: Tokens of a task: many times the longest documents, so that few lanes wait for one.
-ROUNDS, TASK_TOKENS = 3, 1_000_000
+HEAD, TAIL = 3072, 512
+#: Rounds of averaging with their learning rates; smaller corpora are passed over again up to so many tokens, or so often.
+ROUNDS, RATES, LEARN, PASSES = 3, (0.006, 0.003, 0.0015), 9_000_000, 6
+#: Tokens of a task in large and in small corpora: many times the longest documents, so that few lanes wait for one.
+TASK_TOKENS, SMALL_TASK, SMALL_TASKS = 2_000_000, 1_000_000, 8
 #: Words whose counts are broadcast at most.
 TABLE = 300_000
-#: Words a worker counts before it hands them on, and tokens that it scores together.
+#: Words a worker counts before it hands them on, and tokens that it learns from or scores together.
 COUNTED, POOL = 400_000, 2_000_000
 #: Parts of the parameters that are averaged apart.
 BLOCKS = 12
@@ -68,27 +73,30 @@ def count_words(texts: DataFrame) -> DataFrame:
 class Vocabulary:
     """What a worker needs to turn words into tokens and known counts."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n_end: int, tail_n: np.ndarray, tail_v: np.ndarray):
-        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))[: HEAD - 1]
-        at = sum(counts[i] > n_end for i in order)  # where the end stands among them
-        head = [words[i] for i in order]
-        mass = np.r_[[counts[i] for i in order[:at]], n_end, [counts[i] for i in order[at:]]].astype(np.float64)
-        s = np.cumsum(np.sqrt(mass + 1))
-        bounds = sorted({0, len(mass), *(int(np.searchsorted(s, s[-1] * k / GROUPS)) + 1 for k in range(1, GROUPS) if len(mass) > GROUPS)})
-        self.shape, self.end = gru.Shape(tuple(bounds), TAIL), at
-        self.at = {w: i for i, w in enumerate(words)}
-        self.token = np.array([len(mass) + tail_of(w) for w in words], np.int32)
-        for k, i in enumerate(order):
-            self.token[i] = k + (k >= at)
+    def __init__(self, words: list[bytes], counts: np.ndarray, n_end: int, tail_n: np.ndarray, tail_v: np.ndarray, discount: float, head: int = HEAD):
+        counts = np.asarray(counts, np.int64)
+        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))[:head]
         tail_n, tail_v = tail_n.copy(), tail_v.copy()
-        for w, i in zip(head, order, strict=True):
-            tail_n[tail_of(w)] -= counts[i]
-            tail_v[tail_of(w)] -= 1
-        self.counts = np.r_[mass, tail_n + 1]  # of the model's tokens
-        self.tail_log = np.r_[np.zeros(len(mass)), np.log10(tail_n + tail_v + 1)]
-        self.log_c = np.log10(np.asarray(counts, np.float64) + 1)
+        for i in order:
+            tail_n[tail_of(words[i])] -= counts[i]
+            tail_v[tail_of(words[i])] -= 1
+        mass = np.r_[counts[order], n_end, tail_n].astype(np.float64)
+        by_mass = np.argsort(-mass, kind="stable")
+        place = np.empty(len(mass), np.int32)
+        place[by_mass] = np.arange(len(mass))
+        self.counts, self.end, self.tails = mass[by_mass], int(place[len(order)]), place[len(order) + 1 :]
+        s, groups = np.cumsum(np.sqrt(self.counts + 1)), round(len(mass) ** 0.5)
+        self.shape = gru.Shape(tuple(sorted({0, len(mass), *(int(np.searchsorted(s, s[-1] * k / groups)) + 1 for k in range(1, groups))})))
+        self.at = {w: i for i, w in enumerate(words)}
+        self.token = np.array([self.tails[tail_of(w)] for w in words], np.int32)
+        self.token[order] = place[: len(order)]
+        self.share_log = np.log10(counts - discount)  # of a word in its tail token
+        self.share_log[order] = 0
+        self.unseen_log = np.log10(np.where(tail_v > 0, discount * tail_v, 1.0))
+        self.tail_log = np.zeros(len(mass))
+        self.tail_log[self.tails] = np.log10(np.where(tail_n > 0, tail_n, 1))
+        self.log_c = np.log10(counts + 1.0)
         self.log_end = float(np.log10(n_end + 1))
-        self.is_tail = self.token >= len(mass)
         self.end_known = n_end > 0
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
@@ -99,17 +107,16 @@ class Vocabulary:
         tokens[-1] = self.end
         rare: dict[bytes, int] = {}
         if len(words):
-            known = self.token[at] if len(self.token) else np.zeros(len(at), np.int32)
-            tokens[:-1] = known
+            tokens[:-1] = self.token[at] if len(self.token) else 0
             for i in np.flatnonzero(at < 0).tolist():
                 w = words[i]
                 rare[w] = rare.get(w, 0) + 1
-                tokens[i] = self.shape.head + tail_of(w)
+                tokens[i] = self.tails[tail_of(w)]
         return tokens, at, rare
 
 
 def tail_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAIL
+    return zlib.crc32(word[-2:]) % TAIL
 
 
 _vocabularies: dict = {}
@@ -140,36 +147,44 @@ def encoded(texts: DataFrame, vocabulary) -> DataFrame:
     return keyed.mapInArrow(_encode(vocabulary), "key long, tokens binary")
 
 
-def _train(shared, shape, seed_round: int):
+def _train(shared, shape, rate: float, passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         p, seen, held, size = shared.value, 0, [], 0
 
         def learn():
             nonlocal p, seen, held, size
-            p, n, _ = gru.train(p, shape, held)
+            p, n, _ = gru.train(p, shape, held, rate, passes=passes)
             seen, held, size = seen + n, [], 0
 
         for b in batches:
             for x in b.column(0):
-                held.append(np.frombuffer(x.as_py(), "<u2").astype(np.int64))
+                held.append(np.frombuffer(x.as_py(), "<u2").astype(np.int32))
                 size += len(held[-1])
             if size > POOL:
                 learn()
         if held:
             learn()
         if seen:
-            parts = np.array_split(gru.flat(p).astype("<f8") * seen, BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "n", "v"])
+            parts, task = np.array_split(gru.flat(p).astype("<f8") * seen, BLOCKS), TaskContext.get().partitionId()
+            cols = [pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "task", "n", "v"])
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by block; the input is sorted by task, so reruns add up alike."""
     total: dict[int, list] = {}
     for b in batches:
-        for k, n, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for k, _, n, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
             x = np.frombuffer(v, "<f8")
-            total[k] = [n, x.copy()] if k not in total else [total[k][0] + n, total[k][1] + x]
+            if k in total:
+                total[k][0] += n
+                total[k][1] += x
+            else:
+                total[k] = [n, x.copy()]
     cols = [pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([x.tobytes() for _, x in total.values()], pa.binary())]
     yield pa.RecordBatch.from_arrays(cols, names=["block", "n", "v"])
 
@@ -179,21 +194,26 @@ def fit(texts: DataFrame, vocabulary, v: Vocabulary) -> dict[str, np.ndarray]:
     sc = texts.sparkSession.sparkContext
     p = gru.fresh(v.shape, v.counts)
     s = checkpointed(encoded(texts, vocabulary))
-    tokens = s.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    n = max(1, round(tokens / 2 / ROUNDS / TASK_TOKENS))
+    tokens = (s.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 2
+    passes = min(PASSES, max(1, round(LEARN / max(tokens, 1))))
+    share = tokens if passes > 1 else tokens / ROUNDS
+    n = max(1, round(share / TASK_TOKENS), min(SMALL_TASKS, round(share / SMALL_TASK)))
     for r in range(ROUNDS if tokens else 0):
         shared = sc.broadcast(p)
-        mine = s.filter(F.pmod("key", F.lit(ROUNDS)) == r).repartition(n, "key").sortWithinPartitions("key", "tokens").select("tokens")
-        summed = mine.mapInArrow(_train(shared, v.shape, r), "block int, n long, v binary").repartition(BLOCKS, "block").mapInArrow(_sums, "block int, n long, v binary")
+        mine = s if passes > 1 else s.filter(F.pmod("key", F.lit(ROUNDS)) == r)
+        mine = mine.repartition(n, "key").sortWithinPartitions("key", "tokens").select("tokens")
+        summed = mine.mapInArrow(_train(shared, v.shape, RATES[r], -(-passes // ROUNDS)), "block int, task int, n long, v binary")
+        summed = summed.repartition(BLOCKS, "block").sortWithinPartitions("block", "task").mapInArrow(_sums, "block int, n long, v binary")
         blocks = sorted(summed.collect())  # BLOCKS rows, the size of the model
         if blocks:
             p = gru.unflat(np.concatenate([np.frombuffer(x["v"], "<f8") / x["n"] for x in blocks]), p)
+        shared.unpersist()
     return p
 
 
 def _scores(vocabulary, model):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-    names = ["uid", "doc_id", "n_tokens", "n_known", "log_c", "log_model", "rare", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    names = ["uid", "doc_id", "n_tokens", "n_known", "log_c", "log_model", "rare", "times", "unseen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -213,8 +233,9 @@ def _scores(vocabulary, model):
                 ids, at, rare = v.read(words)
                 at = at[at >= 0]
                 log_c = float(v.log_c[at].sum()) + v.log_end
-                within = float(v.log_c[at[v.is_tail[at]]].sum()) - float(v.tail_log[ids].sum())
-                rows.append((uid, doc, len(ids), len(at) + v.end_known, log_c, within, list(rare), list(rare.values())))
+                within = float(v.share_log[at].sum()) - float(v.tail_log[ids].sum())
+                unseen = [float(v.unseen_log[tail_of(w)]) for w in rare]
+                rows.append((uid, doc, len(ids), len(at) + v.end_known, log_c, within, list(rare), list(rare.values()), unseen))
                 tokens.append(ids)
                 uid, size = uid + 1, size + len(ids)
                 if size > POOL:
@@ -226,24 +247,32 @@ def _scores(vocabulary, model):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
+@dataclass
+class Learned:
+    """Counts of all words, which of them are in the workers' table, totals, and the broadcast table and model."""
 
-    Learns from the rows outside ``held_out`` (a condition on the key, named ``doc_id`` in it). The scores
-    are log10 probabilities of the words and the end. Null text counts as empty, repeated rows count and
-    are scored each, without training rows every token is unseen; an empty table gives no rows; further
-    columns are ignored.
-    """
-    sc = docs.sparkSession.sparkContext
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = d.filter(~F.coalesce(held_out, F.lit(False)))
+    counts: DataFrame
+    frequent: Column
+    total: int
+    types: int
+    discount: float
+    vocabulary: object
+    words: Vocabulary
+    model: object
+
+
+def learn(texts: DataFrame) -> Learned:
+    """Counts and model of all ``texts`` (doc_id, text)."""
+    sc = texts.sparkSession.sparkContext
     counts = checkpointed(count_words(texts.select("text")))
     n_end = texts.count()
-    tail = F.crc32(F.substring("word", -3, 3)) % TAIL
+    tail = F.crc32(F.substring("word", -2, 2)) % TAIL
     step = F.floor(F.log2("c") * STEPS)
-    by_tail, by_step = np.zeros((2, TAIL)), []
-    for r in counts.groupBy(tail.alias("j")).agg(F.sum("c"), F.count("*")).collect():
+    by_tail, once, twice = np.zeros((2, TAIL)), 0, 0
+    for r in counts.groupBy(tail.alias("j")).agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).collect():  # TAIL rows
         by_tail[:, r[0]] = r[1], r[2]
+        once, twice = once + r[3], twice + r[4]
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     by_step = sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True)  # some 8 rows a doubling
     least, kept = None, 0
     for s, n in by_step:
@@ -255,20 +284,37 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     words, c = table["word"].to_pylist(), np.array(table["c"].to_pylist(), np.int64)
     total = int(by_tail[0].sum()) + n_end
     types = int(by_tail[1].sum()) + (n_end > 0)
-    packed = (uuid.uuid4().hex, b" ".join(words), c, n_end, *by_tail)
+    packed = (uuid.uuid4().hex, b" ".join(words), c, n_end, *by_tail, discount, HEAD)
     vocabulary = sc.broadcast(packed)
     v = Vocabulary(words, *packed[2:])
-    model = sc.broadcast(fit(texts, vocabulary, v))
-    schema = "uid long, doc_id long, n_tokens long, n_known long, log_c double, log_model double, rare array<binary>, times array<int>"
-    rows = checkpointed(d.mapInArrow(_scores(vocabulary, model), schema))
-    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rare = rare.join(counts.filter(~frequent), "word", "left").select("uid", "times", F.coalesce("c", F.lit(0)).alias("c"))
+    return Learned(counts, frequent, total, types, discount, vocabulary, v, sc.broadcast(fit(texts, vocabulary, v)))
+
+
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    Learns from the rows outside ``held_out`` (a condition on the key, named ``doc_id`` in it). The scores
+    are log10 probabilities of the words and the end; all words never seen count as one word, as in the
+    base. Null text counts as empty, repeated rows count and are scored each, without training rows every
+    token is unseen; an empty table gives no rows; further columns are ignored.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scores(d, learn(d.filter(~F.coalesce(held_out, F.lit(False)))))
+
+
+def scores(d: DataFrame, m: Learned) -> DataFrame:
+    """``score`` of rows (doc_id, text) under what was learned."""
+    schema = "uid long, doc_id long, n_tokens long, n_known long, log_c double, log_model double, rare array<binary>, times array<int>, unseen array<double>"
+    rows = checkpointed(d.mapInArrow(_scores(m.vocabulary, m.model), schema))
+    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times", "unseen")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.unseen").alias("unseen"))
+    rare = rare.join(m.counts.filter(~m.frequent), "word", "left").select("uid", "times", "unseen", F.coalesce("c", F.lit(0)).alias("c"))
     log_c = F.col("times") * F.log10(F.col("c") + 1.0)
-    rest = rare.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), log_c.alias("log_c"), log_c.alias("log_model"))
+    log_model = F.col("times") * F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(m.discount))).otherwise(F.col("unseen"))
+    rest = rare.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), log_c.alias("log_c"), log_model.alias("log_model"))
     own = rows.select("uid", "doc_id", "n_tokens", "n_known", "log_c", "log_model")
     whole = own.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "log_c", "log_model")])
-    base = F.col("log_c") - F.col("n_tokens") * float(np.log10(total + types + 1))
-    return whole.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("log_model").alias("score"))
+    base = F.col("log_c") - F.col("n_tokens") * float(np.log10(m.total + m.types + 1))
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("log_model").alias("score"))
 
 
 def held_out(key: Column) -> Column:

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import gru, lm
 
-SHAPE = gru.Shape((0, 2, 5), 3)
+SHAPE = gru.Shape((0, 2, 5, 6, 7, 8))
 
 
 def plain_log_likelihood(p, shape, text):
     """One step at a time, the probabilities of all tokens in full."""
     h, x, total = np.zeros(gru.HIDDEN), shape.size, 0.0
-    kinds = shape.class_of()
     s = lambda v: 1 / (1 + np.exp(-v))
     n = gru.HIDDEN
     for y in text:
@@ -24,8 +23,8 @@ def plain_log_likelihood(p, shape, text):
         h = (1 - z) * np.tanh(a[2 * n :] + r * v[2 * n :]) + z * h
         soft = lambda u: np.exp(u - u.max()) / np.exp(u - u.max()).sum()
         q = soft(h @ p["class_w"] + p["class_b"])
-        every = np.concatenate([q[c] * soft((h @ p["word_w"] + p["word_b"])[a:b]) for c, (a, b) in enumerate(zip(shape.bounds, shape.bounds[1:]))] + [q[shape.groups :]])
-        assert abs(every.sum() - 1) < 1e-5 and kinds[y] < shape.classes
+        every = np.concatenate([q[c] * soft((h @ p["word_w"] + p["word_b"])[a:b]) for c, (a, b) in enumerate(zip(shape.bounds, shape.bounds[1:]))])
+        assert abs(every.sum() - 1) < 1e-5
         total, x = total + math.log(every[y]), y
     return total
 
@@ -62,14 +61,14 @@ def test_gradients():
             s = 1 / (1 + np.exp(-(a[:, : 2 * n] + v[:, : 2 * n])))
             c = np.tanh(a[:, 2 * n :] + s[:, n:] * v[:, 2 * n :])
             hh = states[t] = c + s[:, :n] * (hh - c)
-        lp = gru._log_softmax(states[used] @ q["class_w"] + q["class_b"])
+        log_softmax = lambda u: u - np.log(np.exp(u).sum(axis=1, keepdims=True))
+        lp = log_softmax(states[used] @ q["class_w"] + q["class_b"])
         kinds, out = SHAPE.class_of()[y[used]], 0.0
         for i, k in enumerate(kinds):
             out -= lp[i, k]
-            if k < SHAPE.groups:
-                a, b = SHAPE.bounds[k], SHAPE.bounds[k + 1]
-                w = (states[used][i] @ q["word_w"] + q["word_b"])[None, a:b]
-                out -= gru._log_softmax(w)[0, y[used][i] - a]
+            a, b = SHAPE.bounds[k], SHAPE.bounds[k + 1]
+            w = (states[used][i] @ q["word_w"] + q["word_b"])[None, a:b]
+            out -= log_softmax(w)[0, y[used][i] - a]
         return out / used.sum()
 
     # gradients run in single precision
@@ -141,9 +140,67 @@ def test_learns_from_whole_texts(spark):
     tail = np.zeros((2, lm.TAIL))
     for w, c in words.items():
         tail[:, lm.tail_of(w)] += c, 1
-    packed = ("whole texts", b" ".join(words), np.array(list(words.values())), len(rows), *tail)
+    packed = ("whole texts", b" ".join(words), np.array(list(words.values())), len(rows), *tail, 0.5)
     v = lm.Vocabulary(list(words), *packed[2:])
     got = lm.encoded(df, spark.sparkContext.broadcast(packed)).collect()
     want = [v.read(lm.words_of(t))[0].tolist() for _, t in rows]
     assert sorted(np.frombuffer(r["tokens"], "<u2").tolist() for r in got) == sorted(want)
     assert len({r["key"] for r in got}) == len(set(rows))  # copies of a text are spread over tasks
+
+
+@pytest.mark.parametrize("table", [300_000, 40])
+def test_score_against_brute_force(spark, monkeypatch, table):
+    monkeypatch.setattr(lm, "TABLE", table)
+    monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "LEARN", 30_000)
+    rows = [(i, t) for i, t in docs(200)] + [(9000, "a1 b2 c3 Unheard " * 700)]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = lm.learn(df.filter(~lm.held_out(F.col("doc_id"))))
+    p, v = m.model.value, m.words
+    words = lambda t: [*(t or "").encode().lower().split(), None]
+    c = Counter(w for i, t in rows if not held(i) for w in words(t))
+    ranked = sorted((w for w in c if w is not None), key=lambda w: (-c[w], w))
+    head, tail = set(ranked[:30]) & set(v.at), [w for w in ranked if w not in set(ranked[:30])]
+    once, twice = (sum(c[w] == k for w in ranked) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice)))
+    n, types = Counter(), Counter()
+    for w in tail:
+        n[lm.tail_of(w)] += c[w]
+        types[lm.tail_of(w)] += 1
+
+    def brute(t):
+        tokens, share = [], 0.0
+        for w in words(t):
+            if w is None or w in head:
+                tokens.append(v.end if w is None else int(v.token[v.at[w]]))
+                continue
+            j = lm.tail_of(w)
+            tokens.append(int(v.tails[j]))
+            if n[j]:
+                share += math.log10((c[w] - d if c[w] else d * types[j]) / n[j])
+        return share + plain_log_likelihood(p, v.shape, tokens) / math.log(10)
+
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.scores(df, m).collect()}
+    assert head == set(ranked[:30])
+    for i, t in rows:
+        assert got[i, len(words(t))] == pytest.approx(brute(t), rel=1e-4, abs=1e-3)
+
+
+def test_shares_of_a_tail_token_add_up_to_one():
+    words, counts = [b"xaa", b"yaa", b"zaa", b"qbb"], np.array([5, 1, 1, 2])
+    n, types = np.zeros((2, lm.TAIL))
+    for w, k in zip(words, counts, strict=True):
+        n[lm.tail_of(w)] += k
+        types[lm.tail_of(w)] += 1
+    v = lm.Vocabulary(words, counts, 3, n, types, 0.4, head=0)
+    j = lm.tail_of(b"xaa")
+    own = [10 ** (v.share_log[i] - v.tail_log[v.tails[j]]) for i in range(3)] + [10 ** (v.unseen_log[j] - v.tail_log[v.tails[j]])]
+    assert sum(own) == pytest.approx(1)
+
+
+def test_held_out_documents_gain_over_the_base(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in lm.score(df, lm.held_out(F.col("doc_id"))).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)  # a tenth fewer bits
+    assert np.mean([r["score"] < r["base_score"] for r in got]) < 0.01
