@@ -4,13 +4,13 @@ A document is contaminated by an item if some window of as many words as the ite
 if it is shorter) has a weighted Jaccard similarity of at least 0.8 with it over five-word shingles,
 repeats counted. Words are lower-cased and lose punctuation at their ends.
 
-1. Similar texts share a shingle, so only windows over a shingle of the item are looked at; finding them
-   is a vectorised lookup of word ids.
-2. Each such window gets a SimHash. Eight blocks of eight bits index the items' fingerprints: within
-   ``RADIUS`` = 24 of 64 bits some block differs in at most 3, so its table of blocks names every item
-   within the radius. At the similarity asked for, fingerprints differ in some 10 bits with a deviation
-   of 3, so the radius lies five deviations off.
-3. The exact weighted similarity decides.
+1. Every window of every item's size gets a SimHash of its shingles, by running counts of all 64 bits: the
+   counts lie in bit planes, one 64-bit word a place, so one more shingle is a few vector operations.
+2. Four blocks of sixteen bits index the items' fingerprints of a size. Within ``RADIUS`` = 15 bits some
+   block differs in at most 3, and the table of that block names every item within 3 of each value; so all
+   fingerprints within the radius are found, and 4.3 % of unrelated pairs are looked at.
+3. The exact weighted similarity decides. At 0.8 fingerprints differ in some 10 bits with a deviation of 3;
+   tests measure how many similar windows lie within the radius.
 
 Documents are only mapped over: nothing is shuffled, and no group can grow hot. The items go to the
 executors in blocks of at most ``BLOCK_WORDS`` words (one item at least); each block is one pass.
@@ -19,6 +19,7 @@ executors in blocks of at most ``BLOCK_WORDS`` words (one item at least); each b
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,24 +28,26 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tessera.llm.common import n_words
-from tessera.llm.simhash import bit_counts, majority, shingle_hashes
 
 #: Words in a shingle.
 SHINGLE = 5
 #: Least similarity.
 SIMILARITY = 0.8
-#: Fingerprint bits that may differ before the exact comparison.
-RADIUS = 24
+#: Fingerprint bits that may differ, and blocks of the index.
+RADIUS, BLOCKS = 15, 4
 #: Words of items sent to the executors at a time.
-BLOCK_WORDS = 2_000_000
-#: Words whose ids a Python worker remembers.
+BLOCK_WORDS = 200_000
+#: Words whose hashes a Python worker remembers.
 CACHE = 400_000
-#: Windows whose fingerprints are made at a time.
-WINDOWS = 2048
+#: Words of documents handled together, and windows whose counts are kept at a time.
+TOGETHER, CHUNK = 1 << 18, 1 << 14
+#: Entry of a table for a value with several fingerprints, or one beyond the entries' range.
+MANY = 255
 
-_MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def normal(word: str) -> str:
@@ -65,141 +68,242 @@ def normal_words(text: str | None) -> list[str]:
     return [w for w in map(normal, (text or "").split()) if w]
 
 
-class BlockIndex:
-    """Fingerprints by blocks of eight bits; finds all within a Hamming radius, exactly."""
-
-    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
-        self.fps, self.radius = fps, radius
-        values = np.arange(256, dtype=np.uint8)
-        blocks = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8)
-        self.near = [np.bitwise_count(values[:, None] ^ blocks[None, :, b]) <= radius // 8 for b in range(8)]
+class _Hashes(dict):
+    """Raw words to places in ``table``, which has the hash of their normal form, 0 for punctuation alone."""
 
-    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, fingerprint) at a distance of at most the radius."""
-        blocks = np.ascontiguousarray(queries, "<u8").view(np.uint8).reshape(-1, 8)
-        some = np.zeros((len(queries), len(self.fps)), bool)
-        for b in range(8):
-            some |= self.near[b][blocks[:, b]]
-        q, f = np.nonzero(some)
-        ok = np.bitwise_count(queries[q] ^ self.fps[f]) <= self.radius
-        return q[ok], f[ok]
-
-
-class _Ids(dict):
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.table = array("Q")
 
     def __missing__(self, raw: str) -> int:
         w = normal(raw)
-        self[raw] = got = self.vocabulary.get(w, 0) if w else -1
-        return got
+        self[raw] = place = len(self.table)
+        self.table.append((xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) or 1) if w else 0)
+        return place
+
+    def of(self, raw: list[str]) -> np.ndarray:
+        places = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        return np.array(self.table, np.uint64)[places] if len(raw) else np.zeros(0, np.uint64)
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = array("Q")
+
+
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words, given the words' hashes."""
+    m = max(0, len(words) - n + 1)
+    h = np.zeros(m, np.uint64)
+    for j in range(n):
+        h += words[j : m + j] * _MULTIPLIERS[j % len(_MULTIPLIERS)]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+class RunningCounts:
+    """How many of the shingles from each place on have each bit set, for windows that grow by one.
+
+    Plane k holds, for all 64 bits of a place at once, bit k of the counts.
+    """
+
+    def __init__(self, hashes: np.ndarray, places: int):
+        self.hashes, self.places, self.size, self.planes = hashes, places, 0, []
+        self.carry, self.spare = np.empty(places, np.uint64), np.empty(places, np.uint64)
+
+    def grow(self) -> None:
+        """Windows of one shingle more; those that run over the end count no more."""
+        n = max(0, min(self.places, len(self.hashes) - self.size))
+        carry, spare = self.carry[:n], self.spare[:n]
+        carry[:] = self.hashes[self.size : self.size + n]
+        self.size += 1
+        if self.size.bit_length() > len(self.planes):
+            self.planes.append(np.zeros(self.places, np.uint64))
+        for p in self.planes:
+            q = p[:n]
+            np.bitwise_and(q, carry, out=spare)
+            np.bitwise_xor(q, carry, out=q)
+            carry, spare = spare, carry
+
+    def majority(self, at: np.ndarray | None = None) -> np.ndarray:
+        """Fingerprints of the windows (at some places): the bits set in over half of the shingles."""
+        half, planes = self.size // 2, self.planes if at is None else [p[at] for p in self.planes]
+        above, equal = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+        for k in range(len(planes) - 1, -1, -1):
+            if half >> k & 1:
+                equal &= planes[k]
+            else:
+                above |= equal & planes[k]
+                equal &= ~planes[k]
+        return above
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of all the shingles together."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
+class BlockIndex:
+    """Fingerprints by blocks of sixteen bits; finds all within a Hamming radius, exactly.
+
+    The table of a block lists, sorted by value, every fingerprint under each value that differs from its
+    own in at most ``radius // BLOCKS`` bits; where that is one alone, the value leads straight to it.
+    """
+
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
+        self.fps, self.radius = np.ascontiguousarray(fps, np.uint64), radius
+        values = np.arange(1 << 16, dtype=np.uint16)
+        masks = values[np.bitwise_count(values) <= radius // BLOCKS]
+        self.tables = []
+        for block in np.ascontiguousarray(self.fps, "<u8").view("<u2").reshape(-1, BLOCKS).T:
+            keys = (block[:, None] ^ masks).ravel()
+            members = np.repeat(np.arange(len(self.fps)), len(masks))
+            order = np.argsort(keys, kind="stable")
+            only = np.zeros(1 << 16, np.uint8)
+            only[keys] = np.minimum(members + 1, MANY)
+            values, times = np.unique(keys, return_counts=True)
+            only[values[times > 1]] = MANY
+            self.tables.append((only, keys[order], members[order]))
+
+    def listed(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block, the pairs (query, fingerprint) that its table names."""
+        value, bits = np.empty(len(queries), np.int64), 64 // BLOCKS
+        for b, (only, keys, members) in enumerate(self.tables):
+            np.right_shift(queries.view(np.int64), bits * b, out=value)
+            value &= (1 << bits) - 1
+            code = np.take(only, value, mode="wrap")
+            q = np.flatnonzero(code != 0)
+            code = code[q]
+            one = code < MANY
+            if one.all():
+                yield q, code - np.int64(1)
+                continue
+            yield q[one], code[one] - np.int64(1)
+            q = q[~one]
+            near = value[q].astype(np.uint16)
+            first = np.searchsorted(keys, near, "left")
+            n = np.searchsorted(keys, near, "right") - first
+            yield np.repeat(q, n), members[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (query, fingerprint) at a distance of at most the radius."""
+        found = []
+        for q, f in self.listed(queries):
+            ok = np.flatnonzero(np.bitwise_count(queries[q] ^ self.fps[f]) <= self.radius)
+            if len(ok):
+                found.append(q[ok] * len(self.fps) + f[ok])
+        return tuple(np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(self.fps))))
 
 
 class Matcher:
     """The items of one block, ready to be looked for in texts."""
 
     def __init__(self, items: list[tuple[int, str | None]], k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
-        self.k, self.similarity = k, similarity
+        self.k, self.similarity, self.hashes = k, similarity, _Hashes()
         self.items = [(i, w) for i, t in items if (w := normal_words(t))]
-        self.vocabulary: dict[str, int] = {}
-        for _, words in self.items:
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.ids = _Ids(self.vocabulary)
-        self.counts, keys, by_size = [], defaultdict(lambda: defaultdict(set)), defaultdict(list)
+        members: dict[tuple[int, int], list] = defaultdict(list)  # by words of a shingle and shingles of the item
+        self.counts, self.own = [], []
         for at, (_, words) in enumerate(self.items):
-            ids, n = np.array([self.vocabulary[w] for w in words], np.int32), min(k, len(words))
-            self.counts.append(Counter(ids[i : i + n].tobytes() for i in range(len(ids) - n + 1)))
-            for h in self._rolled(ids, np.arange(len(ids) - n + 1), n).tolist():
-                keys[n][h].add(at)
-            by_size[len(words)].append(at)
-        self.keys = {}
-        for n, table in keys.items():
-            hashes = np.array(sorted(table), np.uint64)
-            self.keys[n] = (hashes, [sorted(table[h]) for h in hashes.tolist()])
-        self.index = {}
-        for size, members in by_size.items():
-            fps = [shingle_hashes([w.encode("utf-8", "surrogatepass") for w in self.items[m][1]], k) for m in members]
-            self.index[size] = (members, BlockIndex(np.array([majority(bit_counts(np.array(h, "<u8")), len(h)) for h in fps], np.uint64), radius))
-
-    @staticmethod
-    def _rolled(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(len(at), np.uint64)
-        for j in range(n):
-            h += ids[at + j].astype(np.uint64) * _MULTIPLIERS[j]
-        return h
+            n = min(k, len(words))
+            self.counts.append(Counter(zip(*(words[i : len(words) - n + 1 + i] for i in range(n)), strict=True)))
+            self.own.append(shingles(self.hashes.of(words), n))
+            members[n, len(words) - n + 1].append(at)
+        self.index = {key: (m, BlockIndex(np.array([fingerprint(self.own[x]) for x in m], np.uint64), radius)) for key, m in sorted(members.items())}
+        self.own = [frozenset(x.tolist()) for x in self.own]
 
     def matches(self, text: str | None) -> list[tuple[int, float, int]]:
         """For each matched item: its id, the best similarity and the first window (in words) that has it."""
-        raw = (text or "").split()
-        if not raw or not self.items:
-            return []
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        ids = np.fromiter(map(self.ids.__getitem__, raw), np.int32, len(raw))
-        known = ids > 0
-        if not known.any():
-            return []
-        used = None
-        if (ids < 0).any():
-            used = np.flatnonzero(ids >= 0)
-            ids, known = ids[used], known[used]
-        spans: dict[int, list[np.ndarray]] = defaultdict(list)
-        for n, (hashes, members) in self.keys.items():
-            if len(ids) < n:
+        return self.matches_of([text])[0]
+
+    def matches_of(self, texts: list[str | None]) -> list[list[tuple[int, float, int]]]:
+        """``matches`` of each text."""
+        out: list[list] = []
+        raw, total = [], 0
+        for t in texts:
+            raw.append((t or "").split())
+            total += len(raw[-1])
+            if total >= TOGETHER:
+                out += self._search(raw)
+                raw, total = [], 0
+        return out + self._search(raw)
+
+    def _search(self, raw: list[list[str]]) -> list[list[tuple[int, float, int]]]:
+        if len(self.hashes) > CACHE:
+            self.hashes.forget()
+        best: list[dict] = [{} for _ in raw]
+        stream, size = self.hashes.of([w for r in raw for w in r]), np.array([len(r) for r in raw], np.int64)
+        if not stream.all():
+            size = np.bincount(np.repeat(np.arange(len(raw)), size)[stream > 0], minlength=len(raw))
+            stream = stream[stream > 0]
+        for n in sorted({n for n, _ in self.index}):
+            at_all = shingles(stream, n)
+            count = np.maximum(size - n + 1, 0)  # of shingles in each text
+            first, left = np.cumsum(count) - count, np.repeat(np.cumsum(count), count) - np.arange(int(count.sum()))
+            doc = np.repeat(np.arange(len(raw)), count)
+            h = at_all[np.repeat((np.cumsum(size) - size) - first, count) + np.arange(len(left))] if len(left) else at_all[:0]
+            self._windows(n, h, left, first, doc, raw, best)
+        return [[(self.items[m][0], s, p) for m, (s, p) in sorted(b.items())] for b in best]
+
+    def _windows(self, n: int, h: np.ndarray, left: np.ndarray, first: np.ndarray, doc: np.ndarray, raw: list, best: list) -> None:
+        """All windows over the stream ``h`` of shingles; ``left`` is how many remain in the text from a place on."""
+        sizes = sorted(m for k, m in self.index if k == n)
+        for a in range(0, len(h), CHUNK):
+            here = left[a : a + CHUNK]
+            counts = RunningCounts(h[a : a + CHUNK + sizes[-1] - 1], len(here))
+            begins = np.flatnonzero(first[doc[a : a + CHUNK]] == np.arange(a, a + len(here)))
+            short = {}  # texts shorter than an item are one window
+            if n == self.k:
+                for p, m in zip(begins.tolist(), here[begins].tolist(), strict=True):
+                    if m < sizes[-1]:
+                        short.setdefault(m, []).append(p)
+            for m in range(1, sizes[-1] + 1):
+                counts.grow()
+                if (n, m) in self.index:
+                    self._verify(n, m, m, h, a, None, counts.majority(), here, first, doc, raw, best)
+                if m in short:
+                    at = np.array(short[m])
+                    fps = counts.majority(at)
+                    for longer in sizes:
+                        if m < longer and m >= self.similarity * longer:
+                            self._verify(n, longer, m, h, a, at, fps, here, first, doc, raw, best)
+
+    def _verify(self, n: int, m: int, width: int, h: np.ndarray, a: int, at: np.ndarray | None, fps: np.ndarray, here: np.ndarray, first: np.ndarray, doc: np.ndarray, raw: list, best: list) -> None:
+        """Compare the windows of ``width`` shingles at some places (all) exactly where fingerprints are near."""
+        members, index = self.index[n, m]
+        q, f = index.within(fps)
+        q = q if at is None else at[q]
+        inside = here[q] >= width  # others run into the next text
+        for q, f in zip(q[inside].tolist(), f[inside].tolist(), strict=True):
+            place, item = a + q, members[f]
+            if self.own[item].isdisjoint(h[place : place + width].tolist()):
                 continue
-            run = known[: len(ids) - n + 1].copy()
-            for j in range(1, n):
-                run &= known[j : len(ids) - n + 1 + j]
-            at = np.flatnonzero(run)
-            if not len(at):
-                continue
-            h = self._rolled(ids, at, n)
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            for p, key in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
-                for size in {len(self.items[m][1]) for m in members[key]}:
-                    last = max(0, len(ids) - size)
-                    spans[size].append(np.arange(min(last, max(0, p - size + n)), min(p, last) + 1))
-        best: dict[int, tuple[float, int]] = {}
-        for size, found in spans.items():
-            starts = np.unique(np.concatenate(found))
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-                for k in range(0, len(part), WINDOWS):
-                    self._verify(raw, used, ids, size, part[k : k + WINDOWS], best)
-        return [(self.items[m][0], s, p) for m, (s, p) in sorted(best.items())]
-
-    def _verify(self, raw, used, ids, size, starts, best) -> None:
-        a, b = int(starts[0]), min(len(ids), int(starts[-1]) + size)
-        words = [normal(raw[i]).encode("utf-8", "surrogatepass") for i in (range(a, b) if used is None else used[a:b].tolist())]
-        n, width = min(self.k, size), min(size, len(ids))
-        k = min(self.k, width)
-        h = np.array(shingle_hashes(words, k), "<u8")
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
-        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-        per = width - k + 1
-        c = sums[starts - a + per] - sums[starts - a]
-        fps = np.packbits(2 * c > per, axis=1, bitorder="little").view("<u8").reshape(-1)
-        members, index = self.index[size]
-        for q, f in zip(*(x.tolist() for x in index.within(fps)), strict=True):
-            m, at = members[f], int(starts[q])
-            own = Counter(ids[i : i + n].tobytes() for i in range(at, at + width - n + 1)) if width >= n else Counter()
-            both = sum(min(x, own[s]) for s, x in self.counts[m].items() if s in own)
-            every = sum(self.counts[m].values()) + max(1, width - n + 1) - both
-            s = both / every
-            if s >= self.similarity and (m not in best or (s, -at) > (best[m][0], -best[m][1])):
-                best[m] = (s, at)
+            d = int(doc[place])
+            start = place - int(first[d])
+            w = self._normal(raw, d)[start : start + width + n - 1]
+            window = Counter(zip(*(w[i : width + i] for i in range(n)), strict=True))
+            both = sum(min(x, window[s]) for s, x in self.counts[item].items() if s in window)
+            s = both / (m + width - both)
+            if s >= self.similarity and (item not in best[d] or (s, -start) > (best[d][item][0], -best[d][item][1])):
+                best[d][item] = (s, start)
+
+    def _normal(self, raw: list, d: int) -> list[str]:
+        """The normal words of one of the texts at hand; the latest are kept."""
+        if getattr(self, "_last", (None, None))[0] is not raw or self._last[1] != d:
+            self._last = (raw, d, [w for w in map(normal, raw[d]) if w])
+        return self._last[2]
 
 
 def matchers(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> list:
-    """The items in blocks of bounded size, each broadcast."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    """The distinct items in blocks of bounded size, each broadcast with how often every item occurs."""
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).groupBy("i", "t").agg(F.count("*").alias("times"))
     total = rows.agg(F.sum(n_words(F.col("t")))).first()[0] or 0
     n, sc = -(-total // BLOCK_WORDS), items.sparkSession.sparkContext
     out = []
     for b in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect() if n > 1 else rows.collect()
+        block = sorted((rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else rows).collect(), key=str)
         out.append(sc.broadcast((uuid.uuid4().hex, [tuple(r) for r in block], k, similarity, radius)))
     return out
 
@@ -208,11 +312,11 @@ _built: dict = {}
 
 
 def _matcher(shared) -> Matcher:
-    """This worker's matcher of a broadcast block; only the latest is kept."""
-    name, *rest = shared.value
+    """This worker's matcher of a broadcast block, whose items are its rows; only the latest is kept."""
+    name, rows, *rest = shared.value
     if name not in _built:
         _built.clear()
-        _built[name] = Matcher(*rest)
+        _built[name] = Matcher([(r, t) for r, (_, t, _) in enumerate(rows)], *rest)
     return _built[name]
 
 
@@ -220,15 +324,17 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
     """doc_id, item_id, similarity and window for each document and item that it holds.
 
     Clean documents give no row, nor do null or empty texts or items; repeated documents or items match
-    each; ties in similarity go to the first window; further columns are ignored.
+    each; null keys are kept; texts are searched whole, however long; ties in similarity go to the first
+    window; empty tables give no rows; further columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = _matcher(shared)
+            m, ids = _matcher(shared), [(i, times) for i, _, times in shared.value[1]]
             for b in batches:
-                rows = [(doc, *x) for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in m.matches(t.as_py())]
+                found = zip(b.column(0).to_pylist(), m.matches_of(b.column(1).to_pylist()), strict=True)
+                rows = [(doc, ids[r][0], s, p) for doc, own in found for r, s, p in own for _ in range(ids[r][1])]
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "window"])
@@ -245,13 +351,16 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated ones; columns stay as they are."""
+    """``docs`` without the contaminated ones; columns and all other rows stay as they are.
+
+    Null and empty texts stay, as do rows with null keys; repeated rows stay or go alike; texts are searched
+    whole; without items all rows stay; an empty table gives no rows.
+    """
 
     def found(shared):
         @F.pandas_udf("boolean")
         def contaminated(texts: pd.Series) -> pd.Series:
-            m = _matcher(shared)
-            return texts.map(lambda t: bool(m.matches(t)))
+            return pd.Series([bool(x) for x in _matcher(shared).matches_of(texts.tolist())], dtype=bool)
 
         return contaminated
 

@@ -59,10 +59,58 @@ def test_matches_against_every_window():
 def test_block_index_is_exact():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    q = np.r_[a[:50] ^ np.uint64(0b1011), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]
-    for radius in (3, 10, 24):
+    a = np.r_[a, a[:9], a[:3] ^ np.uint64(1 << 40)]  # repeated and near fingerprints
+    q = np.r_[a[:50] ^ np.uint64(0b1011), a[:20] ^ np.uint64(0xF00F00F00F00), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]
+    for radius in (3, 10, 15):
         got = set(zip(*(x.tolist() for x in dc.BlockIndex(a, radius).within(q)), strict=True))
         assert got == {(i, j) for i in range(len(q)) for j in range(len(a)) if bin(int(q[i] ^ a[j])).count("1") <= radius}
+    assert len(dc.BlockIndex(a[:0]).within(q)[0]) == len(dc.BlockIndex(a).within(q[:0])[0]) == 0
+
+
+def test_the_index_admits_few_pairs():
+    rng = np.random.default_rng(1)
+    a, q = (rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64) for n in (300, 3000))
+    listed = {(x, y) for i, j in dc.BlockIndex(a).listed(q) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+    assert len(listed) < 0.05 * len(a) * len(q)
+
+
+def test_running_counts():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 90, dtype=np.uint64)
+    counts = dc.RunningCounts(h, 60)
+    for m in range(1, 71):
+        counts.grow()
+        fps = counts.majority()
+        for i in range(0, min(60, 90 - m + 1), 7):
+            assert int(fps[i]) == dc.fingerprint(h[i : i + m]) == int(counts.majority(np.array([i]))[0])
+
+
+def test_recall_of_edited_passages():
+    rng, seen, found = random.Random(7), 0, 0
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(15, 70)))) for k in range(200)]
+    m = dc.Matcher(items)
+    for i, t in items:
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randrange(1, 3)):  # edits near the ends leave most shingles
+                at = rng.choice([0, 1, 2, len(w) - 1, len(w) - 2, rng.randrange(len(w))])
+                w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"]])
+            text = " ".join([*(f"x{rng.randrange(3000)}" for _ in range(30)), *w, *(f"y{rng.randrange(3000)}" for _ in range(30))])
+            for j, s, at in brute(text, [(i, t)]):
+                seen += 1
+                found += (j, s, at) in m.matches(text)
+    assert seen > 300 and found >= 0.97 * seen
+
+
+def test_texts_together_and_long_texts(monkeypatch):
+    items, docs = cases(4, 40)
+    long = " ".join(docs[:30]) * 3
+    want = [brute(t, items) for t in docs]
+    m = dc.Matcher(items)
+    assert m.matches(long) == brute(long, items)
+    monkeypatch.setattr(dc, "CHUNK", 50)
+    monkeypatch.setattr(dc, "TOGETHER", 300)
+    monkeypatch.setattr(dc, "CACHE", 200)
+    assert m.matches_of([*docs, long]) == [*want, brute(long, items)]
 
 
 def test_frames(spark, monkeypatch):
@@ -78,3 +126,5 @@ def test_frames(spark, monkeypatch):
     assert sorted(tuple(r) for r in dc.matches(d, i).collect()) == want
     assert dc.matches(d, i.limit(0)).count() == 0 and dc.clean(d, i.limit(0)).count() == len(docs) + 1
     assert dc.matches(d.limit(0), i).count() == 0
+    twice = sorted(tuple(r) for r in dc.matches(d, i.unionByName(i.filter("item_id = 6"))).collect())
+    assert twice == sorted(want + [x for x in want if x[1] == 6])  # a repeated item matches each time
