@@ -69,15 +69,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return majority(counts, n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, kind: str = "long") -> DataFrame:
+    """doc_id (the key as ``kind``) and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(1)), "<u8", len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8"))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,38 +190,42 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     rows are rows of their own; null keys never name a component unless it has no other; an empty table
     gives no rows; further columns are ignored.
     """
-    return _grouped(docs, id_col, text_col, k).select("doc_id", "fp", "component_id")
+    d = checkpointed(fingerprints(docs, id_col, text_col, k))
+    own = _roots(d)
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return d.join(own.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``group`` with the column root, a fingerprint that names the group even where two share a component_id."""
-    d = checkpointed(fingerprints(docs, id_col, text_col, k))
+def _roots(d: DataFrame) -> DataFrame:
+    """Each distinct fingerprint fp of ``d`` with the least doc_id that has it and the root that names its group."""
     distinct = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct))
-    own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select("fp", "root", "component_id")
-    return d.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``docs`` with the document of smallest key of each group; rows without a key stay.
+    """``docs`` with one row of each group: the one of smallest key, null last, and of equal keys the one whose text hashes lowest.
 
-    Rows that share a key with another are told apart by their fingerprints; of several in a group one stays.
+    Rows are decided on by key and text, so rows with different texts that share a key are different
+    documents, and rows without a key are deduplicated like any other. Of rows with equal key and text
+    one stays, whatever their further columns hold. Null text counts as empty, texts without words
+    are one group, texts are hashed whole, an empty table gives no rows; columns stay as they are.
     """
-    g = checkpointed(_grouped(docs, id_col, text_col, k))
-    gone = g.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    twice = checkpointed(g.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")))
-    if not twice.isEmpty():
-        out = out.join(twice, out[id_col] == F.col("__twice"), "left_anti")
-        named = docs.join(twice, docs[id_col] == F.col("__twice"), "left_semi")
-        named = checkpointed(named.withColumn("__row", F.monotonically_increasing_id()))
-        fps = fingerprints(named.select("__row", F.col(text_col).alias("__text")), "__row", "__text", k).select(F.col("doc_id").alias("__at"), F.col("fp").alias("__fp"))
-        first = g.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-        named = named.join(fps, F.col("__row") == F.col("__at")).join(first, "__fp").filter(F.col(id_col) == F.col("__id"))
-        out = out.unionByName(named.dropDuplicates(["__root"]).select(*docs.columns))
-    return out
+    key, name = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    named = docs.select(F.struct(key.isNull().alias("lost"), key.alias("id"), name.alias("name")).alias("doc_id"), docs[text_col].alias("text"))
+    d = checkpointed(fingerprints(named, "doc_id", "text", k, "struct<lost: boolean, id: bigint, name: bigint>"))
+    own = _roots(d)
+    kept = own.groupBy("root").agg(F.min("least").alias("kept"))
+    rows = d.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(own.join(kept, "root").select("fp", "kept"), "fp")
+    # few rows are not to be judged by their key and text alone: those that go, and those kept that occur again
+    odd = checkpointed(rows.select("doc_id.id", "doc_id.name", (F.col("doc_id") == F.col("kept")).alias("stays"), "n").filter("NOT stays OR n > 1"))
+    gone = odd.select(F.col("id").alias("__gone_id"), F.col("name").alias("__gone_name"))
+    out = docs.join(gone, key.eqNullSafe(F.col("__gone_id")) & (name == F.col("__gone_name")), "left_anti")
+    twice = odd.filter("stays").select(F.col("id").alias("__twice_id"), F.col("name").alias("__twice_name"))
+    if twice.isEmpty():  # the usual case, where texts need not be joined once more
+        return out
+    again = docs.join(twice, key.eqNullSafe(F.col("__twice_id")) & (name == F.col("__twice_name"))).dropDuplicates(["__twice_id", "__twice_name"])
+    return out.unionByName(again.select(*[docs[c] for c in docs.columns]))
 
 
 def hex_of(fp):

@@ -91,7 +91,7 @@ def test_large_sets_give_linear_links():
 
 def test_repeated_and_missing_keys(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, "zz")], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in sh.keep_one(docs).collect()) == ["1", "3", "None"]
+    assert sorted(str(r["doc_id"]) for r in sh.keep_one(docs).collect()) == ["1", "3"]
     empty = docs.limit(0)
     assert sh.group(empty).count() == 0 and sh.keep_one(empty).count() == 0
 
@@ -105,9 +105,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def kept(spark, rows):
+    docs = spark.createDataFrame([(t, "x", i) for i, t in rows], "text string, fp string, doc_id long").repartition(3)
+    out = sh.keep_one(docs)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
 def test_repeated_keys_keep_one_row_of_each_group(spark):
-    words = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
-    rows = [(5, words("a")), (5, words("b")), (3, words("b")), (8, words("a")), (9, words("c")), (9, words("c")), (9, words("d")), (None, words("a"))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, sh.keep_one(docs).collect()), key=str)
-    assert got == sorted([(5, words("a")), (3, words("b")), (9, words("c")), (9, words("d")), (None, words("a"))], key=str)
+    a, b, c, d = (" ".join(f"{seed}{i}" for i in range(60)) for seed in "abcd")
+    assert kept(spark, [(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert kept(spark, [(5, a), (5, c)]) == sorted([(5, a), (5, c)], key=str)
+    assert kept(spark, [(None, a), (None, a), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert kept(spark, [(None, a), (7, a), (7, a)]) == [(7, a)]
+    rows = [(5, a), (5, b), (3, b), (8, a), (9, c), (9, c), (9, d), (None, a), (None, None), (11, ""), (12, " \n")]
+    assert kept(spark, rows) == sorted([(5, a), (3, b), (9, c), (9, d), (11, "")], key=str)
+
+
+def test_many_copies_and_a_long_text(spark):
+    long = "very long text " + " ".join(f"w{i % 9000}" for i in range(60_000))
+    rows = [(i, "one text of many copies here") for i in range(400)] + [(1000, long), (1001, long + " end")]
+    assert [i for i, _ in kept(spark, rows)] == [0, 1000]
