@@ -1,8 +1,9 @@
 """Connected components of a table of links, without gathering them anywhere.
 
 Large-star and small-star steps in turn: each joins every node's neighbours to the least node seen, until
-the links form stars. Both steps only aggregate minima and join on the node; hot nodes are split by the
-adaptive skew join, and each round is checkpointed.
+the links form stars. Both steps only aggregate minima, at first within the tasks, and join on the node.
+The join has a key of its own, so that its sides are exchanged apart from the aggregate and the adaptive
+skew join may split a hot node's links; each round is checkpointed.
 """
 
 from __future__ import annotations
@@ -13,15 +14,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed
 
 
+def _least(links: DataFrame, node: str, least: DataFrame) -> DataFrame:
+    """``links`` with the column m of their node's row in ``least``."""
+    apart = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long"))
+    return links.withColumn("__k", apart(node)).join(least.select(apart(node).alias("__k"), "m"), "__k").drop("__k")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    return _least(both.filter("v > u"), "u", least).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
 
 
 def _small(e: DataFrame) -> DataFrame:
     least = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).filter("x <> y")
+    moved = _least(e, "b", least).select(F.col("m").alias("x"), F.col("a").alias("y")).filter("x <> y")
     own = least.select(F.col("m").alias("x"), F.col("b").alias("y"))
     return moved.unionByName(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
