@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes features with a linear support vector machine.
 
-Features are the presence of the byte 1- to 3-grams of the whole text, hashed to 2**16 places, and one
-place for a word that stands three times in a row. Indicators are scaled by the log-count ratio of the two
-classes; the hinge loss is minimised by dual coordinate descent, the rarer class weighted up. A logistic
-curve fitted on labelled rows that the machine has not seen turns margins into scores.
+Features are the presence of the byte 1- to 3-grams of the whole text, hashed to 2**16 places. Indicators
+are scaled by the log-count ratio of the two classes; the hinge loss is minimised by dual coordinate
+descent, the rarer class weighted up. A logistic curve fitted on labelled rows that the machine has not
+seen turns margins into scores.
 
 The fit uses at most ``FIT_ROWS`` labelled rows, those whose keys hash lowest; they come to the driver as
 lists of places. Scoring maps over all whole texts.
@@ -11,7 +11,6 @@ lists of places. Scoring maps over all whole texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,18 +30,12 @@ CALIBRATE = 5
 ORDERS, BITS = (1, 2, 3), 16
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
-_REPEAT = re.compile(rb"(?<!\S)(\S+)\s\1\s\1(?!\S)")
-_REPEAT_PLACE = 1
 
 
 def places(texts: list[str | None]) -> list[np.ndarray]:
     """The features present in each text, as sorted places."""
-    raw, out = [(t or "").encode("utf-8", "surrogatepass") for t in texts], []
-    for at, block in ngrams.flags(raw, ORDERS, BITS):
-        for k, row in enumerate(block):
-            row[_REPEAT_PLACE] = bool(_REPEAT.search(raw[at + k]))
-            out.append(np.flatnonzero(row).astype(np.uint16))
-    return out
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return [np.flatnonzero(row).astype(np.uint16) for _, block in ngrams.flags(raw, ORDERS, BITS) for row in block]
 
 
 @dataclass
@@ -157,7 +150,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below the threshold; columns stay as they are."""
+    """``docs`` without the rows that score below the threshold; columns and all other rows stay as they are.
+
+    Null text counts as empty, and empty texts are scored like any other; rows with null keys and repeated
+    rows are judged by their texts alone, which are read whole; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
