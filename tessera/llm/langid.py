@@ -6,9 +6,10 @@ A set of landmark texts spans the kernel's feature space (Nyström), in which on
 regression is solved; texts are scored by matrix products of their presence rows with the landmarks' and
 of those kernel values with the classes' coefficients.
 
-The fit uses a bounded sample, ``PER_CLASS`` rows of each of at most ``CLASSES`` languages; of each
-language the ``LANDMARKS`` rows shared out evenly whose keys hash lowest are landmarks. Only bit maps of
-2 KB a row come to the driver.
+The fit uses a bounded sample of every language: ``PER_CLASS`` rows, or fewer where there are so many
+languages that ``ROWS`` would be exceeded, but ``LEAST`` at least. The ``LANDMARKS`` rows shared out evenly
+over the languages, or ``LEAST`` of each if that is more, whose keys hash lowest are landmarks. Only bit
+maps of 2 KB a row come to the driver.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tessera.llm import ngrams
 from tessera.llm.common import fold
 
 ORDERS, BITS = (1, 2, 3), 14
-#: Rows of each language to learn from, landmarks in all, and languages at most (the most frequent).
-PER_CLASS, LANDMARKS, CLASSES = 600, 192, 100
+#: Rows of each language to learn from, rows in all, landmarks in all, and the least of both that a language has.
+PER_CLASS, ROWS, LANDMARKS, LEAST = 600, 24_000, 192, 4
 #: Ridge penalty, and the steepness that turns regression values into a probability.
 RIDGE, STEEP = 1e-2, 4.0
 
@@ -71,8 +72,9 @@ class Model:
 def fit_rows(rows: np.ndarray, langs: list[str]) -> Model:
     """Ridge regression on the landmark kernel; rows are presence rows in order of preference."""
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
-    share = max(1, LANDMARKS // len(names))
+    place = {n: k for k, n in enumerate(names)}
+    y = np.array([place[x] for x in langs])
+    share = max(LEAST, LANDMARKS // len(names))
     marks = np.concatenate([np.flatnonzero(y == k)[:share] for k in range(len(names))])
     z = rows[marks].astype(np.float32)
     z = np.ascontiguousarray((z / np.sqrt(np.maximum(z.sum(axis=1, keepdims=True), 1))).T)
@@ -93,13 +95,17 @@ def fit_rows(rows: np.ndarray, langs: list[str]) -> Model:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, per_class: int = PER_CLASS) -> Model | None:
     """Fit on rows with a language and a letter in the text, outside ``held_out`` (on the key, named ``k``).
 
-    Null keys may be learned from; repeated rows count once. None without such rows.
+    Null keys may be learned from; repeated rows count once; no language is left out. None without such rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     if held_out is not None:
         d = d.filter(~held_out)
-    n = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES)
-    share = F.broadcast(n.select("lang", (F.lit(3.0 * per_class) / F.col("count")).alias("share")))  # at most CLASSES rows
+    n = d.groupBy("lang").count().collect()  # a row per language, as many as the model has
+    if not n:
+        return None
+    per_class = max(LEAST, min(per_class, ROWS // len(n)))
+    share = [(r["lang"], 3.0 * per_class / r["count"]) for r in n]
+    share = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share double"))
     hashed = F.xxhash64("k", "text")
     picked = d.join(share, "lang").filter((F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
     picked = picked.withColumn("h", hashed).dropDuplicates(["lang", "h"]).select("lang", "h", "text")

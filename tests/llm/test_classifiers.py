@@ -87,3 +87,47 @@ def test_quality_of_odd_tables(spark):
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert nbsvm.keep_good(df, m).columns == df.columns
     assert nbsvm.score(df.limit(0), nbsvm.fit(df.limit(0), labels.limit(0))).count() == 0
+
+
+def test_many_languages(spark):
+    rng, rows = random.Random(5), []
+    for k in range(130):
+        own = [chr(97 + k % 26) + chr(97 + k // 26) + rng.choice("aeiou") + chr(97 + (7 * k) % 26) + c for c in "xyzkq"]
+        rows += [(1000 * k + i, " ".join(rng.choice(own) for _ in range(30)), f"l{k}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    m = langid.fit(df)
+    assert m.names == sorted({f"l{k}" for k in range(130)})
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, m).collect()}
+    assert {got[i] for i, _, _ in rows} == set(m.names)
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
+def test_scores_against_the_definitions():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcd ") if k % 2 else list("cdef "), 60)) for k in range(80)]
+    y = np.arange(80) % 2
+    rows = np.concatenate(list(langid.presence(texts)))
+    m = langid.fit_rows(rows, [str(k) for k in y])
+    marks = np.concatenate([np.flatnonzero(y == k)[:96] for k in (0, 1)])
+    kernel = lambda a, b: (a.astype(float) @ b.T.astype(float)) / np.sqrt(np.outer(a.sum(axis=1, dtype=float), b.sum(axis=1, dtype=float)))
+    nm, mm = kernel(rows, rows[marks]), kernel(rows[marks], rows[marks])
+    # kernel ridge regression with the landmarks' kernel as penalty, both classes weighted alike
+    w, target = np.full((80, 1), 80 / (2 * 40)), np.where(y[:, None] == [0, 1], 1.0, -1.0)
+    alpha = np.linalg.lstsq(nm.T @ (w * nm) + langid.RIDGE * mm, nm.T @ (w * target), rcond=None)[0]
+    f = nm @ alpha
+    p = np.exp(langid.STEEP * f) / np.exp(langid.STEEP * f).sum(axis=1, keepdims=True)
+    names, scores = m.predict(texts)
+    assert names == [str(k) for k in p.argmax(axis=1)] and np.allclose(scores, p.max(axis=1), atol=1e-3)
+
+    places = nbsvm.places(texts)
+    m = nbsvm.fit_rows(places, y)
+    learn = np.arange(80) % nbsvm.CALIBRATE > 0
+    r = nbsvm.log_ratio([x for x, ok in zip(places, learn, strict=True) if ok], y[learn], 1 << nbsvm.BITS)
+    some = [int(places[0][0]), int(places[1][-1]), 7]
+    for j in some:
+        p1, p0 = (1 + sum(j in x for x, z, ok in zip(places, y, learn, strict=True) if ok and z == k) for k in (1, 0))
+        n1, n0 = ((1 << nbsvm.BITS) + sum(len(x) for x, z, ok in zip(places, y, learn, strict=True) if ok and z == k) for k in (1, 0))
+        assert abs(r[j] - np.log((p1 / n1) / (p0 / n0))) < 1e-9
+    w, b = nbsvm.dual_descent([x for x, ok in zip(places, learn, strict=True) if ok], y[learn], r)
+    margin = np.array([sum(w[j] * r[j] for j in x) for x in places]) + b
+    assert np.allclose(m.score(texts), 1 / (1 + np.exp(-(m.slope * margin + m.shift))), atol=1e-4)
