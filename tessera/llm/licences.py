@@ -1,9 +1,9 @@
 """Licence scans by canonical digest.
 
 A text is put into canonical form (case, copyright lines, equivalent spellings, punctuation and white
-space) and its SHA-256 is joined by hash with the digests of known licences. The whole text is looked up,
-and so is every line that could be a licence notice. Everything is DataFrame functions; the table of
-known digests has a fixed size and is broadcast.
+space) and its SHA-256 is joined by hash with the digests of known licences; every line that could be a licence notice is
+looked up among the digests of notices. Everything is DataFrame functions; the table of known digests is a
+list of the caller's or the one shipped, and is broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ SPELLINGS = [
     ("centre", "center"),
     ("copyright holder", "copyright owner"),
     ("favour", "favor"),
-    ("favourite", "favorite"),
     ("fulfil ", "fulfill "),
     ("fulfilment", "fulfillment"),
     ("https:", "http:"),
@@ -111,28 +110,32 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """``known_digest`` and ``licence`` of a fixed list, one row per digest."""
+    """``known_digest`` and ``licence`` of a list of (licence, text), one row per digest."""
     df = spark.createDataFrame(texts, "licence string, t string")
     return df.groupBy(digest(F.col("t")).alias("known_digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest, licence (of the whole text, or null), notices (sorted, by comma) and n_notices of every row.
 
-    Null and empty texts share the digest of the empty form and match nothing; repeated rows count each;
-    an empty table gives no rows; further columns are ignored.
+    ``texts`` and ``notices`` are lists of (licence, text), by default the table that is shipped: whole texts
+    are joined by digest with both, and every line that holds a word of ``MARKERS`` is looked up among the
+    notices where it stands, so no row is shuffled. Both lists are sent to the executors; a notice is one
+    line with such a word. Null and empty texts share the digest of the empty form and match nothing; repeated
+    rows count each; texts are hashed whole; an empty table gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    assert all(any(m in n.lower() for m in MARKERS) for _, n in NOTICES)
-    texts, lines = (F.broadcast(known(spark, x)) for x in (TEXTS + NOTICES, NOTICES))  # fixed lists
+    spark, notices = docs.sparkSession, NOTICES if notices is None else notices
+    if not all(any(m in n.lower() for m in MARKERS) and "\n" not in n for _, n in notices):
+        raise ValueError(f"a notice is one line that holds one of {MARKERS}")
+    whole = F.broadcast(known(spark, (TEXTS if texts is None else texts) + notices))
+    lines = [F.lit(x) for r in known(spark, notices).collect() for x in (r["known_digest"], r["licence"])]  # a fixed list
+    of_line = F.create_map(*lines) if lines else F.create_map().cast("map<string,string>")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maybe = F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit(MARKERS[0])))
-    d = d.select("doc_id", digest(F.col("text")).alias("digest"), maybe.alias("lines"), F.monotonically_increasing_id().alias("row"))
-    d = d.join(texts, F.col("digest") == F.col("known_digest"), "left").select("row", "doc_id", "digest", "licence", "lines")
-    d = d.select("row", "doc_id", "digest", "licence", F.explode_outer("lines").alias("line"))
-    found = d.withColumn("d", digest(F.col("line"))).join(lines.withColumnRenamed("licence", "notice"), F.col("d") == F.col("known_digest"), "left")
-    summed = found.groupBy("row", "doc_id", "digest", "licence").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("notice").alias("n_notices"))
-    return summed.drop("row")
+    found = F.array_compact(F.transform(maybe, lambda x: F.try_element_at(of_line, digest(x))))
+    d = d.select("doc_id", digest(F.col("text")).alias("digest"), found.alias("found"))
+    d = d.join(whole, F.col("digest") == F.col("known_digest"), "left")
+    return d.select("doc_id", "digest", "licence", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
 
 
 def duckdb_canonical(t: str) -> str:

@@ -46,3 +46,15 @@ def test_no_form_has_two_licences(spark):
     for table in (li.TEXTS + li.NOTICES, li.NOTICES):
         df = spark.createDataFrame(table, "licence string, t string")
         assert df.groupBy(li.digest(F.col("t"))).agg(F.collect_set("licence").alias("x")).filter(F.size("x") > 1).collect() == []
+
+
+def test_a_table_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "Our Licence: do as you like."), (2, "MIT License\n" + li.MIT_TEXT), (3, "prose\nOURS license 2\nours LICENCE 2!")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence"], r["notices"], r["n_notices"]) for r in li.scan(df, texts=[("Ours", "our license do as you LIKE")], notices=[("Ours-2", "Ours licence 2")]).collect()}
+    assert got == {1: ("Ours", "", 0), 2: (None, "", 0), 3: (None, "Ours-2", 2)}
+    assert {r["licence"] for r in li.scan(df, texts=[], notices=[]).collect()} == {None}
+
+
+def test_no_row_is_shuffled(spark):
+    plan = li.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
