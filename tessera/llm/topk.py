@@ -1,9 +1,10 @@
 """Exact top-k search by inner product of integer vectors.
 
-The queries go to the executors in blocks; each block is one pass over the shards of all vectors. A task
-multiplies its block with tiles of its shard, keeps the best of each tile by partial selection and merges
-them into one list per query; the lists of the shards are merged in two levels. A task holds one tile of
-products, whatever the number of vectors.
+The queries are packed into blocks and all vectors into tiles, dealt to shards; a shuffle brings every block
+together with every shard, so nothing goes through the driver. A task multiplies its block with the tiles of
+its shard one by one, keeps the best of each tile by partial selection and merges them into one list per
+query; the lists of the shards are merged in two levels. A task holds one block and one tile of products,
+whatever the number of vectors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Queries in a block (8 MB at 64 components), vectors and queries in a tile.
 BLOCK, TILE, QUERIES = 16_384, 2_048, 1_024
+#: Tiles of a shard, about.
+TASK_TILES = 64
 #: Lists of this many groups of shards meet in the second level.
 GROUPS = 64
 #: Component x becomes floor(SCALE * x).
@@ -71,26 +74,76 @@ def merge(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarr
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
-def _pass(shared, k: int):
+#: Integers in which scaled components are kept, the narrowest that holds them; doubles beyond.
+_KINDS = ("<i2", "<i4", "<f8")
+PACK = "block int, shard int, tile boolean, first long, ids binary, width int, kind int, vectors binary"
+
+
+def _packed(x: np.ndarray) -> tuple[int, bytes]:
+    most = np.abs(x).max(initial=0)
+    kind = next((k for k, t in enumerate(_KINDS[:2]) if most <= np.iinfo(t).max), 2)
+    return kind, x.astype(_KINDS[kind]).tobytes()
+
+
+def _pack(shards: int | None):
+    """Rows, sorted by block, to packs of ``TILE`` vectors at most; with ``shards``, each is dealt to one of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        numbers, names, q, own = shared.value
-        lists: list = [None] * -(-len(q) // QUERIES)
+        task, packs, at, seen = TaskContext.get().partitionId(), 0, None, 0
         for b in batches:
             x, ok = matrix(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[ok][order]
-            for t in range(0, len(ids), TILE):
-                for j in range(len(lists)):
-                    lists[j] = merge(lists[j], best_of_tile(q[j * QUERIES : (j + 1) * QUERIES], x[t : t + TILE], ids[t : t + TILE], k), k)
-        shard = TaskContext.get().partitionId() % GROUPS
-        for j, found in enumerate(lists):
-            if found:
-                at, n = slice(j * QUERIES, (j + 1) * QUERIES), found[0].shape[1]
-                cols = [np.repeat(v[at], n) for v in (numbers, names, own)] + [found[0].ravel(), found[1].ravel(), np.full(found[0].size, shard, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "query_id", "own", "vec_id", "score", "shard"])
+            ids, blocks = (b.column(c).to_numpy(zero_copy_only=False)[ok] for c in (0, 2))
+            order, rows = np.lexsort((ids, blocks)), []
+            ids, blocks, x = ids[order].astype(np.int64), blocks[order], x[ok][order]
+            cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else np.zeros(0, np.int64)
+            for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)], strict=True):
+                if at != blocks[begin]:
+                    at, seen = blocks[begin], 0
+                for t in range(begin, end, TILE):
+                    part = slice(t, min(t + TILE, end))
+                    rows.append((int(at), (task * 7919 + packs) % (shards or 1), shards is not None, seen, ids[part].astype("<i8").tobytes(), x.shape[1], *_packed(x[part])))
+                    packs, seen = packs + 1, seen + part.stop - t
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PACK.split(", ")])
+
+    return run
+
+
+def _products(k: int):
+    """The best of every shard for every query of a block; the input is sorted by block and shard, queries before tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, queries, lists = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for (q, ids, x), found in zip(queries, lists, strict=True):
+                if found:
+                    n = found[0].shape[1]
+                    own = np.array([max(-(2**63), min(2**63 - 1, sum(int(c) ** 2 for c in row))) for row in x.tolist()], np.int64)
+                    cols = [np.repeat(v, n) for v in (q, ids, own)] + [found[0].ravel(), found[1].ravel(), np.full(found[0].size, at[1], np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "query_id", "own", "vec_id", "score", "shard"])
+
+        for b in batches:
+            for block, shard, tile, first, ids, width, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (block, shard):
+                    if at:
+                        yield from done()
+                    at, queries, lists = (block, shard), [], []
+                ids = np.frombuffer(ids, "<i8")
+                x = np.frombuffer(data, _KINDS[kind]).reshape(len(ids), width).astype(np.float64)
+                if not tile:
+                    for j in range(0, len(ids), QUERIES):
+                        part = slice(j, j + QUERIES)
+                        queries.append((np.arange(len(ids))[part] + first + (block << 40), ids[part], x[part]))
+                        lists.append(None)
+                else:
+                    for j, (_, _, q) in enumerate(queries):
+                        lists[j] = merge(lists[j], best_of_tile(q, x, ids, k), k)
+        if at:
+            yield from done()
 
     return run
 
@@ -101,35 +154,22 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
     ``is_query`` is a condition on the key, named ``vec_id`` in it. Ties go to the smaller key; fewer rows
     give fewer ranks. Rows with null key, or null vector, or null or non-finite components take no part;
     shorter vectors count as padded with zeros; of repeated rows a query leaves out itself alone; scores
-    beyond 64 bits stop at the bounds; further columns are ignored.
+    beyond 64 bits stop at the bounds; empty tables give no rows; further columns are ignored.
     """
-    spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    out, held, number = None, [], 0
-
-    def plan(rows: list) -> None:
-        nonlocal out, number
-        x, ok = matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64())))
-        names, x = np.array([r["vec_id"] for r in rows], np.int64)[ok], x[ok]
-        if not len(names):
-            return
-        own = np.array([max(-(2**63), min(2**63 - 1, sum(int(c) ** 2 for c in row))) for row in x.tolist()], np.int64)
-        shared = spark.sparkContext.broadcast((np.arange(number, number + len(names)), names, x, own))
-        number += len(names)
-        one = v.mapInArrow(_pass(shared, k + 1), "q long, query_id long, own long, vec_id long, score long, shard int")
-        out = one if out is None else out.unionByName(one)
-
-    for row in v.filter(is_query).toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            plan(held)
-            held = []
-    if held:
-        plan(held)
-    if out is None:
+    n, n_queries = v.agg(F.count("*"), F.count_if(is_query)).first()
+    if not n_queries:
         return v.limit(0).selectExpr("vec_id AS query_id", "CAST(0 AS INT) AS rank", "vec_id", "vec_id AS score")
-    first = Window.partitionBy("q", "shard").orderBy(F.desc("score"), "vec_id")
-    few = out.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
+    blocks, tiles = -(-n_queries // block), -(-n // TILE)
+    shards = min(tiles, max(-(-tiles // TASK_TILES), -(-2 * v.sparkSession.sparkContext.defaultParallelism // blocks)))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # repeated rows are dealt apart
+    asked = v.filter(is_query).withColumn("block", number).repartition(blocks, "block").sortWithinPartitions("block")
+    asked = asked.mapInArrow(_pack(None), PACK).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    every = v.withColumn("block", F.lit(0)).mapInArrow(_pack(shards), PACK).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = asked.unionByName(every).repartition(blocks * shards, "block", "shard").sortWithinPartitions("block", "shard", "tile", "first")
+    out = pairs.mapInArrow(_products(k + 1), "q long, query_id long, own long, vec_id long, score long, shard int")
+    first = Window.partitionBy("q", "group").orderBy(F.desc("score"), "vec_id")
+    few = out.withColumn("group", F.col("shard") % GROUPS).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     lists = few.groupBy("q").agg(F.first("query_id").alias("query_id"), F.first("own").alias("own"), F.array_sort(F.collect_list(F.struct((-1 - F.col("score")).alias("s"), "vec_id"))).alias("l"))
     at = F.array_position("l", F.struct((-1 - F.col("own")).alias("s"), F.col("query_id").alias("vec_id"))).cast("int")
     rest = F.when(at > 0, F.concat(F.slice("l", F.lit(1), at - 1), F.slice("l", at + 1, F.lit(k + 1)))).otherwise(F.col("l"))
