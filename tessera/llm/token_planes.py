@@ -224,23 +224,25 @@ def _writer(definition: str, end_id: int, block: int, level: int, cache: int, to
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
         gc.disable()  # no cycles arise, and the tables of pieces are slow to walk
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), together):
-                for doc, coded in zip(ids[at : at + together], encoder.encode(texts[at : at + together]), strict=True):
-                    data, part = memoryview(coded + end), 0
-                    while len(data):
-                        take = data[: 4 * block - len(buf)]
-                        buf += take
-                        parts.append((ordinal, doc, len(take) // 4, part))
-                        data, part = data[len(take) :], part + 1
-                        if len(buf) == 4 * block:
-                            yield flush(bytes(buf), parts)
-                            buf, parts, first, chunk = bytearray(), [], first + block, chunk + 1
-                    ordinal += 1
-        if buf:
-            yield flush(bytes(buf), parts)
-        gc.enable()
+        try:
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for at in range(0, len(ids), together):
+                    for doc, coded in zip(ids[at : at + together], encoder.encode(texts[at : at + together]), strict=True):
+                        data, part = memoryview(coded + end), 0
+                        while len(data):
+                            take = data[: 4 * block - len(buf)]
+                            buf += take
+                            parts.append((ordinal, doc, len(take) // 4, part))
+                            data, part = data[len(take) :], part + 1
+                            if len(buf) == 4 * block:
+                                yield flush(bytes(buf), parts)
+                                buf, parts, first, chunk = bytearray(), [], first + block, chunk + 1
+                        ordinal += 1
+            if buf:
+                yield flush(bytes(buf), parts)
+        finally:
+            gc.enable()
 
     return run
 
