@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import scratch_dir
@@ -12,7 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder; Spark's cleaner removes it."""
+    """``df`` computed once and written to the shared checkpoint folder.
+
+    Spark removes it when it is no longer referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_dir(df.sparkSession))
@@ -27,3 +32,23 @@ def n_words(text: Column) -> Column:
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key counts as the empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes with the session's JVM."""
+    path = f"{scratch_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    p, files = _files(spark, path)
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    p, files = _files(spark, path)
+    files.delete(p, True)

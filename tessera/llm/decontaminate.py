@@ -41,7 +41,7 @@ RADIUS, BLOCKS = 15, 4
 #: Words of items sent to the executors at a time.
 BLOCK_WORDS = 200_000
 #: Words whose hashes a Python worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: Words of documents handled together, and windows whose counts are kept at a time.
 TOGETHER, CHUNK = 1 << 18, 1 << 14
 #: Entry of a table for a value with several fingerprints, or one beyond the entries' range.

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, licences, lm, mixing, nbsvm, simhash, token_planes, toolcalls, topk
-from tessera.session import scratch_dir, table
+from tessera.llm.common import temporary
+from tessera.session import table
 
 
 def op1_bit_planes(spark, sf_dir):
     """Token ids of every document, written as bit planes and digested from the files."""
-    import uuid
-
     import public_tokenizers
 
-    path = f"{scratch_dir(spark)}/token-planes/{uuid.uuid4().hex}"
+    path = temporary(spark, "token-planes")
     token_planes.write(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_planes.digest(spark, path)
 
