@@ -9,9 +9,10 @@
    over the document's windows. In each of ``ROUNDS`` rounds tasks train copies on their part, and the copies
    are averaged by tokens seen. A round has its share of the documents, or, where all of them have few
    tokens, all documents as often as ``LEARN`` and ``PASSES`` ask for.
-4. One pass reads each whole text with its state carried over all windows. Counts of the most frequent
-   words (``TABLE`` at most) lie in the workers; the document's other words are summed by word and joined
-   to the counts, so the table of all words is never broadcast.
+4. Each whole text is scored with its state carried over all windows. Texts are cut into tokens once, for
+   learning and for scoring. Counts of the most frequent words (``TABLE`` at most) lie in the workers; a
+   document's other words are summed by word and joined to the counts, so the table of all words is never
+   broadcast.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ BLOCKS = 12
 STEPS = 8
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII alone
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words, A-Z in lower case: of bytes, so both mean ASCII alone."""
+    return (text or b"").lower().split()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
+            for t in b.column(0).cast(pa.binary()):
                 counts.update(words_of(t.as_py()))
                 if len(counts) > COUNTED:
                     yield batch()
@@ -70,6 +71,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """What a worker needs to turn words into tokens and known counts."""
 
@@ -87,7 +93,7 @@ class Vocabulary:
         self.counts, self.end, self.tails = mass[by_mass], int(place[len(order)]), place[len(order) + 1 :]
         s, groups = np.cumsum(np.sqrt(self.counts + 1)), round(len(mass) ** 0.5)
         self.shape = gru.Shape(tuple(sorted({0, len(mass), *(int(np.searchsorted(s, s[-1] * k / groups)) + 1 for k in range(1, groups))})))
-        self.at = {w: i for i, w in enumerate(words)}
+        self.at = _Places((w, i) for i, w in enumerate(words))
         self.token = np.array([self.tails[tail_of(w)] for w in words], np.int32)
         self.token[order] = place[: len(order)]
         self.share_log = np.log10(counts - discount)  # of a word in its tail token
@@ -101,8 +107,7 @@ class Vocabulary:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
         """Tokens with the end, places in the table, and how often each word outside the table occurs."""
-        get = self.at.get
-        at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        at = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
         tokens = np.empty(len(words) + 1, np.int32)
         tokens[-1] = self.end
         rare: dict[bytes, int] = {}
@@ -131,20 +136,37 @@ def _vocabulary(shared) -> Vocabulary:
     return _vocabularies[name]
 
 
-def _encode(shared):
+ROW = "uid long, doc_id long, key long, train boolean, n_tokens long, n_known long, log_c double, log_model double, tokens binary, rare array<binary>, times array<int>, unseen array<double>"
+
+
+def _read(shared):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    names = [x.split()[0] for x in ROW.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(shared)
+        from pyspark import TaskContext
+
+        v, uid = _vocabulary(shared), TaskContext.get().partitionId() << 40
         for b in batches:
-            out = [v.read(words_of(t.as_py()))[0].astype("<u2").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "tokens"])
+            rows = []
+            for doc, key, train, t in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()), strict=True):
+                ids, at, rare = v.read(words_of(t.as_py()))
+                at = at[at >= 0]
+                log_c = float(v.log_c[at].sum()) + v.log_end
+                within = float(v.share_log[at].sum()) - float(v.tail_log[ids].sum())
+                unseen = [float(v.unseen_log[tail_of(w)]) for w in rare]
+                rows.append((uid, doc, key, train, len(ids), len(at) + v.end_known, log_c, within, ids.astype("<u2").tobytes(), list(rare), list(rare.values()), unseen))
+                uid += 1
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-def encoded(texts: DataFrame, vocabulary) -> DataFrame:
-    """key and tokens of each whole text, its end included; copies of a text differ in their keys."""
-    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(_encode(vocabulary), "key long, tokens binary")
+def read(d: DataFrame, vocabulary) -> DataFrame:
+    """Every row (doc_id, text, train) with the tokens of its whole text, its end included, and its words' counts."""
+    keyed = d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "train", "text")  # copies differ in their keys
+    return checkpointed(keyed.mapInArrow(_read(vocabulary), ROW))
 
 
 def _train(shared, shape, rate: float, passes: int):
@@ -189,11 +211,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(cols, names=["block", "n", "v"])
 
 
-def fit(texts: DataFrame, vocabulary, v: Vocabulary) -> dict[str, np.ndarray]:
-    """The model's parameters from all training texts (doc_id, text)."""
-    sc = texts.sparkSession.sparkContext
+def fit(s: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """The model's parameters from all training rows (key, tokens)."""
+    sc = s.sparkSession.sparkContext
     p = gru.fresh(v.shape, v.counts)
-    s = checkpointed(encoded(texts, vocabulary))
     tokens = (s.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 2
     passes = min(PASSES, max(1, round(LEARN / max(tokens, 1))))
     share = tokens if passes > 1 else tokens / ROUNDS
@@ -211,45 +232,30 @@ def fit(texts: DataFrame, vocabulary, v: Vocabulary) -> dict[str, np.ndarray]:
     return p
 
 
-def _scores(vocabulary, model):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-    names = ["uid", "doc_id", "n_tokens", "n_known", "log_c", "log_model", "rare", "times", "unseen"]
-
+def _log_likelihoods(shape, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        v, uid = _vocabulary(vocabulary), TaskContext.get().partitionId() << 40
-        rows, tokens, size = [], [], 0
+        uids, tokens, size = [], [], 0
 
         def done() -> pa.RecordBatch:
-            log_p = gru.score(model.value, v.shape, tokens) / np.log(10)
-            cols = [list(c) for c in zip(*rows, strict=True)]
-            cols[5] = (np.array(cols[5]) + log_p).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(gru.score(model.value, shape, tokens) / np.log(10))], names=["uid", "log_p"])
 
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = words_of(t.as_py())
-                ids, at, rare = v.read(words)
-                at = at[at >= 0]
-                log_c = float(v.log_c[at].sum()) + v.log_end
-                within = float(v.share_log[at].sum()) - float(v.tail_log[ids].sum())
-                unseen = [float(v.unseen_log[tail_of(w)]) for w in rare]
-                rows.append((uid, doc, len(ids), len(at) + v.end_known, log_c, within, list(rare), list(rare.values()), unseen))
-                tokens.append(ids)
-                uid, size = uid + 1, size + len(ids)
+            for uid, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                uids.append(uid)
+                tokens.append(np.frombuffer(x.as_py(), "<u2").astype(np.int32))
+                size += len(tokens[-1])
                 if size > POOL:
                     yield done()
-                    rows, tokens, size = [], [], 0
-        if rows:
+                    uids, tokens, size = [], [], 0
+        if uids:
             yield done()
 
     return run
 
 
 @dataclass
-class Learned:
-    """Counts of all words, which of them are in the workers' table, totals, and the broadcast table and model."""
+class Counts:
+    """Counts of all training words, which of them are in the workers' table, totals, and that table."""
 
     counts: DataFrame
     frequent: Column
@@ -258,13 +264,12 @@ class Learned:
     discount: float
     vocabulary: object
     words: Vocabulary
-    model: object
 
 
-def learn(texts: DataFrame) -> Learned:
-    """Counts and model of all ``texts`` (doc_id, text)."""
+def count(texts: DataFrame) -> Counts:
+    """What the training ``texts`` (one column) hold."""
     sc = texts.sparkSession.sparkContext
-    counts = checkpointed(count_words(texts.select("text")))
+    counts = checkpointed(count_words(texts))
     n_end = texts.count()
     tail = F.crc32(F.substring("word", -2, 2)) % TAIL
     step = F.floor(F.log2("c") * STEPS)
@@ -285,9 +290,7 @@ def learn(texts: DataFrame) -> Learned:
     total = int(by_tail[0].sum()) + n_end
     types = int(by_tail[1].sum()) + (n_end > 0)
     packed = (uuid.uuid4().hex, b" ".join(words), c, n_end, *by_tail, discount, HEAD)
-    vocabulary = sc.broadcast(packed)
-    v = Vocabulary(words, *packed[2:])
-    return Learned(counts, frequent, total, types, discount, vocabulary, v, sc.broadcast(fit(texts, vocabulary, v)))
+    return Counts(counts, frequent, total, types, discount, sc.broadcast(packed), Vocabulary(words, *packed[2:]))
 
 
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,22 +302,27 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     token is unseen; an empty table gives no rows; further columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return scores(d, learn(d.filter(~F.coalesce(held_out, F.lit(False)))))
+    d = d.withColumn("train", ~F.coalesce(held_out, F.lit(False)))
+    known = count(d.filter("train").select("text"))
+    rows = read(d, known.vocabulary)
+    return scores(rows, known, fit(rows.filter("train").select("key", "tokens"), known.words))
 
 
-def scores(d: DataFrame, m: Learned) -> DataFrame:
-    """``score`` of rows (doc_id, text) under what was learned."""
-    schema = "uid long, doc_id long, n_tokens long, n_known long, log_c double, log_model double, rare array<binary>, times array<int>, unseen array<double>"
-    rows = checkpointed(d.mapInArrow(_scores(m.vocabulary, m.model), schema))
+def scores(rows: DataFrame, known: Counts, model: dict[str, np.ndarray]) -> DataFrame:
+    """``score`` of the rows that ``read`` gives, under what was learned."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times", "unseen")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.unseen").alias("unseen"))
-    rare = rare.join(m.counts.filter(~m.frequent), "word", "left").select("uid", "times", "unseen", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = rare.join(known.counts.filter(~known.frequent), "word", "left").select("uid", "times", "unseen", F.coalesce("c", F.lit(0)).alias("c"))
     log_c = F.col("times") * F.log10(F.col("c") + 1.0)
-    log_model = F.col("times") * F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(m.discount))).otherwise(F.col("unseen"))
-    rest = rare.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), log_c.alias("log_c"), log_model.alias("log_model"))
+    log_model = F.col("times") * F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(known.discount))).otherwise(F.col("unseen"))
+    no, zero, nothing = F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long"), F.lit(0.0)
+    rest = rare.select("uid", no, zero.alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), log_c.alias("log_c"), log_model.alias("log_model"))
+    net = rows.select("uid", "tokens").mapInArrow(_log_likelihoods(known.words.shape, shared), "uid long, log_p double")
+    net = net.select("uid", no, zero.alias("n_tokens"), zero.alias("n_known"), nothing.alias("log_c"), F.col("log_p").alias("log_model"))
     own = rows.select("uid", "doc_id", "n_tokens", "n_known", "log_c", "log_model")
-    whole = own.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "log_c", "log_model")])
-    base = F.col("log_c") - F.col("n_tokens") * float(np.log10(m.total + m.types + 1))
-    return whole.select("doc_id", "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("log_model").alias("score"))
+    whole = own.unionByName(rest).unionByName(net).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "log_c", "log_model")])
+    base = F.col("log_c") - F.col("n_tokens") * float(np.log10(known.total + known.types + 1))
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("log_model").alias("score"))
 
 
 def held_out(key: Column) -> Column:

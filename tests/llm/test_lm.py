@@ -135,15 +135,15 @@ def test_no_training_rows(spark):
 
 def test_learns_from_whole_texts(spark):
     rows = [*docs(60), (7001, "b1 " * 900 + "c1"), (7002, "b1 " * 900 + "c1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    words = Counter(w for _, t in rows for w in lm.words_of(t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
+    words = Counter(w for _, t in rows for w in lm.words_of(t and t.encode()))
     tail = np.zeros((2, lm.TAIL))
     for w, c in words.items():
         tail[:, lm.tail_of(w)] += c, 1
     packed = ("whole texts", b" ".join(words), np.array(list(words.values())), len(rows), *tail, 0.5)
     v = lm.Vocabulary(list(words), *packed[2:])
-    got = lm.encoded(df, spark.sparkContext.broadcast(packed)).collect()
-    want = [v.read(lm.words_of(t))[0].tolist() for _, t in rows]
+    got = lm.read(df, spark.sparkContext.broadcast(packed)).collect()
+    want = [v.read(lm.words_of(t and t.encode()))[0].tolist() for _, t in rows]
     assert sorted(np.frombuffer(r["tokens"], "<u2").tolist() for r in got) == sorted(want)
     assert len({r["key"] for r in got}) == len(set(rows))  # copies of a text are spread over tasks
 
@@ -155,9 +155,10 @@ def test_score_against_brute_force(spark, monkeypatch, table):
     monkeypatch.setattr(lm, "LEARN", 30_000)
     rows = [(i, t) for i, t in docs(200)] + [(9000, "a1 b2 c3 Unheard " * 700)]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    m = lm.learn(df.filter(~lm.held_out(F.col("doc_id"))))
-    p, v = m.model.value, m.words
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("train", ~lm.held_out(F.col("doc_id")))
+    known = lm.count(df.filter("train").select("text"))
+    read = lm.read(df, known.vocabulary)
+    p, v = lm.fit(read.filter("train"), known.words), known.words
     words = lambda t: [*(t or "").encode().lower().split(), None]
     c = Counter(w for i, t in rows if not held(i) for w in words(t))
     ranked = sorted((w for w in c if w is not None), key=lambda w: (-c[w], w))
@@ -181,7 +182,7 @@ def test_score_against_brute_force(spark, monkeypatch, table):
                 share += math.log10((c[w] - d if c[w] else d * types[j]) / n[j])
         return share + plain_log_likelihood(p, v.shape, tokens) / math.log(10)
 
-    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.scores(df, m).collect()}
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.scores(read, known, p).collect()}
     assert head == set(ranked[:30])
     for i, t in rows:
         assert got[i, len(words(t))] == pytest.approx(brute(t), rel=1e-4, abs=1e-3)
