@@ -18,8 +18,8 @@ executors in blocks of at most ``BLOCK_WORDS`` words (one item at least); each b
 
 from __future__ import annotations
 
+import re
 import uuid
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from tessera.llm.common import n_words
 
@@ -40,13 +39,12 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS = 15, 4
 #: Words of items sent to the executors at a time.
 BLOCK_WORDS = 200_000
-#: Words whose hashes a Python worker remembers.
-CACHE = 200_000
-#: Words of documents handled together, and windows whose counts are kept at a time.
-TOGETHER, CHUNK = 1 << 18, 1 << 14
-#: Entry of a table for a value with several fingerprints, or one beyond the entries' range.
-MANY = 255
+#: Characters of documents handled together, and windows whose counts are kept at a time.
+TOGETHER, CHUNK = 1 << 20, 1 << 15
+#: Fingerprints of a size up to which marked windows are compared with all of them.
+FEW = 24
 
+_BASE = 0x9E3779B97F4A7C15
 _MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,26 +66,70 @@ def normal_words(text: str | None) -> list[str]:
     return [w for w in map(normal, (text or "").split()) if w]
 
 
-class _Hashes(dict):
-    """Raw words to places in ``table``, which has the hash of their normal form, 0 for punctuation alone."""
+class _Letters:
+    """Of every character of the basic plane: its lower case, whether that is a letter or digit, and whether it is white space.
+
+    Characters whose lower case is not one character by itself are ``odd``.
+    """
 
     def __init__(self) -> None:
-        super().__init__()
-        self.table = array("Q")
+        every = [chr(c) for c in range(1 << 16)]
+        low = [c.lower() for c in every]
+        odd = [len(x) != 1 or c in "\u03a3" for c, x in zip(every, low, strict=True)]
+        self.low = np.array([ord(c) if o else ord(x) for c, x, o in zip(every, low, odd, strict=True)], np.uint32)
+        self.kind = np.array([1 if c.isspace() else 2 if x[0].isalnum() else 0 for c, x in zip(every, low, strict=True)], np.uint8)
+        self.odd = re.compile("[" + "".join(map(re.escape, (c for c, o in zip(every, odd, strict=True) if o))) + "\U00010000-\U0010ffff]")
+
+
+_letters: list[_Letters] = []
+_powers: list[np.ndarray] = []
+
 
-    def __missing__(self, raw: str) -> int:
-        w = normal(raw)
-        self[raw] = place = len(self.table)
-        self.table.append((xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) or 1) if w else 0)
-        return place
+def _tables(n: int) -> tuple[_Letters, np.ndarray, np.ndarray]:
+    """The characters' table, made once in a worker, and n powers of the base and of its inverse modulo 2**64."""
+    if not _letters:
+        _letters.append(_Letters())
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _letters[0], _powers[0], _powers[1]
 
-    def of(self, raw: list[str]) -> np.ndarray:
-        places = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        return np.array(self.table, np.uint64)[places] if len(raw) else np.zeros(0, np.uint64)
 
-    def forget(self) -> None:
-        self.clear()
-        self.table = array("Q")
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word's normal form in all texts one after another, and how many words each text has.
+
+    A word's hash is a polynomial of its characters, mixed. All steps are over the characters at once; a text
+    with odd characters is put into normal form first.
+    """
+    letters, power, inverse = _tables(sum(map(len, texts)) + len(texts))
+    texts = [" ".join(normal_words(t)) if not t.isascii() and letters.odd.search(t) else t for t in texts]
+    c = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(c) > len(power):
+        letters, power, inverse = _tables(len(c))
+    known = c if not len(c) or c.max() < 1 << 16 else np.where(c < 1 << 16, c, 0)
+    kind, low = letters.kind[known], letters.low[known]
+    if known is not c:  # beyond the basic plane: in normal form already, so no matter but at the ends of a word, which are letters
+        kind, low = np.where(c < 1 << 16, kind, 2), np.where(c < 1 << 16, low, c)
+    sums = np.empty(len(c) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((low + np.uint32(1)) * power[: len(c)], out=sums[1:])
+    gaps = np.cumsum(kind == 1, dtype=np.int32)
+    at = np.flatnonzero(kind == 2)
+    word = gaps[at]
+    change = np.flatnonzero(word[1:] != word[:-1]) if len(at) else np.zeros(0, np.int64)
+    first, last = at[np.r_[0, change + 1]] if len(at) else at, at[np.r_[change, len(at) - 1]] if len(at) else at
+    h = (sums[last + 1] - sums[first]) * inverse[first]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return mixed(h), np.diff(np.searchsorted(first, np.r_[0, ends]))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose bits depend on all bits of ``h``, which is changed."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -96,11 +138,7 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     h = np.zeros(m, np.uint64)
     for j in range(n):
         h += words[j : m + j] * _MULTIPLIERS[j % len(_MULTIPLIERS)]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        h ^= h >> np.uint64(shift)
-        h *= np.uint64(factor)
-    h ^= h >> np.uint64(32)
-    return h
+    return mixed(h)
 
 
 class RunningCounts:
@@ -150,7 +188,7 @@ class BlockIndex:
     """Fingerprints by blocks of sixteen bits; finds all within a Hamming radius, exactly.
 
     The table of a block lists, sorted by value, every fingerprint under each value that differs from its
-    own in at most ``radius // BLOCKS`` bits; where that is one alone, the value leads straight to it.
+    own in at most ``radius // BLOCKS`` bits; a bit map tells which values have an entry.
     """
 
     def __init__(self, fps: np.ndarray, radius: int = RADIUS):
@@ -160,56 +198,63 @@ class BlockIndex:
         self.tables = []
         for block in np.ascontiguousarray(self.fps, "<u8").view("<u2").reshape(-1, BLOCKS).T:
             keys = (block[:, None] ^ masks).ravel()
-            members = np.repeat(np.arange(len(self.fps)), len(masks))
             order = np.argsort(keys, kind="stable")
-            only = np.zeros(1 << 16, np.uint8)
-            only[keys] = np.minimum(members + 1, MANY)
-            values, times = np.unique(keys, return_counts=True)
-            only[values[times > 1]] = MANY
-            self.tables.append((only, keys[order], members[order]))
+            there = np.zeros(1 << 16, bool)
+            there[keys] = True
+            self.tables.append((np.packbits(there, bitorder="little"), keys[order], np.repeat(np.arange(len(self.fps)), len(masks))[order]))
+
+    def marked(self, queries: np.ndarray) -> np.ndarray:
+        """The queries for which some block's table has an entry."""
+        n, width = len(queries), 64 // BLOCKS
+        byte, some, low = np.empty(n, np.int64), np.zeros(n, np.uint8), queries.view(np.uint8).reshape(-1, 8)
+        for b, (marks, *_) in enumerate(self.tables):
+            np.right_shift(queries.view(np.int64), width * b + 3, out=byte)
+            np.bitwise_and(byte, (1 << width - 3) - 1, out=byte)
+            some |= marks.take(byte, mode="wrap") >> (low[:, b * width // 8] & np.uint8(7))
+        some &= 1
+        return some.view(bool).nonzero()[0]
 
     def listed(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each block, the pairs (query, fingerprint) that its table names."""
-        value, bits = np.empty(len(queries), np.int64), 64 // BLOCKS
-        for b, (only, keys, members) in enumerate(self.tables):
-            np.right_shift(queries.view(np.int64), bits * b, out=value)
-            value &= (1 << bits) - 1
-            code = np.take(only, value, mode="wrap")
-            q = np.flatnonzero(code != 0)
-            code = code[q]
-            one = code < MANY
-            if one.all():
-                yield q, code - np.int64(1)
-                continue
-            yield q[one], code[one] - np.int64(1)
-            q = q[~one]
-            near = value[q].astype(np.uint16)
-            first = np.searchsorted(keys, near, "left")
-            n = np.searchsorted(keys, near, "right") - first
-            yield np.repeat(q, n), members[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        at = self.marked(queries)
+        near, width = queries[at], 64 // BLOCKS
+        for b, (_, keys, members) in enumerate(self.tables):
+            value = (near >> np.uint64(width * b)).astype(np.uint16)
+            first = np.searchsorted(keys, value, "left")
+            n = np.searchsorted(keys, value, "right") - first
+            yield np.repeat(at, n), members[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs (query, fingerprint) at a distance of at most the radius."""
-        found = []
-        for q, f in self.listed(queries):
-            ok = np.flatnonzero(np.bitwise_count(queries[q] ^ self.fps[f]) <= self.radius)
-            if len(ok):
-                found.append(q[ok] * len(self.fps) + f[ok])
-        return tuple(np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(1, len(self.fps))))
+        """Distinct pairs (query, fingerprint) at a distance of at most the radius.
+
+        Where there are but ``FEW`` fingerprints, a marked query is compared with each of them, which costs less
+        than to look up which ones the tables name; the pairs are the same.
+        """
+        found, k = [], max(1, len(self.fps))
+        near = lambda x, y: (np.bitwise_count(x ^ y) <= self.radius).nonzero()[0]
+        if len(self.fps) <= FEW:
+            at = self.marked(queries)
+            some = queries[at]
+            found = [at[near(some, fp)] * k + f for f, fp in enumerate(self.fps)]
+        else:
+            for q, f in self.listed(queries):
+                ok = near(queries[q], self.fps[f])
+                found.append(q[ok] * k + f[ok])
+        return tuple(np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), k))
 
 
 class Matcher:
     """The items of one block, ready to be looked for in texts."""
 
     def __init__(self, items: list[tuple[int, str | None]], k: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS):
-        self.k, self.similarity, self.hashes = k, similarity, _Hashes()
+        self.k, self.similarity = k, similarity
         self.items = [(i, w) for i, t in items if (w := normal_words(t))]
         members: dict[tuple[int, int], list] = defaultdict(list)  # by words of a shingle and shingles of the item
         self.counts, self.own = [], []
         for at, (_, words) in enumerate(self.items):
             n = min(k, len(words))
             self.counts.append(Counter(zip(*(words[i : len(words) - n + 1 + i] for i in range(n)), strict=True)))
-            self.own.append(shingles(self.hashes.of(words), n))
+            self.own.append(shingles(hashed_words([" ".join(words)])[0], n))
             members[n, len(words) - n + 1].append(at)
         self.index = {key: (m, BlockIndex(np.array([fingerprint(self.own[x]) for x in m], np.uint64), radius)) for key, m in sorted(members.items())}
         self.own = [frozenset(x.tolist()) for x in self.own]
@@ -220,24 +265,18 @@ class Matcher:
 
     def matches_of(self, texts: list[str | None]) -> list[list[tuple[int, float, int]]]:
         """``matches`` of each text."""
-        out: list[list] = []
-        raw, total = [], 0
+        out, held, total = [], [], 0
         for t in texts:
-            raw.append((t or "").split())
-            total += len(raw[-1])
+            held.append(t or "")
+            total += len(held[-1])
             if total >= TOGETHER:
-                out += self._search(raw)
-                raw, total = [], 0
-        return out + self._search(raw)
+                out += self._search(held)
+                held, total = [], 0
+        return out + self._search(held) if held else out
 
-    def _search(self, raw: list[list[str]]) -> list[list[tuple[int, float, int]]]:
-        if len(self.hashes) > CACHE:
-            self.hashes.forget()
+    def _search(self, raw: list[str]) -> list[list[tuple[int, float, int]]]:
         best: list[dict] = [{} for _ in raw]
-        stream, size = self.hashes.of([w for r in raw for w in r]), np.array([len(r) for r in raw], np.int64)
-        if not stream.all():
-            size = np.bincount(np.repeat(np.arange(len(raw)), size)[stream > 0], minlength=len(raw))
-            stream = stream[stream > 0]
+        stream, size = hashed_words(raw)
         for n in sorted({n for n, _ in self.index}):
             at_all = shingles(stream, n)
             count = np.maximum(size - n + 1, 0)  # of shingles in each text
@@ -292,7 +331,7 @@ class Matcher:
     def _normal(self, raw: list, d: int) -> list[str]:
         """The normal words of one of the texts at hand; the latest are kept."""
         if getattr(self, "_last", (None, None))[0] is not raw or self._last[1] != d:
-            self._last = (raw, d, [w for w in map(normal, raw[d]) if w])
+            self._last = (raw, d, normal_words(raw[d]))
         return self._last[2]
 
 

@@ -61,9 +61,10 @@ def test_block_index_is_exact():
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     a = np.r_[a, a[:9], a[:3] ^ np.uint64(1 << 40)]  # repeated and near fingerprints
     q = np.r_[a[:50] ^ np.uint64(0b1011), a[:20] ^ np.uint64(0xF00F00F00F00), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]
-    for radius in (3, 10, 15):
-        got = set(zip(*(x.tolist() for x in dc.BlockIndex(a, radius).within(q)), strict=True))
-        assert got == {(i, j) for i in range(len(q)) for j in range(len(a)) if bin(int(q[i] ^ a[j])).count("1") <= radius}
+    for n in (5, dc.FEW, dc.FEW + 1, len(a)):
+        for radius in (3, 10, 15):
+            got = set(zip(*(x.tolist() for x in dc.BlockIndex(a[:n], radius).within(q)), strict=True))
+            assert got == {(i, j) for i in range(len(q)) for j in range(n) if bin(int(q[i] ^ a[j])).count("1") <= radius}
     assert len(dc.BlockIndex(a[:0]).within(q)[0]) == len(dc.BlockIndex(a).within(q[:0])[0]) == 0
 
 
@@ -109,7 +110,6 @@ def test_texts_together_and_long_texts(monkeypatch):
     assert m.matches(long) == brute(long, items)
     monkeypatch.setattr(dc, "CHUNK", 50)
     monkeypatch.setattr(dc, "TOGETHER", 300)
-    monkeypatch.setattr(dc, "CACHE", 200)
     assert m.matches_of([*docs, long]) == [*want, brute(long, items)]
 
 
@@ -128,3 +128,15 @@ def test_frames(spark, monkeypatch):
     assert dc.matches(d.limit(0), i).count() == 0
     twice = sorted(tuple(r) for r in dc.matches(d, i.unionByName(i.filter("item_id = 6"))).collect())
     assert twice == sorted(want + [x for x in want if x[1] == 6])  # a repeated item matches each time
+
+
+def test_word_hashes():
+    texts = ["", "  \t", "Ab, (cd) 'ef' g-h -- ab AB", "Straße ÉTÉ été", "ΟΔΟΣ οδος İx 𝐀b 😀ab ab😀", "x\u2003y\x1cz", "\ud800a a", "end"] + ["word " * 50]
+    h, n = dc.hashed_words(texts)
+    words = [dc.normal_words(t) for t in texts]
+    assert n.tolist() == list(map(len, words))
+    seen = {}
+    for w, x in zip([w for ws in words for w in ws], h.tolist(), strict=True):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert len(dc.hashed_words([])[0]) == 0
