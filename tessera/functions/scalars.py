@@ -14,10 +14,6 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def at_least(c: Column, t: Column) -> Column:
     """``c >= t`` that is false for null and NaN (Spark ranks NaN above all numbers)."""
     return F.coalesce(~F.isnan(c) & (c >= t), F.lit(False))
@@ -134,10 +130,10 @@ def hash_key(*cols: Column, seed: str = SEED) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in cols]), 256)
 
 
-def magic(content: Column) -> Column:
-    """Image format by its first bytes."""
-    h = F.hex(F.substring(content, 1, 12))
-    return F.when(h.startswith("FFD8FF"), "JPEG").when(h.startswith("89504E470D0A1A0A"), "PNG").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "WEBP")
+def clean_text(content: Column) -> Column:
+    """Bytes as text, what is no UTF-8 replaced, without blanks and zero bytes at the ends; null where nothing is left."""
+    text = F.make_valid_utf8(content.cast("string"))
+    return F.nullif(F.regexp_replace(text, r"^[ \x00]+|[ \x00]+$", ""), F.lit(""))
 
 
 def jpeg_quality(table: Column, standard: list[int]) -> Column:

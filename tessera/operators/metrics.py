@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite
-from tessera.operators.ordered import running_sums
+from tessera.operators.ordered import quantiles, running_sums
+from tessera.session import checkpointed
+
+
+def _by_score(df: DataFrame, y: str, x: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Distinct finite scores per key with the weights ``pos`` and ``neg`` of the classes, ``rows``, and ``cum_neg`` of those below."""
+    w, x = F.col(weight) if weight else F.lit(1), F.col(x).cast("double")
+    d = df.filter(F.col(y).isNotNull() & finite(x)).groupBy(*keys, x.alias("__x"))
+    d = d.agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"), F.count("*").alias("rows"))
+    return running_sums(d, keys, "__x", ["neg"], exclusive=True)
+
+
+def _area(r: DataFrame, keys: list[str]) -> DataFrame:
+    area = F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0))
+    out = r.groupBy(*keys).agg(area.alias("__a"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("rows").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__a") / (F.col("n_pos").cast("double") * F.col("n_neg")))
+    return out.select(*keys, value.alias("auc"), "n_pos", "n_neg", "n", "lo", "hi")
 
 
 def auc(df: DataFrame, y: str, x: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve per key, ties counted half; null with one class only.
 
-    Rows are first summed to distinct scores, so the running sum is over those.
+    Rows are first summed to distinct scores, so the running sum is over those, and the input is read once.
     """
     keys = keys or []
-    w = F.col(weight) if weight else F.lit(1)
-    d = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double"))).groupBy(*keys, F.col(x).cast("double").alias("__x"))
-    d = d.agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"))
-    r = running_sums(d, keys, "__x", ["neg"], exclusive=True)
-    area = F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0))
-    out = r.groupBy(*keys).agg(area.alias("__a"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return out.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__a") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
+    return _area(_by_score(df, y, x, keys, weight), keys).select(*keys, "auc", "n_pos", "n_neg")
 
 
 def safe_auc(df: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
     """As ``auc``, but null below four rows and 0.5 for a constant score."""
-    good = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double")))
-    facts = good.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.col(x).cast("double")).alias("lo"), F.max(F.col(x).cast("double")).alias("hi"))
-    a = auc(good, y, x, keys).join(facts, keys)
-    value = F.when(F.col("n") < 4, None).when(F.col("auc").isNull(), None).when(F.col("lo") == F.col("hi"), 0.5).otherwise(F.col("auc"))
+    a = _area(_by_score(df, y, x, keys), keys)
+    value = F.when((F.col("n") < 4) | F.col("auc").isNull(), None).when(F.col("lo") == F.col("hi"), 0.5).otherwise(F.col("auc"))
     return a.select(*keys, value.alias("auc"), F.greatest(value, 1 - value).alias("auc_abs"), "n")
 
 
@@ -47,8 +55,8 @@ def threshold_at_fpr(df: DataFrame, y: str, p: str, target: float = 0.05) -> Dat
     1.0 without negatives; just above the largest score where none fits.
     """
     d = df.groupBy(F.col(p).cast("double").alias("s")).agg(F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("neg"))
-    r = running_sums(d, [], "s", ["neg"], descending=True)
-    total = d.agg(F.sum("neg").alias("n"), F.max("s").alias("top"))
+    r = checkpointed(running_sums(d, [], "s", ["neg"], descending=True))
+    total = r.agg(F.sum("neg").alias("n"), F.max("s").alias("top"))
     fits = F.min(F.when(F.col("cum_neg") <= F.lit(target) * F.col("n"), F.col("s")))
     ulp = F.col("top") + F.greatest(F.abs(F.col("top")), F.lit(1e-300)) * 2.220446049250313e-16
     return r.crossJoin(F.broadcast(total)).groupBy("n", "top").agg(fits.alias("t")).select(F.when(F.col("n") == 0, 1.0).otherwise(F.coalesce("t", ulp)).alias("threshold"))  # total is one row
@@ -103,31 +111,73 @@ def z_shift(train: DataFrame, other: DataFrame, x: str, keys: list[str]) -> Data
     return other.join(m, keys).groupBy(*keys).agg(F.avg(z).alias("z_shift"))
 
 
-def overlap(df: DataFrame, y: str, x: str, low: float, high: float, bins: int = 60) -> DataFrame:
-    """Overlap of the two classes' densities over equal bins of [low, high]."""
-    width = (high - low) / bins
-    b = F.least(F.lit(bins - 1), F.floor((F.col(x) - low) / width).cast("int"))
-    c = df.filter(F.col(x).between(low, high)).groupBy(b.alias("bin")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b"))
-    totals = c.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return c.crossJoin(F.broadcast(totals)).agg(F.sum(F.least(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))).alias("overlap"))  # totals is one row
+def overlap(df: DataFrame, y: str, x: str, shares: tuple[float, float] = (0.01, 0.99), bins: int = 60) -> DataFrame:
+    """Overlap of the two classes' densities over equal bins between two quantiles of all values; those beyond are clipped."""
+    d = df.select(F.col(y).alias("y"), F.col(x).cast("double").alias("x")).filter(finite(F.col("x")))
+    d = d.crossJoin(F.broadcast(quantiles(d, "x", list(shares))))  # one row
+    v = F.greatest(F.least("x", "q1"), "q0")
+    b = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(v - F.col("q0"), F.col("q1") - F.col("q0")) * bins), F.lit(0)).cast("int"))
+    c = d.groupBy(b.alias("bin")).agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+    everything = Window.partitionBy(F.lit(0))  # a row per bin
+    c = c.select(F.least(F.col("a") / F.sum("a").over(everything), F.col("b") / F.sum("b").over(everything)).alias("o"))
+    return c.agg(F.sum("o").alias("overlap"))
 
 
-def _resampled(df: DataFrame, id_col: str, replicates: int, seed: str) -> DataFrame:
-    """``df`` with the column ``replicate``, once for each, and the row's multiplicity ``m`` (1 at least) in it."""
-    r = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # Poisson(1) distribution function
-    m = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda s, e: s + (u >= e).cast("int"))
-    return df.crossJoin(F.broadcast(r)).withColumn("m", m).filter("m > 0")  # r is a fixed, small range
+_POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # distribution function at mean 1
 
 
-def bootstrap_auc(df: DataFrame, y: str, x: str, id_col: str, replicates: int = 300, seed: str = "boot") -> DataFrame:
-    """Percentile interval of the AUC over Poisson replicates.
+def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int, seed: str) -> DataFrame:
+    """replicate and auc: the AUC where every row counts as often as a Poisson quantile of a hash of replicate and id says.
 
-    A row's multiplicity in a replicate is the Poisson(1) quantile of a hash of replicate and id, so reruns
-    agree and nothing is resampled on the driver.
+    A row carries all its multiplicities in one array. Rows are sorted over all tasks by score; a task adds up
+    its own part of every replicate's area, and the negatives of the tasks before are added for the rest.
     """
-    a = auc(_resampled(df.select(id_col, y, x), id_col, replicates, seed), y, x, ["replicate"], "m").filter("auc IS NOT NULL")
+    u = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), i.cast("string"), F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    below = F.array(*[F.lit(s) for s in _POISSON])
+    times = F.transform(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), u), lambda v: F.size(F.filter(below, lambda s: s <= v)).cast("byte"))
+    d = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), (F.col(y) == 1).alias("y"), (F.col(y) == 0).alias("n"), times.alias("m"))
+    d = d.repartitionByRange("x").sortWithinPartitions("x")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        pos, neg, area = (np.zeros(replicates) for _ in range(3))
+        score, here_pos, here_neg = None, np.zeros(replicates), np.zeros(replicates)
+
+        def close():
+            nonlocal pos, neg, area
+            area = area + here_pos * (neg + here_neg / 2)
+            pos, neg = pos + here_pos, neg + here_neg
+
+        for b in batches:
+            if not len(b):
+                continue
+            v, one, zero = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            m = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(b), replicates).astype(np.float64)
+            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            p, n = np.add.reduceat(m * one[:, None], first, axis=0), np.add.reduceat(m * zero[:, None], first, axis=0)
+            for s, pp, nn in zip(v[first].tolist(), p, n, strict=True):
+                if s != score and score is not None:
+                    close()
+                    here_pos, here_neg = np.zeros(replicates), np.zeros(replicates)
+                score, here_pos, here_neg = s, here_pos + pp, here_neg + nn
+        if score is not None:
+            close()
+            cols = [pa.array(np.arange(replicates), pa.int32()), pa.array(np.full(replicates, TaskContext.get().partitionId()), pa.int32()), *(pa.array(z) for z in (pos, neg, area))]
+            yield pa.RecordBatch.from_arrays(cols, names=["replicate", "part", "pos", "neg", "area"])
+
+    parts = checkpointed(d.mapInArrow(run, "replicate int, part int, pos double, neg double, area double"))
+    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    parts = parts.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    whole = parts.groupBy("replicate").agg(F.sum("area").alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return whole.filter("p > 0 AND n > 0").select("replicate", (F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def bootstrap_auc(df: DataFrame, y: str, x: str, id_col: str, replicates: int = 300, seed: str = "boot") -> DataFrame:
+    """Percentile interval of the AUC over Poisson replicates; reruns agree and nothing is resampled on the driver."""
+    a = _replicate_aucs(df, y, x, id_col, replicates, seed)
     return a.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"), F.count("*").alias("replicates"))
 
 
@@ -139,10 +189,9 @@ def bootstrap_delta(df: DataFrame, y: str, a: str, b: str, id_col: str, replicat
     """
     d = df.filter(F.col(y).isNotNull() & finite(F.col(a).cast("double")) & finite(F.col(b).cast("double")))
     d = d.select(F.col(id_col).alias("__id"), F.col(y).alias("__y"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
-    delta = (F.max(F.when(F.col("which") == "__a", F.col("auc"))) - F.max(F.when(F.col("which") == "__b", F.col("auc")))).alias("delta")
-    whole = auc(d.unpivot(["__y"], ["__a", "__b"], "which", "x"), "__y", "x", ["which"]).agg(delta)
-    r = _resampled(d, "__id", replicates, seed).unpivot(["replicate", "__y", "m"], ["__a", "__b"], "which", "x")
-    r = auc(r, "__y", "x", ["replicate", "which"], "m").groupBy("replicate").agg(delta).filter("delta IS NOT NULL")
+    whole = auc(d, "__y", "__a").select(F.col("auc").alias("u")).crossJoin(auc(d, "__y", "__b").select(F.col("auc").alias("v"))).select((F.col("u") - F.col("v")).alias("delta"))  # a row each
+    r = _replicate_aucs(d, "__y", "__a", "__id", replicates, seed).join(_replicate_aucs(d, "__y", "__b", "__id", replicates, seed).withColumnRenamed("auc", "other"), "replicate")
+    r = r.select((F.col("auc") - F.col("other")).alias("delta"))
     share = lambda c: F.avg(c.cast("double"))
     p = 2 * F.least(share(F.col("delta") <= 0), share(F.col("delta") >= 0))
     out = r.agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), p.alias("p"), F.count("*").alias("replicates"))

@@ -30,25 +30,36 @@ def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
+def bound(value: Column, f):
+    """``f(value)`` with the value computed once, even where ``f`` uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def variance(a: Column) -> Column:
-    m = mean(a)
-    return total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)
+    return bound(mean(a), lambda m: total(a, lambda x: (x - m) * (x - m))) / F.size(a)
 
 
 def skew_kurtosis(a: Column, least: int = 32) -> tuple[Column, Column]:
     """Population moments with EPS in the denominators; 0 for few or constant values."""
-    m, s = mean(a), F.sqrt(variance(a))
-    bad = (F.size(a) < least) | (s < EPS)
-    m3 = total(F.transform(a, lambda x: (x - m) * (x - m) * (x - m))) / F.size(a)
-    m4 = total(F.transform(a, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / F.size(a)
-    return F.when(bad, 0.0).otherwise(m3 / (s * s * s + EPS)), F.when(bad, 0.0).otherwise(m4 / (s * s * s * s + EPS) - 3)
+
+    def of(m: Column) -> Column:
+        sums = F.aggregate(a, F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(0.0).alias("r")), lambda s, x: F.struct(
+            (s["p"] + (x - m) * (x - m)).alias("p"), (s["q"] + (x - m) * (x - m) * (x - m)).alias("q"), (s["r"] + (x - m) * (x - m) * (x - m) * (x - m)).alias("r"),
+        ))
+        return F.transform(F.array(sums), lambda s: F.struct(F.sqrt(s["p"] / F.size(a)).alias("s"), (s["q"] / F.size(a)).alias("m3"), (s["r"] / F.size(a)).alias("m4")))
+
+    v = F.element_at(bound(mean(a), of), 1)
+    bad = lambda s: (F.size(a) < least) | (s < EPS)
+    skew = bound(v, lambda v: F.when(bad(v["s"]), 0.0).otherwise(v["m3"] / (v["s"] * v["s"] * v["s"] + EPS)))
+    return skew, bound(v, lambda v: F.when(bad(v["s"]), 0.0).otherwise(v["m4"] / (v["s"] * v["s"] * v["s"] * v["s"] + EPS) - 3))
 
 
 def correlation(a: Column, b: Column) -> Column:
     """Population correlation with EPS; 0 if either is constant."""
-    ma, mb, sa, sb = mean(a), mean(b), F.sqrt(variance(a)), F.sqrt(variance(b))
-    c = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))) / F.size(a)
-    return F.when((sa < EPS) | (sb < EPS), 0.0).otherwise(c / (sa * sb + EPS))
+    means = F.struct(mean(a).alias("a"), mean(b).alias("b"))
+    c = bound(means, lambda m: total(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"])))) / F.size(a)
+    spread = F.struct(F.sqrt(variance(a)).alias("a"), F.sqrt(variance(b)).alias("b"), c.alias("c"))
+    return bound(spread, lambda s: F.when((s["a"] < EPS) | (s["b"] < EPS), 0.0).otherwise(s["c"] / (s["a"] * s["b"] + EPS)))
 
 
 def trimmed_mean(a: Column, share: float = 0.05) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import finite
+from tessera.operators.ordered import quantiles
+
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column: n, min, max, mean, median, sample deviation; nulls and NaN left out."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "x").filter("x IS NOT NULL AND NOT isnan(x)")
-    return long.groupBy("column").agg(
-        F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("median"), F.round(F.stddev_samp("x"), 6).alias("std")
-    )
+    """One row per column: n, min, max, mean, median, sample deviation; nulls, NaN and infinities left out."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "x").filter(finite(F.col("x")))
+    s = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"))
+    q = quantiles(long, "x", [0.5], ["column"]).select("column", F.round("q0", 6).alias("median"))
+    return s.join(q, "column").select("column", "n", "min", "max", "mean", "median", "std")
 
 
 def value_counts(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
@@ -88,11 +91,3 @@ def unique_on(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     if not df.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError(f"{what}: keys {keys} are not unique")
     return df
-
-
-def left_with_rate(left: DataFrame, right: DataFrame, key_left: Column, key_right: Column, order: list[Column]) -> tuple[DataFrame, float]:
-    """Left join on expressions, the right side's first row per key, and the share of rows matched."""
-    r = keep_first(right.withColumn("__key", key_right), ["__key"], order)
-    out = left.withColumn("__l", key_left).join(r, F.col("__l") == F.col("__key"), "left")
-    rate = out.agg(F.avg(F.col("__key").isNotNull().cast("double"))).first()[0] or 0.0
-    return out.drop("__l", "__key"), rate

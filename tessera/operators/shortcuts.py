@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, rate_level
+from tessera.operators.ordered import quantiles
 
 #: Least difference of presence, values a class, occurrences of an exclusive value, and shares of a dominant size.
 PRESENCE, TOP_VALUES, OCCURRENCES, DOMINANT, RARE = 0.05, 3, 10, 0.80, 0.20
@@ -44,7 +45,7 @@ def alerts(df: DataFrame, label: str, *, binary: list[str] = (), categories: lis
         top = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("delta"), "detail"))
         parts.append(worst.withColumn("k", top).filter("k = 1").drop("k"))
     if numbers:
-        m = _long(d, label, numbers, "double").filter(finite(F.col("x"))).groupBy("feature", "y").agg(F.median("x").alias("v"))
+        m = quantiles(_long(d, label, numbers, "double"), "x", [0.5], ["feature", "y"]).select("feature", "y", F.col("q0").alias("v"))
         m = m.withColumn("v", F.col("v") / F.greatest(F.avg("v").over(Window.partitionBy("feature")), F.lit(1e-9)))  # a row per class
         parts.append(_spread(m.withColumn("detail", none), "relative_median", F.col("v")))
     if texts:

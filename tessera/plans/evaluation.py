@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.operators import metrics as M
 from tessera.operators import sampling as S
-from tessera.operators.ordered import ranked
+from tessera.operators import shortcuts
+from tessera.operators.ordered import quantiles, ranked
 from tessera.plans.registry import query
 from tessera.plans.relational import customer, documents, events, labels, lineitem, orders, part, supplier
 
@@ -149,10 +149,10 @@ def proxy_asymmetry(spark, sf_dir):
     return r.select("proxy", "n", F.round("a", 9).alias("rate_1"), F.round("b", 9).alias("rate_0"), F.round(gap, 9).alias("gap"), X.rate_level(gap).alias("risk"), F.round(M.binary_information(F.col("prior"), F.col("a"), F.col("b")), 9).alias("mi_bits"))
 
 
-@query("overlap_coefficient", "WITH c AS (SELECT least(59, floor((l_extendedprice - 0) / (60000.0::DOUBLE / 60)))::INT AS bin, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag <> 'R') AS b FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 60000 GROUP BY 1) SELECT round(sum(least(a / (SELECT sum(a) FROM c), b / (SELECT sum(b) FROM c))), 9) AS overlap FROM c")
+@query("overlap_coefficient", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem), c AS (SELECT least(59, floor((greatest(least(l_extendedprice, hi), lo) - lo) / (hi - lo) * 60))::INT AS bin, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag <> 'R') AS b FROM lineitem, q GROUP BY 1) SELECT round(sum(least(a / (SELECT sum(a) FROM c), b / (SELECT sum(b) FROM c))), 9) AS overlap FROM c")
 def overlap_coefficient(spark, sf_dir):
     l = lineitem(spark, sf_dir).select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_extendedprice").alias("x"))
-    return M.overlap(l, "y", "x", 0.0, 60000.0).select(F.round("overlap", 9).alias("overlap"))
+    return M.overlap(l, "y", "x").select(F.round("overlap", 9).alias("overlap"))
 
 
 @query("correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for k, a in enumerate(["l_quantity", "l_extendedprice", "l_discount"]) for b in ["l_extendedprice", "l_discount", "l_tax"][k:]))
@@ -162,7 +162,7 @@ def correlation_matrix(spark, sf_dir):
     return one.select(F.explode("x").alias("x")).select("x.*")
 
 
-_BOOTSTRAP = f"""{SCORED}, r AS (SELECT doc_id, y, p, i::INT AS replicate, CAST('0x' || substr(md5('boot|' || i || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM s, range(50) t(i)),
+_BOOTSTRAP = f"""{SCORED}, r AS (SELECT doc_id, y, p, i::INT AS replicate, CAST('0x' || substr(md5('boot|' || i || '|' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM s, range(300) t(i)),
     m AS (SELECT replicate, y, p, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT + (u >= 0.9999167588507119::DOUBLE)::INT AS m FROM r),
     d AS (SELECT replicate, p, coalesce(sum(m) FILTER (y = 1), 0) AS pos, coalesce(sum(m) FILTER (y = 0), 0) AS neg FROM m WHERE m > 0 GROUP BY 1, 2),
     c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM d),
@@ -171,47 +171,45 @@ _BOOTSTRAP = f"""{SCORED}, r AS (SELECT doc_id, y, p, i::INT AS replicate, CAST(
 
 @query("bootstrap_auc", _BOOTSTRAP)
 def bootstrap_auc(spark, sf_dir):
-    """A short interval of 50 replicates, as its SQL says; ``bootstrap_auc_300`` has all."""
-    return _interval(spark, sf_dir, 50)
-
-
-@query("bootstrap_auc_300", _BOOTSTRAP.replace("range(50)", "range(300)"))
-def bootstrap_auc_300(spark, sf_dir):
-    return _interval(spark, sf_dir, 300)
-
-
-def _interval(spark, sf_dir, replicates):
-    return M.bootstrap_auc(scored(spark, sf_dir), "y", "p", "doc_id", replicates).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
+    return M.bootstrap_auc(scored(spark, sf_dir), "y", "p", "doc_id", 300).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
 
 
 @query("paired_shift", "SELECT l_returnflag, round(avg(l_tax - l_discount), 9) AS mean_delta, round(avg(abs((l_tax - l_discount) / s)), 6) AS mean_abs, round(median(abs((l_tax - l_discount) / s)), 6) AS median_abs FROM lineitem, (SELECT stddev_pop(l_discount) AS s FROM lineitem) GROUP BY 1")
 def paired_shift(spark, sf_dir):
     l = lineitem(spark, sf_dir).select("l_returnflag", "l_tax", "l_discount")
     s = l.agg(F.stddev_pop("l_discount").alias("s"))
-    d = l.crossJoin(F.broadcast(s)).withColumn("d", F.col("l_tax") - F.col("l_discount"))  # s is one row
-    z = F.abs(F.col("d") / F.col("s"))
-    return d.groupBy("l_returnflag").agg(F.round(F.avg("d"), 9).alias("mean_delta"), F.round(F.avg(z), 6).alias("mean_abs"), F.round(F.median(z), 6).alias("median_abs"))
-
-
-_ALERTS = """
-r AS (SELECT 'binary_rate' AS kind, 'toxic' AS feature, abs(avg(toxic) FILTER (quality = 1) - avg(toxic) FILTER (quality = 0)) AS delta FROM f),
-k AS (SELECT lang, count(*) FILTER (quality = 1) / (SELECT count(*) FROM f WHERE quality = 1) AS a, count(*) FILTER (quality = 0) / (SELECT count(*) FROM f WHERE quality = 0) AS b FROM f GROUP BY 1),
-c AS (SELECT 'category_share' AS kind, 'lang' AS feature, max(abs(a - b)) AS delta FROM k),
-m AS (SELECT 'relative_median' AS kind, 'n_chars' AS feature, abs(median(n_chars) FILTER (quality = 1) - median(n_chars) FILTER (quality = 0)) / greatest(median(n_chars) FILTER (quality = 0), 1) AS delta FROM f)
-SELECT kind, feature, round(delta, 6) AS delta, CASE WHEN delta > 0.30 THEN 'HIGH' WHEN delta > 0.10 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM m)"""
-
-
-@query("shortcut_alerts", f"{FEATURED}, {_ALERTS}")
+    d = l.crossJoin(F.broadcast(s)).withColumn("d", F.col("l_tax") - F.col("l_discount")).withColumn("z", F.abs(F.col("d") / F.col("s")))  # s is one row
+    mean = d.groupBy("l_returnflag").agg(F.round(F.avg("d"), 9).alias("mean_delta"), F.round(F.avg("z"), 6).alias("mean_abs"))
+    return mean.join(quantiles(d, "z", [0.5], ["l_returnflag"]).select("l_returnflag", F.round("q0", 6).alias("median_abs")), "l_returnflag")
+
+
+_SHARES = "SELECT feature, x, y, n, n / sum(n) OVER (PARTITION BY feature, y) AS v FROM (SELECT feature, x, y, count(*) AS n FROM t GROUP BY 1, 2, 3)"
+_ALERTS = f"""
+r AS (SELECT 'binary_rate' AS kind, 'toxic' AS feature, NULL AS detail, abs(avg(toxic) FILTER (quality = 1) - avg(toxic) FILTER (quality = 0)) AS delta FROM f),
+t AS (SELECT 'lang' AS feature, lang AS x, quality AS y FROM f UNION ALL SELECT 'source', source, quality FROM f UNION ALL SELECT 'tag', tag, quality FROM f), h AS ({_SHARES}),
+k AS (SELECT 'category_share' AS kind, feature, x AS detail, abs(coalesce(max(v) FILTER (y = 1), 0) - coalesce(max(v) FILTER (y = 0), 0)) AS delta FROM h WHERE feature = 'lang' GROUP BY 2, 3 QUALIFY row_number() OVER (ORDER BY abs(coalesce(max(v) FILTER (y = 1), 0) - coalesce(max(v) FILTER (y = 0), 0)) DESC, x) = 1),
+z AS (SELECT feature, y, median(x) AS m FROM (SELECT 'n_chars' AS feature, quality AS y, n_chars AS x FROM f UNION ALL SELECT 'n_words', quality, n_words FROM f) GROUP BY 1, 2),
+m AS (SELECT 'relative_median' AS kind, feature, NULL AS detail, (max(m) - min(m)) / greatest(avg(m), 1e-9) AS delta FROM z GROUP BY feature),
+p AS (SELECT 'presence' AS kind, feature, NULL AS detail, max(v) - min(v) AS delta FROM (SELECT feature, y, avg((x IS NOT NULL)::INT) AS v FROM t WHERE feature <> 'lang' GROUP BY 1, 2) GROUP BY feature HAVING max(v) - min(v) > 0.05),
+e AS (SELECT 'exclusive_value' AS kind, a.feature, substr(a.x, 1, 80) || ' only in ' || a.y || ' ' || a.n AS detail, 1.0 AS delta FROM (SELECT feature, x, y, n FROM h WHERE feature <> 'lang' AND x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature, y ORDER BY n DESC, x) <= 3) a WHERE a.n >= 10 AND (SELECT count(*) FROM h b WHERE b.feature = a.feature AND b.x = a.x) = 1),
+w AS (SELECT 'size' AS feature, width || 'x' || height AS x, quality AS y, count(*) AS n FROM f GROUP BY 2, 3), q AS (SELECT *, n / sum(n) OVER (PARTITION BY y) AS v FROM w),
+s AS (SELECT 'resolution_pattern' AS kind, 'widthxheight' AS feature, a.x || ' in ' || a.y || ' rare in ' || c.y AS detail, a.v - coalesce(b.v, 0) AS delta FROM q a JOIN (SELECT DISTINCT y FROM q) c ON c.y <> a.y LEFT JOIN q b ON b.x = a.x AND b.y = c.y WHERE a.v >= 0.8 AND coalesce(b.v, 0) < 0.2)
+SELECT kind, feature, coalesce(detail, '-') AS detail, round(delta, 6) AS delta, CASE WHEN kind IN ('exclusive_value', 'resolution_pattern') OR delta > 0.30 THEN 'HIGH' WHEN delta > 0.10 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+FROM (SELECT * FROM r UNION ALL SELECT * FROM k UNION ALL SELECT * FROM m UNION ALL SELECT * FROM p UNION ALL SELECT * FROM e UNION ALL SELECT * FROM s)"""
+_ALERT_ROWS = """WITH f AS (SELECT lang, source, n_chars::DOUBLE AS n_chars, len(regexp_extract_all(text, ' '))::DOUBLE AS n_words, quality, toxic, CASE WHEN quality = 0 AND n_chars % 3 > 0 THEN 'low' WHEN n_chars % 5 = 0 THEN 'both' END AS tag,
+    CASE WHEN quality = 1 THEN 640 ELSE 100 + n_chars % 7 END AS width, CASE WHEN n_chars % 11 = 0 THEN 481 ELSE 480 END AS height FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("shortcut_alerts", f"{_ALERT_ROWS}, {_ALERTS}")
 def shortcut_alerts(spark, sf_dir):
-    """Asymmetries between the classes, each kind one aggregate."""
-    f = featured(spark, sf_dir).select("lang", "quality", "toxic", "n_chars")
-    of = lambda k, c: F.when(F.col("quality") == k, c)
-    one = f.agg(F.abs(F.avg(of(1, F.col("toxic"))) - F.avg(of(0, F.col("toxic")))).alias("r"), F.median(of(1, F.col("n_chars"))).alias("m1"), F.median(of(0, F.col("n_chars"))).alias("m0"))
-    pair = one.select(F.explode(F.array(F.struct(F.lit("binary_rate").alias("kind"), F.lit("toxic").alias("feature"), F.col("r").alias("delta")), F.struct(F.lit("relative_median").alias("kind"), F.lit("n_chars").alias("feature"), (F.abs(F.col("m1") - F.col("m0")) / F.greatest("m0", F.lit(1.0))).alias("delta")))).alias("x")).select("x.*")
-    k = f.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b"))
-    w = Window.partitionBy(F.lit(1))  # a row per category
-    k = k.select(F.abs(F.col("a") / F.sum("a").over(w) - F.col("b") / F.sum("b").over(w)).alias("d")).agg(F.max("d").alias("delta")).select(F.lit("category_share").alias("kind"), F.lit("lang").alias("feature"), "delta")
-    return pair.unionByName(k).select("kind", "feature", F.round("delta", 6).alias("delta"), X.rate_level(F.col("delta")).alias("severity"))
+    """Every kind of asymmetry between the classes: rates, shares, medians, presence, exclusive values, sizes."""
+    n = F.col("n_chars")
+    f = documents(spark, sf_dir).join(labels(spark, sf_dir), "doc_id").select(
+        "lang", "source", n.cast("double").alias("n_chars"), F.regexp_count("text", F.lit(" ")).cast("double").alias("n_words"), "quality", "toxic",
+        F.when((F.col("quality") == 0) & (n % 3 > 0), "low").when(n % 5 == 0, "both").alias("tag"), F.when(F.col("quality") == 1, 640).otherwise(100 + n % 7).alias("width"), F.when(n % 11 == 0, 481).otherwise(480).alias("height"),
+    )
+    a = shortcuts.alerts(f, "quality", binary=["toxic"], categories=["lang"], numbers=["n_chars", "n_words"], texts=["source", "tag"], size=("width", "height"))
+    return a.select("kind", "feature", F.coalesce("detail", F.lit("-")).alias("detail"), F.round("delta", 6).alias("delta"), "severity")
 
 
 _H = "sha256('42|' || doc_id)"
@@ -288,8 +286,8 @@ def route(spark, sf_dir):
 @query("winsorise", "SELECT l_orderkey, l_linenumber, greatest(least(l_extendedprice, hi), lo) AS v FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem)")
 def winsorise(spark, sf_dir):
     l = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_extendedprice")
-    caps = l.agg(F.percentile("l_extendedprice", 0.01).alias("lo"), F.percentile("l_extendedprice", 0.99).alias("hi"))
-    return l.crossJoin(F.broadcast(caps)).select("l_orderkey", "l_linenumber", X.winsorised(F.col("l_extendedprice"), F.col("lo"), F.col("hi")).alias("v"))  # caps is one row
+    caps = quantiles(l, "l_extendedprice", [0.01, 0.99])
+    return l.crossJoin(F.broadcast(caps)).select("l_orderkey", "l_linenumber", X.winsorised(F.col("l_extendedprice"), F.col("q0"), F.col("q1")).alias("v"))  # caps is one row
 
 
 @query("status_decision", "SELECT p_partkey, CASE WHEN p_size % 17 = 0 THEN 'DECODE_ERROR' WHEN p_size % 5 = 0 THEN 'UNSUPPORTED_INPUT' WHEN p_size % 7 = 0 THEN 'UNSUPPORTED_INPUT' WHEN least(p_size * 10, p_partkey % 600) < 252 THEN 'LOW_SUPPORT' ELSE 'ACCEPTED' END AS status FROM part")
@@ -324,13 +322,6 @@ def file_digests(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").cast("long").alias("size_bytes"))
 
 
-@query("scaled_rank_join", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer QUALIFY k <= 50) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier QUALIFY k <= 50) USING (k)")
-def scaled_rank_join(spark, sf_dir):
-    """The first 50 rows of two tables by rank, a top 50; ``rank_alignment`` aligns all rows."""
-    top = lambda d, b, k: d.select(k, b).orderBy(F.desc(b), k).limit(50).select(k, F.row_number().over(Window.orderBy(F.desc(b), k)).alias("k"))
-    return top(customer(spark, sf_dir), "c_acctbal", "c_custkey").join(top(supplier(spark, sf_dir), "s_acctbal", "s_suppkey"), "k").select("c_custkey", "s_suppkey")
-
-
 @query("rank_alignment", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) USING (k)")
 def rank_alignment(spark, sf_dir):
     """All rows of two tables aligned by rank, as far as the shorter one goes."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.operators import metrics as M
 from tessera.operators import patches as P
+from tessera.operators import shortcuts
 from tessera.operators.kernels import LUMA
 from tessera.plans.evaluation import FEATURED, _FEATURES, featured, mid_rank_auc
 from tessera.plans.patches import PIXELS, centred
@@ -44,15 +46,30 @@ def jpeg_quality(spark, sf_dir):
     return embeddings(spark, sf_dir).select("vec_id", X.jpeg_quality(t, LUMA).alias("quality"))
 
 
-_PAIRS = " UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, quality) AS r FROM f" for f in _FEATURES)
+_MISSING = "CASE WHEN quality = 0 AND n_lines > 2 THEN NULL ELSE n_caps END"
+_RANKED = {**{c: c for c in _FEATURES}, "caps_missing": _MISSING, "n_half": "n_words / 2 + n_lines"}
+_PAIRS = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({e}, quality) AS r, abs(avg((({e}) IS NULL)::INT) FILTER (quality = 1) - avg((({e}) IS NULL)::INT) FILTER (quality = 0)) AS gap FROM f" for c, e in _RANKED.items())
 
 
-@query("label_correlation_ranking", f"{FEATURED}, c AS ({_PAIRS}) SELECT feature, round(abs(r), 6) AS strength, row_number() OVER (ORDER BY round(abs(r), 6) DESC, feature)::INT AS rank FROM c ORDER BY rank LIMIT 3")
+def _ranked_features(spark, sf_dir):
+    return featured(spark, sf_dir).select("quality", *[F.expr(e).alias(c) for c, e in _RANKED.items()])
+
+
+@query("label_correlation_ranking", f"{FEATURED}, c AS ({_PAIRS}), s AS (SELECT feature, round(r, 6) AS corr, round(gap, 6) AS missing_gap, round(greatest(abs(r), gap), 6) AS score FROM c) SELECT *, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM s ORDER BY rank LIMIT 20")
 def label_correlation_ranking(spark, sf_dir):
-    """The features most correlated with the label; one aggregate for all of them."""
-    f = featured(spark, sf_dir)
-    one = f.agg(F.array(*[F.struct((-F.round(F.abs(F.corr(c, "quality")), 6)).alias("k"), F.lit(c).alias("feature")) for c in _FEATURES]).alias("x"))
-    return one.select(F.posexplode(F.slice(F.array_sort("x"), 1, 3)).alias("i", "x")).select("x.feature", (-F.col("x.k")).alias("strength"), (F.col("i") + 1).cast("int").alias("rank"))
+    """The twenty features that tell most of the label, by correlation or by where they are missing: a report."""
+    r = shortcuts.label_ranking(_ranked_features(spark, sf_dir), "quality", list(_RANKED))
+    r = r.select("feature", F.round("corr", 6).alias("corr"), F.round("missing_gap", 6).alias("missing_gap"), F.round("score", 6).alias("score"))
+    return r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "feature")))  # a row per feature
+
+
+_COMBINED = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({x}, {y}), 6) AS corr, count(*) FILTER (({x}) IS NOT NULL AND ({y}) IS NOT NULL) AS n FROM f" for i, (a, x) in enumerate(_RANKED.items()) for b, y in list(_RANKED.items())[i + 1 :])
+
+
+@query("correlated_pairs", f"{FEATURED}, c AS ({_COMBINED}) SELECT * FROM c WHERE abs(corr) >= 0.8")
+def correlated_pairs(spark, sf_dir):
+    """Pairs of features that say nearly the same."""
+    return shortcuts.correlated_pairs(_ranked_features(spark, sf_dir), list(_RANKED)).withColumn("corr", F.round("corr", 6))
 
 
 _TWO = " UNION ALL ".join(f"SELECT '{f}' AS feature, '{s}' AS slice, {y} AS y, {f} AS x FROM f" for f in _FEATURES for s, y in (("clean", "quality"), ("nat", "toxic")))

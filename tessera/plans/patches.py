@@ -16,8 +16,7 @@ def patch(spark, sf_dir):
 
 
 def centred(spark, sf_dir):
-    d = patch(spark, sf_dir).withColumn("m", P.mean(F.col("a")))
-    return d.select("vec_id", F.transform("a", lambda x: x - F.col("m")).alias("c"))
+    return patch(spark, sf_dir).select("vec_id", P.bound(P.mean(F.col("a")), lambda m: F.transform("a", lambda x: x - m)).alias("c"))
 
 
 def kernel_sql(k) -> str:
@@ -135,11 +134,11 @@ def patch_quadrants(spark, sf_dir):
     return d.select("vec_id", F.round(P.mean(F.col("q")), 6).alias("quad_mean"), F.round(F.sqrt(P.variance(F.col("q"))), 6).alias("quad_std"))
 
 
-@query("patch_ycrcb", PIXELS + ", t AS (SELECT a.vec_id, a.v AS r, b.v AS g, c.v AS b FROM px a JOIN px b ON a.vec_id = b.vec_id AND a.c = b.c AND b.r = a.r + 2 JOIN px c ON a.vec_id = c.vec_id AND a.c = c.c AND c.r = a.r + 4 WHERE a.r < 2), y AS (SELECT vec_id, 0.299 * r + 0.587 * g + 0.114 * b AS y, r, b FROM t) SELECT vec_id, round((var_pop((r - y) * 0.713 + 128) + var_pop((b - y) * 0.564 + 128)) / (var_pop(y) + 1e-8), 5) AS chroma FROM y GROUP BY 1")
+@query("patch_ycrcb", PIXELS + ", t AS (SELECT a.vec_id, a.v AS r, b.v AS g, c.v AS b FROM px a JOIN px b ON a.vec_id = b.vec_id AND b.r * 8 + b.c = (a.r * 8 + a.c + 21) % 64 JOIN px c ON a.vec_id = c.vec_id AND c.r * 8 + c.c = (a.r * 8 + a.c + 42) % 64), y AS (SELECT vec_id, 0.299 * r + 0.587 * g + 0.114 * b AS y, r, b FROM t) SELECT vec_id, round((var_pop((r - y) * 0.713 + 128) + var_pop((b - y) * 0.564 + 128)) / (var_pop(y) + 1e-8), 5) AS chroma FROM y GROUP BY 1")
 def patch_ycrcb(spark, sf_dir):
-    """Chroma energy over luma, with three bands of the patch as red, green and blue."""
-    part = lambda k: F.slice("a", k, 16)
-    y = F.zip_with(F.zip_with(part(1), part(17), lambda r, g: 0.299 * r + 0.587 * g), part(33), lambda s, b: s + 0.114 * b)
-    d = patch(spark, sf_dir).select("vec_id", y.alias("y"), part(1).alias("r"), part(33).alias("b"))
+    """Chroma energy over luma, with the patch and two turns of it as red, green and blue."""
+    turned = lambda k: F.concat(F.slice("a", k + 1, 64 - k), F.slice("a", 1, k))
+    d = patch(spark, sf_dir).select("vec_id", F.col("a").alias("r"), turned(21).alias("g"), turned(42).alias("b"))
+    d = d.withColumn("y", F.zip_with(F.zip_with("r", "g", lambda r, g: 0.299 * r + 0.587 * g), "b", lambda s, b: s + 0.114 * b))
     cr, cb = F.zip_with("r", "y", lambda r, y: (r - y) * 0.713 + 128), F.zip_with("b", "y", lambda b, y: (b - y) * 0.564 + 128)
     return d.select("vec_id", F.round((P.variance(cr) + P.variance(cb)) / (P.variance(F.col("y")) + P.EPS), 5).alias("chroma"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.operators import profile
+from tessera.operators.ordered import numbered, quantiles
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -25,8 +27,8 @@ FROM g GROUP BY split_role, label
 def gate_coverage(spark, sf_dir):
     """Share of rows whose score reaches the training slice's 0.75 quantile, by split and label."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
-    thr = e.filter(F.pmod("user_id", F.lit(5)) == 0).agg(F.percentile("value", 0.75).alias("thr"))
-    on = F.coalesce(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= F.col("thr")), F.lit(False))
+    thr = quantiles(e.filter(F.pmod("user_id", F.lit(5)) == 0), "value", [0.75]).select(F.col("q0").alias("thr"))
+    on = X.at_least(F.col("value"), F.col("thr"))
     return (
         e.crossJoin(F.broadcast(thr))  # one row
         .select(F.pmod("user_id", F.lit(5)).alias("split_role"), F.col("event_type").alias("label"), on.cast("int").alias("gate"))
@@ -128,7 +130,7 @@ def duplicate_summary(spark, sf_dir):
 @query("duplicate_group_ids", "SELECT doc_id, dense_rank() OVER (ORDER BY digest)::BIGINT AS group_id FROM (SELECT doc_id, sha256(text) AS digest, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1")
 def duplicate_group_ids(spark, sf_dir):
     d = profile.duplicates(documents(spark, sf_dir), F.col("text"), "doc_id").select("id", "digest")
-    rank = d.select("digest").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("digest")).cast("long"))  # one row per repeated text
+    rank = numbered(d.select("digest").distinct(), [F.col("digest")], "group_id")
     return d.join(rank, "digest").select(F.col("id").alias("doc_id"), "group_id")
 
 
@@ -279,8 +281,16 @@ def missing_rates(spark, sf_dir):
 
 @query("snapshot_hash", "SELECT count(*) AS n, sha256(string_agg(url, chr(10) ORDER BY url) || chr(10)) AS digest FROM pages")
 def snapshot_hash(spark, sf_dir):
-    """Digest of all sorted names: the digest needs one string, so names are the only column that moves."""
-    return pages(spark, sf_dir).agg(F.count("*").alias("n"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("url")), "\n"), F.lit("\n")).cast("binary"), 256).alias("digest"))
+    """Digest of all names in order, each with a line end.
+
+    The names are sorted over all tasks; a digest goes through its bytes one after another, so they are read
+    in order, a partition at a time, and never held together.
+    """
+    digest, n = hashlib.sha256(), 0
+    for r in pages(spark, sf_dir).select("url").orderBy("url").toLocalIterator(prefetchPartitions=True):
+        digest.update(r["url"].encode() + b"\n")
+        n += 1
+    return spark.createDataFrame([(n, digest.hexdigest())], "n long, digest string")
 
 
 @query("accept_rate_ranking", "SELECT c_nationkey, n, round(f / n, 6) AS rate FROM (SELECT c_nationkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ORDER BY rate DESC, n DESC, c_nationkey LIMIT 12")
