@@ -85,6 +85,13 @@ def cross_validated_auc(df: DataFrame, features: list[str], id_col: str, kind: s
     return auc(out.withColumn("p", calibrated(F.col("raw_score"), 1.0, 0.0)), "y", "p").first()["auc"]
 
 
+def evaluated_auc(df: DataFrame, features: list[str], group: str, id_col: str, kind: str = "logreg") -> float:
+    """AUC of scores from models of the other groups, or of stratified folds where there are fewer than three groups."""
+    if df.select(group).distinct().count() < 3:
+        return cross_validated_auc(df, features, id_col, kind)
+    return auc(leave_one_group_out(df, features, group, [id_col], kind), "y", "raw_score").first()["auc"]
+
+
 def candidates(train: DataFrame, calibration: DataFrame, validation: DataFrame, sets: dict[str, list[str]], kinds: tuple[str, ...] = ("logreg", "gbt"), target: float = 0.05) -> DataFrame:
     """Every feature set with every kind of model: calibrated, and measured on the validation rows, best first."""
     rows = []

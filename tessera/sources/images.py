@@ -15,15 +15,52 @@ from tessera.functions import scalars as X
 SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tif", ".tiff"]
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and modificationTime of the images below ``root``, by suffix; contents are not read."""
+def _files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return f.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)).select("path", "length", "modificationTime")
+    return f.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
 
 
-def contents(spark: SparkSession, root: str) -> DataFrame:
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return f.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)).select("path", "length", "content")
+def discover(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    """path, length and modificationTime of the images below ``root``, by suffix, in order of path; contents are not read."""
+    return _files(spark, root, suffixes).select("path", "length", "modificationTime").orderBy("path")
+
+
+def contents(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    return _files(spark, root, suffixes).select("path", "length", "content")
+
+
+def npy_header(data: bytes) -> tuple[str, list[int], int]:
+    """Type, shape and where the values begin of an array file in row order; objects and Fortran order are refused."""
+    import ast
+
+    if data[:6] != b"\x93NUMPY":
+        raise ValueError("no array file")
+    wide = data[6] > 1
+    (n,) = struct.unpack_from("<I" if wide else "<H", data, 8)
+    at = (12 if wide else 10) + n
+    h = ast.literal_eval(data[at - n : at].decode("latin-1"))
+    if h["fortran_order"] or "O" in h["descr"]:
+        raise ValueError("only plain values in row order are read")
+    return h["descr"], list(h["shape"]), at
+
+
+def arrays(spark: SparkSession, root: str, shape: tuple[int, ...] | None = None) -> DataFrame:
+    """path, dtype, shape, values (bytes) and error of the .npy files below ``root``; another shape than asked for is an error."""
+
+    @F.pandas_udf("dtype string, shape array<int>, values binary, error string")
+    def parsed(c):
+        rows = []
+        for x in c:
+            try:
+                kind, size, at = npy_header(bytes(x))
+                if shape is not None and tuple(size) != tuple(shape):
+                    raise ValueError(f"shape {size}")
+                rows.append((kind, size, bytes(x)[at:], None))
+            except (ValueError, SyntaxError, KeyError, struct.error) as e:
+                rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["dtype", "shape", "values", "error"]).astype(object)
+
+    return contents(spark, root, [".npy"]).select("path", parsed("content").alias("x")).select("path", "x.*")
 
 
 def tree_counts(files: DataFrame) -> DataFrame:
@@ -40,7 +77,7 @@ def label_counts(files: DataFrame) -> DataFrame:
 def _orientation(tiff: bytes) -> int | None:
     """Tag 0x0112 of the first directory of a TIFF structure, if it is 1 to 8."""
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if not order or len(tiff) < 8:
+    if not order or len(tiff) < 8 or struct.unpack_from(order + "H", tiff, 2)[0] != 42:
         return None
     (at,) = struct.unpack_from(order + "I", tiff, 4)
     (n,) = struct.unpack_from(order + "H", tiff, at)
@@ -99,10 +136,20 @@ def header(data: bytes) -> dict:
             tags = _tiff(data)
             out |= {"format": "TIFF", "width": tags.get(256), "height": tags.get(257), "has_exif": 34665 in tags, "has_icc": 34675 in tags, "has_xmp": 700 in tags, "has_iptc": 33723 in tags}
             out["orientation"] = _orientation(data)
+        elif data[:6] in (b"GIF87a", b"GIF89a"):
+            out |= {"format": "GIF", "mode": "P"} | dict(zip(("width", "height"), struct.unpack_from("<HH", data, 6), strict=True))
+        elif data[:2] == b"BM":
+            w, h = struct.unpack_from("<ii", data, 18)
+            out |= {"format": "BMP", "width": w, "height": abs(h)}
+        elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            out["format"] = "WEBP"
         elif data[:3] == b"\xff\xd8\xff":
             out |= {"format": "JPEG", "has_exif": False, "has_icc": False, "has_xmp": False, "has_iptc": False, "n_tables": 0}
             at = 2
             while at + 4 <= len(data) and data[at] == 0xFF:
+                if data[at + 1] == 0xFF:  # bytes that fill up
+                    at += 1
+                    continue
                 kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
                 body = data[at + 4 : at + 2 + size]
                 if kind == 0xE1 and body[:6] == b"Exif\0\0":
@@ -136,11 +183,16 @@ def header(data: bytes) -> dict:
     return out
 
 
+def zigzag() -> list[int]:
+    """The places of an 8 x 8 block in the order of its diagonals, by turns upwards and downwards."""
+    return [8 * r + c for _, _, r, c in sorted((r + c, r if (r + c) % 2 else c, r, c) for r in range(8) for c in range(8))]
+
+
 def quality_of(table) -> int:
-    """Estimated quality of a luminance table in zigzag order against the standard's table."""
+    """Estimated quality of a luminance table in zigzag order against the standard's table, place by place."""
     from tessera.operators.kernels import LUMA
 
-    mean = float(np.mean(np.sort(np.array(table, float)) * 100 / np.sort(LUMA)))
+    mean = float(np.mean([q * 100 / LUMA[at] for q, at in zip(table, zigzag(), strict=True)]))
     return int(min(100, max(1, round(5000 / mean) if mean >= 100 else round((200 - mean) / 2))))
 
 
@@ -197,6 +249,42 @@ def manifest(spark: SparkSession, root: str, crop: int = 248, residue: int = 4,
     return j.select("path", "status", "format", "mode", "width", "height", F.least("width", "height").alias("support"), "orientation", "crop_origin_x", "crop_origin_y", p.alias("patch"))
 
 
+def decoded(spark: SparkSession, content: bytes) -> np.ndarray | None:
+    """The pixels of one image in memory as red, green, blue (and alpha), by the reader of Spark's image source; None if it can't be read.
+
+    For serving: tables of images are decoded where they are read.
+    """
+    reader = getattr(getattr(spark._jvm.org.apache.spark.ml.image, "ImageSchema$"), "MODULE$")
+    row = reader.decode("", bytearray(content))
+    if row.isEmpty():
+        return None
+    r = row.get().getStruct(0)
+    h, w, n = r.getInt(1), r.getInt(2), r.getInt(3)
+    a = np.frombuffer(bytes(r.getAs(5)), np.uint8).reshape(h, w, n)
+    return a[..., ::-1] if n == 3 else np.concatenate([a[..., 2::-1], a[..., 3:]], axis=-1) if n == 4 else a
+
+
+def canonical(a: np.ndarray, orientation: int = 1, crop: int = 248, residue: int = 4, support: int = 252) -> np.ndarray:
+    """The canonical patch of decoded pixels: alpha over grey, upright, cropped on the grid; an error where they are too small."""
+    from tessera.operators.kernels import ORIENTATIONS
+
+    if a.ndim != 3 or a.shape[2] not in (3, 4):
+        raise ValueError("UNSUPPORTED_INPUT")
+    if min(a.shape[:2]) < support:
+        raise ValueError("LOW_SUPPORT")
+    rgb = a[..., :3].astype(np.int32)
+    if a.shape[2] == 4:
+        alpha = a[..., 3:].astype(np.int32)
+        rgb = (alpha * rgb + (255 - alpha) * 128 + 127) // 255
+    rgb = ORIENTATIONS[orientation](rgb)
+    starts = []
+    for n in rgb.shape[:2]:
+        some = range(residue, n - crop + 1, 8)
+        starts.append(min(some, key=lambda s: (abs(s - (n - crop) / 2), s)))
+    y, x = starts
+    return rgb[y : y + crop, x : x + crop].astype(np.uint8)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, decimal_comma: list[str] | None = None) -> DataFrame:
     """A CSV file with a header, byte-order mark or not; listed columns have a decimal comma."""
     d = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)

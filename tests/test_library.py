@@ -99,7 +99,7 @@ def test_jpeg_header():
     seg = lambda k, b: bytes([0xFF, k]) + struct.pack(">H", len(b) + 2) + b
     from tessera.operators.kernels import LUMA
 
-    data = b"\xff\xd8" + seg(0xE1, app) + seg(0xDB, b"\0" + bytes(LUMA)) + seg(0xC2, sof) + seg(0xDA, b"")
+    data = b"\xff\xd8" + seg(0xE1, app) + seg(0xDB, b"\0" + bytes(LUMA[k] for k in images.zigzag())) + seg(0xC2, sof) + seg(0xDA, b"")
     h = images.header(data)
     assert (h["orientation"], h["width"], h["height"], h["subsampling"], h["progressive"], h["quality"], h["mode"]) == (6, 30, 20, "4:2:0", True, 50, "RGB")
     assert images.header(b"")["format"] is None
@@ -327,3 +327,51 @@ def test_clean_text(spark):
 
     rows = [(b"\x00 a b\x00 ",), (b"  \x00",), (None,), (b"caf\xe9",), (b"",)]
     assert [r[0] for r in spark.createDataFrame(rows, "c binary").select(X.clean_text(F.col("c"))).collect()] == ["a b", None, None, "caf\ufffd", None]
+
+
+def test_array_files(spark, tmp_path):
+    a = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", np.asfortranarray(np.ones((3, 2))))
+    (tmp_path / "c.npy").write_bytes(b"nothing")
+    np.save(tmp_path / "d.npy", a[0])
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.arrays(spark, str(tmp_path), (2, 4, 3)).collect()}
+    assert np.frombuffer(got["a.npy"]["values"], got["a.npy"]["dtype"]).reshape(got["a.npy"]["shape"]).tolist() == a.tolist()
+    assert all(got[k]["error"] and got[k]["values"] is None for k in ("b.npy", "c.npy", "d.npy")) and got["a.npy"]["error"] is None
+    assert [r["path"][-5:] for r in images.discover(spark, str(tmp_path), [".npy"]).collect()] == ["a.npy", "b.npy", "c.npy", "d.npy"]
+
+
+def test_quality_goes_by_place():
+    from tessera.operators.kernels import LUMA
+
+    order = images.zigzag()
+    assert order[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(order) == list(range(64))
+    assert images.quality_of([LUMA[k] for k in order]) == 50 and images.quality_of([max(1, LUMA[k] // 5) for k in order]) in (90, 91)
+
+
+def test_serving(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tessera.operators import kernels, models
+    from tessera.sources import artifacts
+    from tessera.streaming.serving import Scorer
+
+    def png(a):
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in a))) + chunk(b"IEND", b"")
+
+    rng = np.random.default_rng(3)
+    noisy = [rng.integers(0, 256, (260, 270, 3), dtype=np.uint8) for _ in range(3)]
+    smooth = [np.clip(np.add.outer(np.arange(260) / 3, np.arange(270) / 4 + k)[..., None] + rng.normal(0, 2, (260, 270, 3)), 0, 255).astype(np.uint8) for k in range(3)]
+    rows = [(i, int(i < 3), *map(float, kernels.features(images.canonical(a)))) for i, a in enumerate(noisy + smooth)] * 4
+    df = spark.createDataFrame(rows, "id int, y int, " + ", ".join(f"{f} double" for f in kernels.FEATURES))
+    m, folder, versions = models.fit(df, kernels.FEATURES), f"file://{tmp_path}/m", {"feature_version": "2"}
+    candidate = {"candidate_name": "full_v2__logreg", "feature_set": "full_v2", "model_name": "logreg", "feature_columns": kernels.FEATURES}
+    artifacts.save_model(m, folder, calibrator=(1.0, 0.0), threshold=0.5, target_fpr=0.05, gate=0.0, candidate=candidate, versions=versions, saved_at="now")
+    s = Scorer(spark, folder, versions)
+    assert s.health()["n_features"] == 36
+    got = s.predict([png(noisy[0]), png(smooth[1]), b"", b"no image", png(noisy[1][:200])])
+    assert [x["status"] for x in got] == ["ok", "ok", "empty", "DECODE_ERROR", "LOW_SUPPORT"] and got[0]["pred_ai"] == 1 and got[1]["pred_ai"] == 0
+    table = spark.createDataFrame([("a", images.canonical(noisy[0]).tobytes()), ("b", images.canonical(smooth[1]).tobytes())], "path string, patch binary")
+    assert {r["path"]: r["prob"] for r in s.score(table).collect()} == pytest.approx({"a": got[0]["prob_ai"], "b": got[1]["prob_ai"]})
