@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.operators import closure as C
-from tessera.operators import contracts, legacy
+from tessera.operators import contracts, legacy, models
 from tessera.operators import metrics as M
 from tessera.operators.sampling import split_roles
 from tessera.plans.evaluation import _EDGES, FEATURED, _FEATURES, featured, mid_rank_auc
@@ -297,3 +297,24 @@ def ranked_variants(spark, sf_dir):
     """Groups by severity, then size."""
     g = lineitem(spark, sf_dir).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.when(F.col("l_linestatus") == "F", 0).otherwise(1), F.desc("n"), "l_returnflag")))  # a row per group
+
+
+def _model_rows(spark, sf_dir):
+    d = featured(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    role = F.when(F.col("doc_id") % 4 == 0, "calibration").when(F.col("doc_id") % 4 == 1, "val").otherwise("train_core")
+    return M.checkpointed(d.select("doc_id", "source", F.col("quality").alias("y"), "lang", role.alias("split_role"), *_FEATURES))
+
+
+@query("candidate_grid")
+def candidate_grid(spark, sf_dir):
+    """Every feature set with logistic regression: calibrated, measured on the validation rows, best first. Fits are beyond SQL."""
+    d = _model_rows(spark, sf_dir)
+    of = lambda r: d.filter(F.col("split_role") == r)
+    sets = {"all": _FEATURES, "length": _FEATURES[:2], "form": _FEATURES[2:]}
+    return models.candidates(of("train_core"), of("calibration"), of("val"), sets, ("logreg",))
+
+
+@query("group_scores")
+def group_scores(spark, sf_dir):
+    """Scores of each language's rows from a model of the others. Fits are beyond SQL."""
+    return models.leave_one_group_out(_model_rows(spark, sf_dir), _FEATURES, "lang", ["doc_id"])

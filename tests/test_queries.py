@@ -35,5 +35,17 @@ def test_oracle(spark, db, name):
     assert plain(got) == plain(want)
 
 
+#: Fitted models are beyond SQL.
+FITTED = {"candidate_grid", "group_scores"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(registry.oracles())
+    assert set(registry.queries()) == set(registry.oracles()) | FITTED
+
+
+def test_fitted_queries(spark):
+    larger = "/root/testdata/sf0.01"
+    grid = registry.queries()["candidate_grid"](spark, larger).collect()
+    assert len(grid) == 3 and [r["auc"] for r in grid] == sorted((r["auc"] for r in grid), reverse=True) and all(0 <= r["fpr"] <= 1 for r in grid)
+    scores = registry.queries()["group_scores"](spark, larger)
+    assert scores.count() == spark.read.parquet(f"{larger}/labels.parquet").select("doc_id").distinct().count()
