@@ -7,23 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_dir
+from tessera.session import checkpointed, scratch_dir  # noqa: F401
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder.
-
-    Spark removes it when it is no longer referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

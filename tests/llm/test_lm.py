@@ -205,3 +205,12 @@ def test_held_out_documents_gain_over_the_base(spark):
     got = [r for r in lm.score(df, lm.held_out(F.col("doc_id"))).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)  # a tenth fewer bits
     assert np.mean([r["score"] < r["base_score"] for r in got]) < 0.01
+
+
+def test_long_texts_in_small_pools(spark, monkeypatch):
+    monkeypatch.setattr(lm, "POOL", 500)
+    monkeypatch.setattr(lm, "COUNTED", 20)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"a{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 700, 5000])))) for i in range(30)]
+    got = sorted(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), lm.held_out(F.col("doc_id"))).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(r)[:4] for r in got] == [w[:4] for w in base(rows)] and all(math.isfinite(r["score"]) for r in got)

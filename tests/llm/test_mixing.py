@@ -45,3 +45,27 @@ def test_mix_repeats_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.copies(docs).count() == 0 and mixing.mix(docs).count() == 0
+
+
+def odd(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (3, "", None), (None, "d e", None), (4, "w " * 200_000, "y"), (5, "z", "x")]
+    return spark.createDataFrame([(s, t, i, k) for k, (i, t, s) in enumerate(rows)], "source string, text string, doc_id long, size long")
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_odd_rows_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+    docs = odd(spark)
+    c = mixing.copies(docs)
+    got = sorted(map(tuple, c.collect()), key=str)
+    assert got == sorted(map(tuple, mixing.copies(docs.repartition(3)).collect()), key=str)  # reruns agree
+    sizes = {"x": 7, "y": 200_000, None: 2}
+    want = filled(sizes)
+    assert len(got) == 7 and all(r[3] == sizes[r[1]] and r[4] == pytest.approx(want[r[1]]) for r in got)
+    assert len({r[5] for r in got if r[0] == 1}) == 1
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    taken = {}
+    for r in out.collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + 1
+    assert taken == {i: sum(r[5] for r in got if r[0] == i) for i in {r[0] for r in got} if sum(r[5] for r in got if r[0] == i)}

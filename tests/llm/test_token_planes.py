@@ -58,3 +58,20 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     got = tp.digest(spark, f"{tmp_path}/b").orderBy("start").collect()
     assert len(got) == 4 and got[0]["doc_id"] is None
     assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]))
+
+
+def test_shards_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tp, "BROADCAST_SHARDS", 0)
+    rows = [(k, t) for k, t in enumerate(TEXTS * 3)]
+    tp.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path), tokenizer=PATH, block=11)
+    assert sorted(tuple(r) for r in tp.digest(spark, str(tmp_path)).collect()) == brute(rows)
+
+
+def test_the_collector_runs_again_after_an_error():
+    import gc
+
+    run = tp._writer(open(PATH, encoding="utf-8").read(), 0, 16, 1, 100, 4)
+    assert gc.isenabled()
+    with pytest.raises(Exception):
+        list(run([object()]))
+    assert gc.isenabled()

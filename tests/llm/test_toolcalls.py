@@ -49,3 +49,85 @@ def test_empty_and_native(spark):
     out = tc.link(df)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def brute(rows, schemas):
+    """Events one by one, chains by recursion."""
+    dumps = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    kinds = {"number": (int, float), "string": (str,)}
+    calls, results, out = [], [], []
+    for conv, turn, role, text in rows:
+        v = json.loads(text) if text and text.lstrip().startswith("{") else None
+        if v and isinstance(v.get("tool_calls"), list):
+            for pos, x in enumerate(v["tool_calls"]):
+                a, name, wrong = x.get("arguments"), x.get("name"), []
+                if not isinstance(a, dict):
+                    wrong = ["arguments are no object"]
+                elif name not in schemas:
+                    wrong = ["unknown tool"]
+                else:
+                    for p, (kind, needed) in schemas[name].items():
+                        if p not in a:
+                            wrong += [f"missing {p}"] * needed
+                        elif not isinstance(a[p], kinds[kind]) or isinstance(a[p], bool):
+                            wrong.append(f"type of {p}")
+                    wrong += [f"unknown {p}" for p in a if p not in schemas[name]]
+                calls.append((conv, turn, pos, x.get("id"), name, a, sorted(wrong), x.get("after", [])))
+        elif v and "tool_call_id" in v:
+            results.append((conv, turn, v["tool_call_id"], dumps(v.get("content"))))
+        elif role == "user":
+            calls.append((conv, turn, 0, f"{conv}:{turn}", "reply", {"text": text}, [], []))
+        elif role == "assistant":
+            results.append((conv, turn, f"{conv}:{turn - 1}", dumps(text)))
+        else:
+            out.append((conv, turn, 0, "message", None, 0, "message", 0, dumps({"content": text, "id": None, "role": role})))
+    ids = [c[3] for c in calls]
+    needs: dict = {}
+    for c in calls:
+        needs.setdefault(c[3], set()).update(x for x in c[7] if x in ids)
+
+    def level(i, above=()):
+        if i in above:
+            return -1
+        below = [level(x, (*above, i)) for x in needs.get(i, ())]
+        return -1 if -1 in below else max((b + 2 for b in below), default=0)
+
+    for conv, turn, pos, i, name, a, wrong, _ in calls:
+        own = sorted((t, c) for _, t, k, c in results if k == i)
+        lv = level(i) if i is not None else 0
+        status = "cyclic" if lv < 0 else "ambiguous" if ids.count(i) > 1 else "invalid" if wrong else "linked" if own else "pending"
+        body = {"arguments": a, "errors": wrong, "id": i, "level": lv, "name": name, "result": json.loads(own[0][1]) if own else None}
+        out.append((conv, turn, pos, "call", i, lv, status, len(own), dumps(body)))
+    out += [(conv, turn, 0, "result", i, 0, "orphan", 0, dumps({"content": json.loads(c), "id": i, "role": "result"})) for conv, turn, i, c in results if i not in ids]
+    return sorted(out, key=str)
+
+
+def test_random_conversations_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    schemas = {"add": {"a": ("number", True), "note": ("string", False)}, **tc.REPLY}
+    for _ in range(3):
+        rows, names = [], [f"k{i}" for i in range(25)]
+        for conv in range(12):
+            for turn in range(rng.randrange(1, 9)):
+                r = rng.random()
+                if r < 0.35:
+                    some = []
+                    for _ in range(rng.randrange(0, 4)):
+                        arguments = {k: rng.choice([1, 2.5, "x", True]) for k in rng.sample(["a", "note", "z"], rng.randrange(0, 4))}
+                        some.append({"id": rng.choice(names), "name": rng.choice(["add", "add", "odd"]), "arguments": rng.choice([arguments, arguments, "text"]), "after": rng.sample(names, rng.randrange(0, 2))})
+                    rows.append((conv, turn, "assistant", json.dumps({"tool_calls": some})))
+                elif r < 0.6:
+                    rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice(names), "content": rng.choice([1, "two", None, {"b": 1, "a": [1, 2]}])})))
+                else:
+                    rows.append((conv, turn, rng.choice(["user", "assistant", "system"]), rng.choice(["plain", 'with "quotes"\n', ""])))
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+        assert sorted((tuple(r) for r in tc.link(df, schemas).collect()), key=str) == brute(rows, schemas)
+
+
+def test_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", json.dumps({"tool_calls": [call("x", a=1, b=2, note=long)]})), (1, 2, "tool", json.dumps({"tool_call_id": "x", "content": long}))]
+    got = {r["call_id"]: r for r in tc.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    assert got["x"]["status"] == "linked" and json.loads(got["x"]["json"])["result"] == long and json.loads(got["1:0"]["json"])["arguments"]["text"] == long
