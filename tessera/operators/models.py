@@ -23,11 +23,13 @@ def balanced(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def build(kind: str, features: list[str], total_weight: float) -> Pipeline:
-    """``logreg`` (median imputation, standardised, C = 1) or ``gbt``."""
+    """``logreg`` (median imputation, standardised, C = 1), ``plain`` (neither standardised nor weighted) or ``gbt``."""
     filled = [f"{f}__filled" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_features")]
     if kind == "logreg":
         stages += [StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / max(total_weight, 1.0), elasticNetParam=0.0, standardization=False, maxIter=200)]
+    elif kind == "plain":
+        stages += [LogisticRegression(featuresCol="raw_features", labelCol="y", regParam=1 / max(total_weight, 1.0), elasticNetParam=0.0, standardization=False, maxIter=200)]
     else:
         stages += [GBTClassifier(featuresCol="raw_features", labelCol="y", weightCol="weight", maxIter=400, stepSize=0.05, maxDepth=5, minInstancesPerNode=80, featureSubsetStrategy="0.8", seed=42)]
     return Pipeline(stages=stages)

@@ -188,6 +188,51 @@ def zigzag() -> list[int]:
     return [8 * r + c for _, _, r, c in sorted((r + c, r if (r + c) % 2 else c, r, c) for r in range(8) for c in range(8))]
 
 
+def stripped(data: bytes) -> bytes:
+    """A JPEG or PNG without its metadata: the pixels' segments and chunks as they are, nothing is encoded again."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        out, at = [data[:8]], 8
+        while at + 12 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            if kind not in (b"eXIf", b"tEXt", b"zTXt", b"iTXt", b"iCCP", b"tIME"):
+                out.append(data[at : at + 12 + size])
+            at += 12 + size
+            if kind == b"IEND":
+                return b"".join(out)
+        raise ValueError("PNG without end")
+    if data[:3] == b"\xff\xd8\xff":
+        out, at = [data[:2]], 2
+        while at + 4 <= len(data) and data[at] == 0xFF:
+            kind = data[at + 1]
+            if kind == 0xFF:
+                at += 1
+            elif kind == 0xDA:  # the scan and what follows it
+                return b"".join([*out, data[at:]])
+            else:
+                size = struct.unpack_from(">H", data, at + 2)[0]
+                if kind not in (*range(0xE1, 0xEE), 0xEF, 0xFE):  # application segments but JFIF and Adobe, comments
+                    out.append(data[at : at + 2 + size])
+                at += 2 + size
+        raise ValueError("JPEG without a scan")
+    raise ValueError("neither JPEG nor PNG")
+
+
+def strip_metadata(files: DataFrame) -> DataFrame:
+    """path, action (processed or failed), error and the content without metadata of every file (path, content)."""
+
+    @F.pandas_udf("action string, error string, content binary")
+    def run(c):
+        rows = []
+        for x in c:
+            try:
+                rows.append(("processed", None, stripped(bytes(x))))
+            except (ValueError, struct.error) as e:
+                rows.append(("failed", f"{type(e).__name__}: {e}", None))
+        return pd.DataFrame(rows, columns=["action", "error", "content"]).astype(object)
+
+    return files.select("path", run("content").alias("x")).select("path", "x.*")
+
+
 def quality_of(table) -> int:
     """Estimated quality of a luminance table in zigzag order against the standard's table, place by place."""
     from tessera.operators.kernels import LUMA

@@ -375,3 +375,42 @@ def test_serving(spark, tmp_path):
     assert [x["status"] for x in got] == ["ok", "ok", "empty", "DECODE_ERROR", "LOW_SUPPORT"] and got[0]["pred_ai"] == 1 and got[1]["pred_ai"] == 0
     table = spark.createDataFrame([("a", images.canonical(noisy[0]).tobytes()), ("b", images.canonical(smooth[1]).tobytes())], "path string, patch binary")
     assert {r["path"]: r["prob"] for r in s.score(table).collect()} == pytest.approx({"a": got[0]["prob_ai"], "b": got[1]["prob_ai"]})
+
+
+def test_diagnostics(spark):
+    from tessera.operators import diagnostics as D
+
+    assert D.d_prime(0.5) == pytest.approx(0) and D.tpr_at(0.5) == pytest.approx(0.05) and D.d_prime(0.9) == pytest.approx(1.8124, abs=1e-3)
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.random() < 0.5), f"g{i % 3}", "v1" if i % 2 else "v2") for i in range(240)]
+    df = spark.createDataFrame([(i, y, g, v, y + float(rng.normal()), float(rng.normal()), int(i % 4 < 2)) for i, y, g, v in rows], "id int, y int, g string, variant string, u double, w double, nuisance_is_420 int")
+    got = D.variants(df, "variant", ["u", "w"], "g", "id").collect()
+    assert len(got) == 4 and all(r["stratified_auc"] > 0.6 and r["logo_auc"] > 0.6 for r in got) and all(r["cohen_d"] > 0.5 for r in got if r["feature"] == "u")
+    by = {(r["variant"], r["feature"]): r for r in D.subsampling(df, "variant", ["u", "w"]).collect()}
+    assert len(by) == 4 and by["v1", "u"]["label_auc"] > by["v1", "w"]["label_auc"]
+    sets = D.compared_sets(df, {"both": ["u", "w"], "noise": ["w"]}, "noise", "g", "id")
+    assert sets[0]["name"] == "both" and sets[0]["delta"] > 0.1 and sets[1]["delta"] == 0
+    one = D.generalisation(df, {"u": ["u"]}, "g", "id")[0]
+    assert min(one["pooled_auc"], one["within_auc"], one["logo_auc"]) > 0.6
+    assert D.redundancy(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "a double, b double"), "a", "b") == pytest.approx(1)
+    assert D.latency_ms(lambda x: sum(range(x)), [100, 200]) > 0
+    assert models.raw_scores(models.fit(df, ["u"], "plain"), df, ["id"]).count() == 240
+
+
+def test_metadata_is_stripped(spark):
+    seg = lambda k, b: bytes([0xFF, k]) + struct.pack(">H", len(b) + 2) + b
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    jpeg = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xE1, b"Exif\0\0xx") + b"\xff" + seg(0xFE, b"note") + seg(0xDB, b"\0" + bytes(64)) + seg(0xDA, b"s") + b"data\xff\xd9"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"h" * 13) + chunk(b"tEXt", b"a") + chunk(b"eXIf", b"b") + chunk(b"IDAT", b"c") + chunk(b"IEND", b"")
+    assert images.stripped(jpeg) == b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, b"\0" + bytes(64)) + seg(0xDA, b"s") + b"data\xff\xd9"
+    assert images.stripped(png) == b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"h" * 13) + chunk(b"IDAT", b"c") + chunk(b"IEND", b"")
+    got = {r["path"]: r for r in images.strip_metadata(spark.createDataFrame([("a", jpeg), ("b", b"GIF89a"), ("c", png[:40])], "path string, content binary")).collect()}
+    assert got["a"]["action"] == "processed" and got["b"]["action"] == got["c"]["action"] == "failed" and got["b"]["content"] is None
+
+
+def test_reports(spark):
+    from tessera.operators.report import checklist, report
+
+    text = report("Audit", {"Rows": spark.createDataFrame([(1, "a|b")], "n int, s string"), "None": spark.createDataFrame([], "n int"), "Words": "All fine."})
+    assert text.startswith("# Audit\n") and "a\\|b" in text and "No rows." in text and text.endswith("All fine.\n")
+    assert checklist({"decode": ("same", "same"), "resize": ("yes", "no")}).count("NO") == 1
