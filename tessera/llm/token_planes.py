@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 #: Ids in a block.
 BLOCK = 1 << 16
-#: Pieces whose ids a Python worker remembers, in each of two tables.
-CACHE = 400_000
-#: Texts encoded together; a piece new to them is asked for once.
-TEXTS = 1_536
+#: Units whose ids a Python worker remembers, and characters of a unit that is remembered.
+CACHE, LONGEST = 800_000, 64
+#: Texts encoded together, and characters handled together.
+TEXTS, GROUP = 1_536, 1 << 18
 #: Shard tables up to this many rows are broadcast.
 BROADCAST_SHARDS = 100_000
 #: Level of zstandard.
@@ -65,25 +65,77 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+class _Table:
+    """Ids of units by two 64-bit hashes, in arrays: open addresses, ids one after another. It is emptied when it is full."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.bits = (3 * (limit + GROUP) // 2).bit_length()  # a group has fewer units than characters, so a third stays free
+        self.forget()
+
+    def forget(self) -> None:
+        n = 1 << self.bits
+        self.first, self.second, self.slot = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.begin, self.ids = array("q", [0]), array("I")
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each unit, -1 where it is not there."""
+        out, left = np.full(len(a), -1, np.int32), np.arange(len(a))
+        i, mask = (a >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(left):
+            k = self.first[i]
+            hit = (k == a) & (self.second[i] == b)
+            out[left[hit]] = self.slot[i[hit]]
+            on = np.flatnonzero(~hit & (k != 0))
+            left, i, a, b = left[on], (i[on] + 1) & mask, a[on], b[on]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, slots: np.ndarray) -> None:
+        """Enter units that are distinct and not there."""
+        i, mask = (a >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(a):
+            free = np.flatnonzero(self.first[i] == 0)
+            self.slot[i[free]] = slots[free]  # of several that want a place the last gets it
+            won = free[self.slot[i[free]] == slots[free]]
+            self.first[i[won]], self.second[i[won]] = a[won], b[won]
+            rest = np.ones(len(a), bool)
+            rest[won] = False
+            a, b, slots, i = a[rest], b[rest], slots[rest], (i[rest] + 1) & mask
+
+    def keep(self, coded: list[bytes]) -> np.ndarray:
+        """Slots for the ids of new units."""
+        at = len(self)
+        for x in coded:
+            self.ids.frombytes(x)
+            self.begin.append(len(self.ids))
+        return np.arange(at, at + len(coded), dtype=np.int32)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+
+
 class Encoder:
     """Whole texts to little-endian 32-bit ids with the tokenizers library.
 
     A byte-level tokenizer with its usual pattern and no normaliser always starts a new piece at a space
     before a character that is not white space, and at punctuation after a letter. Texts are cut at such
-    places, and the ids of pieces met before are remembered; of two tables of pieces, the older goes when
-    the younger is full. Any other tokenizer gets whole texts.
+    places into units, all characters of many texts at once; the ids of units met before are looked up by
+    two polynomial hashes of their characters, and the library is asked once for each that is new. Units of
+    over ``LONGEST`` characters, texts with special tokens, and any other tokenizer go to the library whole.
     """
 
+    _gap = re.compile(r" (?=\S)")
+    _bases = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
     def __init__(self, definition: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_str(definition), cache
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.met = bytearray(1 << 23)  # by hash, which words were met before
-        self.marked = 0
+        self.tokenizer, self.table = Tokenizer.from_str(definition), _Table(cache)
         j = json.loads(definition)
         pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens", [])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
@@ -93,9 +145,11 @@ class Encoder:
         j |= {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(j)) if plain and not any(t["content"].isalpha() for t in added) else None
         self.cut = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-
-    _odd = re.compile(r" (?:\s|\Z)")
-    _gap = re.compile(r" (?=\S)")
+        if self.cut:
+            every = [chr(c) for c in range(1 << 16)]
+            # 1: white space, 2: punctuation of ASCII, 4: a letter
+            self.kind = np.array([c.isspace() + 2 * (c in _MARKS) + 4 * c.isalpha() for c in every], np.uint8)
+            self.power, self.inverse = ([_powers(x, GROUP + 2) for x in xs] for xs in (self._bases, [pow(x, -1, 1 << 64) for x in self._bases]))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -108,78 +162,122 @@ class Encoder:
         ids, ends = array("I", e.ids).tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right").tolist()
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Put the ids of words, each with a space before it, into the young table.
+    def _ask(self, units: list[str], kinds: list[int]) -> list[bytes]:
+        """Ids of units of the kinds 0 (a space comes before it), 1 (punctuation after a letter) and 2 (a text's beginning)."""
+        out: list = [None] * len(units)
+        letters = [i for i, k in enumerate(kinds) if k == 0 and self.model and units[i].isalpha()]
+        chosen = set(letters)
+        words, marks, heads = [i for i, k in enumerate(kinds) if k == 0 and i not in chosen], *([i for i, k in enumerate(kinds) if k == n] for n in (1, 2))
+        for places, coded in (
+            (letters, self._ids_of_pieces([f" {units[i]}".encode().decode("latin-1").translate(_BYTES) for i in letters], self.model)),
+            (words, self._ids_of_pieces([f" {units[i]}" for i in words])), (marks, self._ids_of_pieces([units[i] for i in marks])), (heads, self._ids([units[i] for i in heads])),
+        ):
+            for i, x in zip(places, coded, strict=True):
+                out[i] = x
+        return out
 
-        Returns those met for the first time, which need not stay there.
-        """
-        young, old, marks, whole, cut = self.young, self.old, self.marks, set(), []
-        for w in words:
-            got = old.get(w)
-            if got is not None:
-                young[w] = got
-                continue
-            b = w.rstrip(_MARKS)
-            n = len(b)
-            # punctuation at the end is a piece of its own after a letter
-            if 0 < n < len(w) and b[-1].isalpha() and not (self.special and self.special.search(w)):
-                cut.append((w, b, w[n:]))
-            else:
-                whole.add(w)
-        for _, b, _ in cut:
-            if b not in young:
-                got = old.get(b)
-                if got is None:
-                    whole.add(b)
-                else:
-                    young[b] = got
-        letters = [w for w in whole if w.isalpha()] if self.model else []
-        rest = list(whole.difference(letters))
-        young.update(zip(letters, self._ids_of_pieces([f" {b}".encode().decode("latin-1").translate(_BYTES) for b in letters], self.model), strict=True))
-        young.update(zip(rest, self._ids_of_pieces([f" {b}" for b in rest]), strict=True))
-        if len(marks) > self.limit:
-            marks.clear()
-        ends = list({m for _, _, m in cut}.difference(marks))
-        marks.update(zip(ends, self._ids_of_pieces(ends), strict=True))
-        for w, b, m in cut:
-            young[w] = young[b] + marks[m]
-            whole.add(w)
-        met, once, low = self.met, [], len(self.met) - 1
-        for w in whole:
-            k = hash(w) & low
-            if not met[k]:
-                met[k] = 1
-                once.append(w)
-        self.marked += len(once)
-        if self.marked > len(met) // 4:
-            self.met, self.marked = bytearray(len(met)), 0
-        return once
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text in parts of ``GROUP`` characters or little more, cut at gaps; texts without a gap stay whole."""
+        at = 0
+        while len(text) - at > GROUP:
+            gap = self._gap.search(text, at + GROUP // 2, at + GROUP)
+            if not gap:
+                break
+            yield text[at : gap.start()]
+            at = gap.start()
+        yield text[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
             return self._ids(texts)
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        heads, tails, open_, missing = [], [], [], set()
-        get = self.young.get
-        for t in texts:
-            head, *rest = self._gap.split(t) if self._odd.search(t) else t.split(" ")
-            coded = list(map(get, rest))
-            if None in coded:
-                holes = [(i, rest[i]) for i, x in enumerate(coded) if x is None]
-                open_.append((coded, holes))
-                missing.update(w for _, w in holes)
-            heads.append(head)
-            tails.append(coded)
-        once = self._learn(missing) if missing else []
-        young = self.young
-        for coded, holes in open_:
-            for i, w in holes:
-                coded[i] = young[w]
-        out = [h + b"".join(coded) for h, coded in zip(self._ids(heads), tails, strict=True)]
-        for w in once:
-            del young[w]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        group, of, size = [], [], 0
+
+        def done() -> None:
+            nonlocal group, of, size
+            for i, x in zip(of, self._group(group), strict=True):
+                out[i].append(x)
+            group, of, size = [], [], 0
+
+        for i, t in enumerate(texts):
+            if self.special and self.special.search(t):
+                out[i] = self._ids([t])
+                continue
+            for p in self._parts(t):
+                if len(p) >= GROUP:  # one unit without a gap
+                    if i in of:
+                        done()
+                    out[i].append(self._ids([p])[0])
+                    continue
+                if size + len(p) + 1 > GROUP:
+                    done()
+                group.append(p)
+                of.append(i)
+                size += len(p) + 1
+        if group:
+            done()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _group(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of texts, ``GROUP`` characters in all; a part that begins with a gap goes on with a text."""
+        if not parts:
+            return []
+        text = "\n".join(parts) + "\n"
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kind[c if c.max() < 1 << 16 else np.where(c < 1 << 16, c, 0xFFFF)]
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))) - 1  # where each part's line end is
+        begins = np.r_[0, ends[:-1] + 1]
+        gap = np.flatnonzero((c[:-1] == 32) & (kind[1:] & 1 == 0))
+        owner = np.searchsorted(ends, gap)
+        # units: the beginning of each part, and what comes after each gap up to the next or the part's end
+        start = np.concatenate([begins, gap + 1])
+        order = np.argsort(np.concatenate([begins * 2, gap * 2 + 1]), kind="stable")
+        start, part = start[order], np.concatenate([np.arange(len(parts)), owner])[order]
+        head = order < len(parts)
+        stop = np.r_[start[1:] - 1, ends[-1]]
+        last = np.flatnonzero(np.r_[part[1:] != part[:-1], True])
+        stop[last] = ends[part[last]]
+        some = stop > start  # a part may begin with a gap
+        start, stop, part, what = start[some], stop[some], part[some], np.where(head[some], 2, 0).astype(np.int8)
+        # punctuation at the end of a unit is one of its own after a letter
+        inner = np.maximum.accumulate(np.where(kind & 2, -1, np.arange(len(c))))[stop - 1] + 1
+        cut = np.flatnonzero((what == 0) & (inner > start) & (inner < stop))
+        cut = cut[kind[inner[cut] - 1] & 4 > 0]
+        if len(cut):
+            tail_start, tail_stop = inner[cut], stop[cut].copy()
+            stop[cut] = inner[cut]
+            order = np.argsort(np.concatenate([start, tail_start]), kind="stable")
+            start, stop, part, what = (np.concatenate(x)[order] for x in ((start, tail_start), (stop, tail_stop), (part, part[cut]), (what, np.ones(len(cut), np.int8))))
+        hashes = []
+        for k in range(2):
+            sums = np.empty(len(c) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((c + np.uint32(1)) * self.power[k][: len(c)], out=sums[1:])
+            h = (sums[stop] - sums[start]) * self.inverse[k][start] + what.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(self._bases[1 - k])
+            hashes.append(h)
+        a, b = hashes
+        a[a == 0] = 1
+        if len(self.table) > self.table.limit:
+            self.table.forget()
+        slots = self.table.find(a, b)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            _, first, same = np.unique(a[new], return_index=True, return_inverse=True)
+            ask = new[first]
+            coded = self._ask([text[u:v] for u, v in zip(start[ask].tolist(), stop[ask].tolist(), strict=True)], what[ask].tolist())
+            got = self.table.keep(coded)
+            short = stop[ask] - start[ask] <= LONGEST
+            self.table.add(a[ask[short]], b[ask[short]], got[short])
+            slots[new] = got[same]
+        begin, ids = np.frombuffer(self.table.begin, np.int64), np.frombuffer(self.table.ids, np.uint32) if len(self.table.ids) else np.zeros(0, np.uint32)
+        at, n = begin[slots], begin[slots + 1] - begin[slots]
+        total = np.cumsum(n)
+        stream = ids[np.repeat(at - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        per = np.cumsum(np.bincount(part, n, len(parts)).astype(np.int64)).tolist()
+        data = memoryview(stream.astype("<u4", copy=False).tobytes())
+        return [bytes(data[4 * u : 4 * v]) for u, v in zip([0, *per], per, strict=False)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
