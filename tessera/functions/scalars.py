@@ -99,10 +99,11 @@ def path_key(p: Column) -> Column:
     return F.lower(F.trim(F.replace(p, F.lit("\\"), F.lit("/"))))
 
 
-def after_marker(p: Column, marker: str) -> Column:
-    """What follows the first ``marker`` in any case, or null."""
+def after_marker(p: Column, marker: str, required: bool = False) -> Column:
+    """What follows the first ``marker`` in any case, or null; an error that names the path where it is required."""
     at = F.instr(F.lower(p), marker.lower())
-    return F.when(at > 0, F.substring(p, at + len(marker), F.length(p)))
+    rest = F.when(at > 0, F.substring(p, at + len(marker), F.length(p)))
+    return rest.when(p.isNotNull(), F.raise_error(F.concat(F.lit(f"no {marker} in "), p))) if required else rest
 
 
 def with_suffix(p: Column, suffix: str) -> Column:

@@ -102,3 +102,8 @@ def summary(df: DataFrame, value: str) -> DataFrame:
     s = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.col("status") != "ok").alias("errors"), (F.count("*") - F.count(good)).alias("missing"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"))
     q = quantiles(df, value, [0.1, 0.5, 0.9], keys).drop("n").withColumnsRenamed({"q0": "q10", "q1": "q50", "q2": "q90"})
     return s.alias("s").join(q.alias("q"), F.col("s.split_role").eqNullSafe(F.col("q.split_role")) & F.col("s.generator").eqNullSafe(F.col("q.generator")), "left").select("s.*", "q.q10", "q.q50", "q.q90")
+
+
+def vector(df: DataFrame, names: list[str]) -> Column:
+    """The named columns in their order as an array of doubles; what is null or not there is NaN."""
+    return F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))) if n in df.columns else F.lit(float("nan")) for n in names])

@@ -299,6 +299,45 @@ def ranked_variants(spark, sf_dir):
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.when(F.col("l_linestatus") == "F", 0).otherwise(1), F.desc("n"), "l_returnflag")))  # a row per group
 
 
+@query("accepted_rows", "SELECT p_brand AS generator, count(*) AS n, min(p_partkey) AS first, coalesce(CASE WHEN p_brand LIKE '%1' THEN 'v5' END, 'v4') AS preprocess_version, 'parts' AS dataset_name FROM part WHERE p_size > 20 AND p_partkey % 3 = 0 GROUP BY 1, 4")
+def accepted_rows(spark, sf_dir):
+    """Accepted rows with a saved patch, renamed and completed, by generator."""
+    status = F.when(F.col("p_size") > 20, "ACCEPTED").otherwise("LOW_SUPPORT")
+    p = part(spark, sf_dir).select("p_partkey", "p_brand", status.alias("status"), (F.col("p_partkey") % 3 == 0).alias("saved_patch"), F.when(F.col("p_brand").endswith("1"), "v5").alias("preprocess_version"))
+    a = contracts.accepted(p, "parts", "v4", {"p_brand": "generator"})
+    return a.groupBy("generator", "preprocess_version", "dataset_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query("coerced_numbers", "SELECT o_orderstatus, count(TRY_CAST(x AS DOUBLE)) AS n_numbers, count(*) - count(TRY_CAST(x AS DOUBLE)) AS n_others, round(sum(TRY_CAST(x AS DOUBLE)), 2) AS total FROM (SELECT o_orderstatus, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice::VARCHAR WHEN 1 THEN 'n/a' ELSE '1e2' END AS x FROM orders) GROUP BY 1")
+def coerced_numbers(spark, sf_dir):
+    """Text read as numbers, null where it is none."""
+    k = F.col("o_orderkey") % 3
+    o = orders(spark, sf_dir).select("o_orderstatus", F.when(k == 0, F.col("o_totalprice").cast("string")).when(k == 1, "n/a").otherwise("1e2").alias("x"))
+    return contracts.numbers(o, ["x"]).groupBy("o_orderstatus").agg(F.count("x").alias("n_numbers"), (F.count("*") - F.count("x")).alias("n_others"), F.round(F.sum("x"), 2).alias("total"))
+
+
+@query("feature_vectors", "SELECT l_orderkey, l_linenumber, 3 + (l_tax <= 0.02)::INT AS missing, round(l_quantity + l_discount + CASE WHEN l_tax > 0.02 THEN l_tax ELSE 0 END, 6) AS total FROM lineitem")
+def feature_vectors(spark, sf_dir):
+    """Vectors in the schema's order, columns that are null or not there as NaN: how many miss, and the rest's sum."""
+    l = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("l_tax"))
+    v = l.select("l_orderkey", "l_linenumber", contracts.vector(l, ["not_there", "l_quantity", "l_discount", "nor_this", "l_tax", "nor_that"]).alias("v"))
+    some = F.filter("v", lambda x: ~F.isnan(x))
+    return v.select("l_orderkey", "l_linenumber", (F.size("v") - F.size(some)).alias("missing"), F.round(F.aggregate(some, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("iso_parse", "SELECT o_orderkey, epoch(strptime(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S'))::BIGINT AS epoch FROM orders")
+def iso_parse(spark, sf_dir):
+    """ISO text back to seconds."""
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return orders(spark, sf_dir).select("o_orderkey", F.unix_seconds(F.to_timestamp(text, "yyyy-MM-dd'T'HH:mm:ss")).alias("epoch"))
+
+
+@query("required_marker", "SELECT page_id, substr(url, instr(lower(url), '://') + 3) AS rest FROM pages")
+def required_marker(spark, sf_dir):
+    """What follows a marker that every path must have."""
+    return pages(spark, sf_dir).select("page_id", X.after_marker(F.col("url"), "://", required=True).alias("rest"))
+
+
 def _model_rows(spark, sf_dir):
     d = featured(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
     role = F.when(F.col("doc_id") % 4 == 0, "calibration").when(F.col("doc_id") % 4 == 1, "val").otherwise("train_core")

@@ -414,3 +414,10 @@ def test_reports(spark):
     text = report("Audit", {"Rows": spark.createDataFrame([(1, "a|b")], "n int, s string"), "None": spark.createDataFrame([], "n int"), "Words": "All fine."})
     assert text.startswith("# Audit\n") and "a\\|b" in text and "No rows." in text and text.endswith("All fine.\n")
     assert checklist({"decode": ("same", "same"), "resize": ("yes", "no")}).count("NO") == 1
+
+
+def test_a_marker_that_must_be_there(spark):
+    df = spark.createDataFrame([("/a/Raw/b.png",), (None,)], "p string")
+    assert [r[0] for r in df.select(X.after_marker(F.col("p"), "/raw/", required=True)).collect()] == ["b.png", None]
+    with pytest.raises(Exception, match="no /raw/ in /a/b"):
+        spark.createDataFrame([("/a/b",)], "p string").select(X.after_marker(F.col("p"), "/raw/", required=True)).collect()
