@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import gru
+from tessera.llm import gru, units
 from tessera.llm.common import checkpointed, fold
 
 HEAD, TAIL = 3072, 512
@@ -40,6 +40,8 @@ TASK_TOKENS, SMALL_TASK, SMALL_TASKS = 2_000_000, 1_000_000, 8
 TABLE = 300_000
 #: Words a worker counts before it hands them on, and tokens that it learns from or scores together.
 COUNTED, POOL = 400_000, 2_000_000
+#: Bytes of texts that are read together, one text at least.
+TOGETHER = 1 << 19
 #: Parts of the parameters that are averaged apart.
 BLOCKS = 12
 #: Steps of the histogram of counts in each doubling.
@@ -71,11 +73,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """What a worker needs to turn words into tokens and known counts."""
 
@@ -93,7 +90,9 @@ class Vocabulary:
         self.counts, self.end, self.tails = mass[by_mass], int(place[len(order)]), place[len(order) + 1 :]
         s, groups = np.cumsum(np.sqrt(self.counts + 1)), round(len(mass) ** 0.5)
         self.shape = gru.Shape(tuple(sorted({0, len(mass), *(int(np.searchsorted(s, s[-1] * k / groups)) + 1 for k in range(1, groups))})))
-        self.at = _Places((w, i) for i, w in enumerate(words))
+        self.table = units.Table(len(words))
+        if words:
+            self.table.add(*units.words(words)[4:], np.arange(len(words), dtype=np.int32))
         self.token = np.array([self.tails[tail_of(w)] for w in words], np.int32)
         self.token[order] = place[: len(order)]
         self.share_log = np.log10(counts - discount)  # of a word in its tail token
@@ -105,25 +104,56 @@ class Vocabulary:
         self.log_end = float(np.log10(n_end + 1))
         self.end_known = n_end > 0
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Tokens with the end, places in the table, and how often each word outside the table occurs."""
-        at = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
-        tokens = np.empty(len(words) + 1, np.int32)
-        tokens[-1] = self.end
-        rare: dict[bytes, int] = {}
-        if len(words):
-            tokens[:-1] = self.token[at] if len(self.token) else 0
-            for i in np.flatnonzero(at < 0).tolist():
-                w = words[i]
-                rare[w] = rare.get(w, 0) + 1
-                tokens[i] = self.tails[tail_of(w)]
-        return tokens, at, rare
+    def read(self, texts: list[bytes]) -> Read:
+        """The tokens of whole texts, each with the end, and what their words count, all words at once."""
+        n = len(texts)
+        data, start, stop, of, *hashes = units.words(texts)
+        at = self.table.find(*hashes)
+        seen = np.flatnonzero(at >= 0)
+        ends = np.cumsum(np.bincount(of, minlength=n) + 1) - 1
+        c, tokens = np.frombuffer(data, np.uint8).astype(np.int64), np.empty(len(of) + n, np.int32)
+        last = c[stop - 1] + np.where(stop - start > 1, c[stop - 2] + 1, 0) * 256 if len(of) else at
+        tail = _TAILS[last]
+        token = np.where(at >= 0, self.token[at] if len(self.token) else 0, self.tails[tail])
+        tokens[np.arange(len(of)) + of], tokens[ends] = token, self.end
+        per = lambda w, x: np.bincount(of[w], x, n) if len(w) else np.zeros(n)
+        every = np.arange(len(of))
+        log_c = per(seen, self.log_c[at[seen]]) + self.log_end
+        within = per(seen, self.share_log[at[seen]]) - per(every, self.tail_log[token]) - self.tail_log[self.end]
+        known = np.bincount(of[seen], minlength=n) + int(self.end_known)
+        # words outside the table, each once a text
+        miss = np.flatnonzero(at < 0)
+        order = miss[np.lexsort((hashes[0][miss], of[miss]))]
+        new = np.flatnonzero(np.r_[True, (of[order][1:] != of[order][:-1]) | (hashes[0][order][1:] != hashes[0][order][:-1])]) if len(order) else order
+        one = order[new]
+        times = np.diff(np.r_[new, len(order)])
+        rare = [data[u:v] for u, v in zip(start[one].tolist(), stop[one].tolist(), strict=True)]
+        return Read(tokens, ends, known, log_c, within, rare, times, self.unseen_log[tail[one]] if len(one) else np.zeros(0), np.r_[0, np.cumsum(np.bincount(of[one], minlength=n))])
+
+
+@dataclass
+class Read:
+    """Tokens of several texts with each one's end, sums by text, and rare words from one offset of a text to the next."""
+
+    tokens: np.ndarray
+    ends: np.ndarray
+    known: np.ndarray
+    log_c: np.ndarray
+    within: np.ndarray
+    rare: list[bytes]
+    times: np.ndarray
+    unseen: np.ndarray
+    offsets: np.ndarray
 
 
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+#: The group of each pair of last bytes, a byte more than the first being its place; the first 256 are words of one byte.
+_TAILS = np.array([tail_of(bytes([k])) for k in range(256)] + [tail_of(bytes([a, b])) for a in range(256) for b in range(256)], np.int64)
+
+
 _vocabularies: dict = {}
 
 
@@ -147,18 +177,28 @@ def _read(shared):
         from pyspark import TaskContext
 
         v, uid = _vocabulary(shared), TaskContext.get().partitionId() << 40
+        def done(keys: list, texts: list[bytes]) -> pa.RecordBatch:
+            nonlocal uid
+            r, n = v.read(texts), len(texts)
+            offsets, size = pa.array(r.offsets, pa.int32()), np.diff(np.r_[-1, r.ends])
+            data = pa.py_buffer(r.tokens.astype("<u2").tobytes())
+            places = pa.py_buffer((2 * np.r_[0, r.ends + 1]).astype("<i4").tobytes())
+            cols = [pa.array(np.arange(uid, uid + n)), *(pa.array(c, t) for c, t in zip(zip(*keys, strict=True), kinds[1:4], strict=True)), pa.array(size), pa.array(r.known.astype(np.int64)), pa.array(r.log_c), pa.array(r.within)]
+            cols += [pa.Array.from_buffers(pa.binary(), n, [None, places, data]), pa.ListArray.from_arrays(offsets, pa.array(r.rare, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(r.times, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(r.unseen, pa.float64()))]
+            uid += n
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
         for b in batches:
-            rows = []
-            for doc, key, train, t in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()), strict=True):
-                ids, at, rare = v.read(words_of(t.as_py()))
-                at = at[at >= 0]
-                log_c = float(v.log_c[at].sum()) + v.log_end
-                within = float(v.share_log[at].sum()) - float(v.tail_log[ids].sum())
-                unseen = [float(v.unseen_log[tail_of(w)]) for w in rare]
-                rows.append((uid, doc, key, train, len(ids), len(at) + v.end_known, log_c, within, ids.astype("<u2").tobytes(), list(rare), list(rare.values()), unseen))
-                uid += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            keys, texts, size = [], [], 0
+            for *key, t in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()), strict=True):
+                keys.append(key)
+                texts.append(t.as_py() or b"")
+                size += len(texts[-1])
+                if size > TOGETHER:
+                    yield done(keys, texts)
+                    keys, texts, size = [], [], 0
+            if texts:
+                yield done(keys, texts)
 
     return run
 

@@ -143,7 +143,7 @@ def test_learns_from_whole_texts(spark):
     packed = ("whole texts", b" ".join(words), np.array(list(words.values())), len(rows), *tail, 0.5)
     v = lm.Vocabulary(list(words), *packed[2:])
     got = lm.read(df, spark.sparkContext.broadcast(packed)).collect()
-    want = [v.read(lm.words_of(t and t.encode()))[0].tolist() for _, t in rows]
+    want = [v.read([(t or "").encode()]).tokens.tolist() for _, t in rows]
     assert sorted(np.frombuffer(r["tokens"], "<u2").tolist() for r in got) == sorted(want)
     assert len({r["key"] for r in got}) == len(set(rows))  # copies of a text are spread over tasks
 
@@ -162,7 +162,8 @@ def test_score_against_brute_force(spark, monkeypatch, table):
     words = lambda t: [*(t or "").encode().lower().split(), None]
     c = Counter(w for i, t in rows if not held(i) for w in words(t))
     ranked = sorted((w for w in c if w is not None), key=lambda w: (-c[w], w))
-    head, tail = set(ranked[:30]) & set(v.at), [w for w in ranked if w not in set(ranked[:30])]
+    place = {w: int(v.table.find(*lm.units.words([w])[4:])[0]) for w in c if w is not None}
+    head, tail = {w for w in ranked[:30] if place[w] >= 0}, [w for w in ranked if w not in set(ranked[:30])]
     once, twice = (sum(c[w] == k for w in ranked) for k in (1, 2))
     d = min(0.9, max(0.1, once / (once + 2 * twice)))
     n, types = Counter(), Counter()
@@ -174,7 +175,7 @@ def test_score_against_brute_force(spark, monkeypatch, table):
         tokens, share = [], 0.0
         for w in words(t):
             if w is None or w in head:
-                tokens.append(v.end if w is None else int(v.token[v.at[w]]))
+                tokens.append(v.end if w is None else int(v.token[place[w]]))
                 continue
             j = lm.tail_of(w)
             tokens.append(int(v.tails[j]))
@@ -214,3 +215,23 @@ def test_long_texts_in_small_pools(spark, monkeypatch):
     rows = [(i, " ".join(f"a{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 700, 5000])))) for i in range(30)]
     got = sorted(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), lm.held_out(F.col("doc_id"))).collect(), key=lambda r: r["doc_id"])
     assert [tuple(r)[:4] for r in got] == [w[:4] for w in base(rows)] and all(math.isfinite(r["score"]) for r in got)
+
+
+def test_reading_against_splitting():
+    rng = random.Random(12)
+    texts = [b"", b" \t\n", b"one", *(bytes(rng.choice(b"abC \x0b\n\xc3\xa9.") for _ in range(rng.randrange(80))) for _ in range(300))]
+    every = Counter(w for t in texts for w in lm.words_of(t))
+    some = sorted(every)[::2]
+    tail = np.zeros((2, lm.TAIL))
+    for w, k in every.items():
+        tail[:, lm.tail_of(w)] += k, 1
+    v = lm.Vocabulary(some, np.array([every[w] for w in some]), len(texts), *tail, 0.3, head=5)
+    r, at = v.read(texts), 0
+    for i, t in enumerate(texts):
+        words = lm.words_of(t)
+        own = r.tokens[at : r.ends[i] + 1]
+        assert own.tolist() == [int(v.token[some.index(w)]) if w in some else int(v.tails[lm.tail_of(w)]) for w in words] + [v.end]
+        rare = Counter(w for w in words if w not in some)
+        assert dict(zip(r.rare[r.offsets[i] : r.offsets[i + 1]], r.times[r.offsets[i] : r.offsets[i + 1]].tolist(), strict=True)) == rare
+        assert r.known[i] == sum(w in some for w in words) + 1 and r.log_c[i] == pytest.approx(sum(math.log10(every[w] + 1) for w in words if w in some) + math.log10(len(texts) + 1))
+        at = r.ends[i] + 1
