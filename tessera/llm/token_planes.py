@@ -32,6 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.units import Table, mixed
+
 #: Ids in a block.
 BLOCK = 1 << 16
 #: Units whose ids a Python worker remembers, and characters of a unit that is remembered.
@@ -65,46 +67,20 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
-class _Table:
-    """Ids of units by two 64-bit hashes, in arrays: open addresses, ids one after another. It is emptied when it is full."""
+class _Known(Table):
+    """Units met before with their ids, one after another; emptied when it is full."""
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.bits = (3 * (limit + GROUP) // 2).bit_length()  # a group has fewer units than characters, so a third stays free
-        self.forget()
+        super().__init__(limit + GROUP)  # a group has fewer units than characters
 
-    def forget(self) -> None:
-        n = 1 << self.bits
-        self.first, self.second, self.slot = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+    def clear(self) -> None:
+        super().clear()
         self.begin, self.ids = array("q", [0]), array("I")
 
     def __len__(self) -> int:
         return len(self.begin) - 1
 
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The slot of each unit, -1 where it is not there."""
-        out, left = np.full(len(a), -1, np.int32), np.arange(len(a))
-        i, mask = (a >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            k = self.first[i]
-            hit = (k == a) & (self.second[i] == b)
-            out[left[hit]] = self.slot[i[hit]]
-            on = np.flatnonzero(~hit & (k != 0))
-            left, i, a, b = left[on], (i[on] + 1) & mask, a[on], b[on]
-        return out
-
-    def add(self, a: np.ndarray, b: np.ndarray, slots: np.ndarray) -> None:
-        """Enter units that are distinct and not there."""
-        i, mask = (a >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(a):
-            free = np.flatnonzero(self.first[i] == 0)
-            self.slot[i[free]] = slots[free]  # of several that want a place the last gets it
-            won = free[self.slot[i[free]] == slots[free]]
-            self.first[i[won]], self.second[i[won]] = a[won], b[won]
-            rest = np.ones(len(a), bool)
-            rest[won] = False
-            a, b, slots, i = a[rest], b[rest], slots[rest], (i[rest] + 1) & mask
-
     def keep(self, coded: list[bytes]) -> np.ndarray:
         """Slots for the ids of new units."""
         at = len(self)
@@ -135,7 +111,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table = Tokenizer.from_str(definition), _Table(cache)
+        self.tokenizer, self.table = Tokenizer.from_str(definition), _Known(cache)
         j = json.loads(definition)
         pre, added = j.get("pre_tokenizer") or {}, j.get("added_tokens", [])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
@@ -254,13 +230,10 @@ class Encoder:
             sums[0] = 0
             np.cumsum((c + np.uint32(1)) * self.power[k][: len(c)], out=sums[1:])
             h = (sums[stop] - sums[start]) * self.inverse[k][start] + what.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(self._bases[1 - k])
-            hashes.append(h)
+            hashes.append(mixed(h, self._bases[1 - k]))
         a, b = hashes
-        a[a == 0] = 1
         if len(self.table) > self.table.limit:
-            self.table.forget()
+            self.table.clear()
         slots = self.table.find(a, b)
         new = np.flatnonzero(slots < 0)
         if len(new):
