@@ -8,7 +8,7 @@ repeats counted. Words are lower-cased and lose punctuation at their ends.
    counts lie in bit planes, one 64-bit word a place, so one more shingle is a few vector operations.
 2. Four blocks of sixteen bits index the items' fingerprints of a size. Within ``RADIUS`` = 15 bits some
    block differs in at most 3, and the table of that block names every item within 3 of each value; so all
-   fingerprints within the radius are found, and 4.3 % of unrelated pairs are looked at.
+   fingerprints within the radius are found, and 4.2 % of unrelated pairs are looked at.
 3. The exact weighted similarity decides. At 0.8 fingerprints differ in some 10 bits with a deviation of 3;
    tests measure how many similar windows lie within the radius.
 
@@ -364,7 +364,7 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
 
     Clean documents give no row, nor do null or empty texts or items; repeated documents or items match
     each; null keys are kept; texts are searched whole, however long; ties in similarity go to the first
-    window; empty tables give no rows; further columns are ignored.
+    window found; empty tables give no rows; further columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

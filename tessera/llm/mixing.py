@@ -10,12 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, n_words
+from tessera.operators.ordered import numbered, running_sums
 
-#: Source tables up to this many rows are broadcast; larger ones are joined by shuffle, where the
-#: adaptive skew join splits a hot source.
+#: Source tables up to this many rows are ordered in one task and broadcast; larger ones are sorted over all
+#: tasks and joined by shuffle, where the adaptive skew join splits a hot source.
 BROADCAST_SOURCES = 100_000
 
 
+def _ordered(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """Sources with their weights, the sums over all, and the sums over those of smaller size for their weight.
+
+    Up to ``BROADCAST_SOURCES`` rows windows over all of them do; beyond it the rows are sorted over all tasks.
+    """
+    order, ratio = F.col("source").asc_nulls_last(), (F.col("source_size") / F.col("w")).asc()
+    weight = lambda k: F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(k - 1, F.lit(len(weights))) + 1).cast("int")).cast("long").alias("w")
+    if sizes.count() > BROADCAST_SOURCES:
+        s = numbered(sizes, [order], "__k").select("source", "source_size", weight(F.col("__k")))
+        s = running_sums(numbered(s, [ratio, order], "__r"), [], "__r", ["source_size", "w"], exclusive=True, one_window=0)
+        s = s.withColumnsRenamed({"cum_source_size": "full_size", "cum_w": "full_w"}).drop("__r")
+        return s.crossJoin(F.broadcast(s.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))))  # one row
+    s = sizes.select("source", "source_size", weight(F.row_number().over(Window.orderBy(order))))
+    before = Window.orderBy(ratio, order).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = [F.sum(c).over(everything).alias(n) for c, n in (("source_size", "all_size"), ("w", "all_w"))]
+    return s.select("*", *whole, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("source_size", "full_size"), ("w", "full_w"))])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: float = 3.0) -> DataFrame:
     """One row per source (``source``, ``source_size``) with its ``target`` and ``rate``.
 
@@ -23,25 +43,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: fl
     words but at most ``max_rate`` times its own; the excess goes to the others by weight until none is
     above. That fixed point is ``min(max_rate * size, level * weight)``: with sources ordered by
     ``max_rate * size / weight``, the level is the first one that the next source does not fall short of.
-    Sources without words get target and rate 0. The windows are over one row per source.
+    Sources without words get target and rate 0; no sources give no rows.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.select("source", "source_size", w.cast("long").alias("w"))
-    by_ratio = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.select(
-        "*",
-        F.sum("source_size").over(everything).alias("all_size"),
-        F.sum("w").over(everything).alias("all_w"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full_size"),
-        F.coalesce(F.sum("w").over(before), F.lit(0)).alias("full_w"),
-    )
     level = (F.col("all_size").cast("double") - F.lit(max_rate) * F.col("full_size")) / (F.col("all_w") - F.col("full_w"))
-    s = s.withColumn("level", level)
+    s = checkpointed(_ordered(checkpointed(sizes.select("source", "source_size")), weights)).withColumn("level", level)
     holds = F.lit(max_rate) * F.col("source_size") >= F.col("level") * F.col("w")
-    s = s.withColumn("level", F.min(F.when(holds, F.struct(F.col("full_w"), F.col("level")))).over(everything)["level"])
+    best = s.agg(F.min(F.when(holds, F.struct(F.col("full_w"), F.col("level")))).alias("best"))
+    s = s.crossJoin(F.broadcast(best)).withColumn("level", F.col("best.level"))  # best is one row
     target = F.least(F.lit(max_rate) * F.col("source_size"), F.col("level") * F.col("w"))
     target = F.when(F.col("source_size") > 0, F.coalesce(target, F.lit(max_rate) * F.col("source_size"))).otherwise(F.lit(0.0))
     return s.select("source", "source_size", target.alias("target")).withColumn(

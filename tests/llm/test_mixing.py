@@ -20,7 +20,9 @@ def filled(sizes, weights=(5, 2, 1), cap=3):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 998, "d": 5, None: 7}, {"a": 0, "b": 10, "é": 3}, {"x": 4}, {"a": 0}])
-def test_targets(spark, sizes):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_targets(spark, monkeypatch, sizes, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
     assert got == pytest.approx(filled(sizes), rel=1e-9)
