@@ -129,20 +129,27 @@ _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int, seed: str) -> DataFrame:
     """replicate and auc: the AUC where every row counts as often as a Poisson quantile of a hash of replicate and id says.
 
-    A row carries all its multiplicities in one array. Rows are sorted over all tasks by score; a task adds up
-    its own part of every replicate's area, and the negatives of the tasks before are added for the rest.
+    Rows are sorted over all tasks by score; a task makes its rows' multiplicities, adds up its own part of every
+    replicate's area, and the negatives of the tasks before are added for the rest. Nothing is multiplied out.
     """
-    u = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), i.cast("string"), F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    below = F.array(*[F.lit(s) for s in _POISSON])
-    times = F.transform(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), u), lambda v: F.size(F.filter(below, lambda s: s <= v)).cast("byte"))
-    d = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), (F.col(y) == 1).alias("y"), (F.col(y) == 0).alias("n"), times.alias("m"))
-    d = d.repartitionByRange("x").sortWithinPartitions("x")
+    d = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double")))
+    d = d.select(F.col(x).cast("double").alias("x"), (F.col(y) == 1).alias("y"), (F.col(y) == 0).alias("n"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    d = d.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x").sortWithinPartitions("x")
 
     def run(batches):
+        from hashlib import md5
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
+        heads = [f"{seed}|{k}|".encode() for k in range(replicates)]
+
+        def times(ids: list[str]) -> np.ndarray:
+            """Multiplicities by row and replicate: the first six bytes of a hash as a share of one, under the distribution function."""
+            raw = b"".join(b"\0\0" + md5(h + i).digest()[:6] for i in map(str.encode, ids) for h in heads)
+            return np.searchsorted(_POISSON, np.frombuffer(raw, ">u8") / float(1 << 48), "right").reshape(len(ids), replicates).astype(np.float64)
+
         pos, neg, area = (np.zeros(replicates) for _ in range(3))
         score, here_pos, here_neg = None, np.zeros(replicates), np.zeros(replicates)
 
@@ -155,10 +162,11 @@ def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int,
             if not len(b):
                 continue
             v, one, zero = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            m = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(b), replicates).astype(np.float64)
-            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            p, n = np.add.reduceat(m * one[:, None], first, axis=0), np.add.reduceat(m * zero[:, None], first, axis=0)
-            for s, pp, nn in zip(v[first].tolist(), p, n, strict=True):
+            ids, first = b.column(3).to_pylist(), np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            sums = ((v[f], part) for f, g in zip(first.tolist(), [*first[1:].tolist(), len(v)], strict=True) for part in (slice(k, min(k + 1000, g)) for k in range(f, g, 1000)))
+            for s, part in sums:  # a thousand rows of equal score at most
+                m = times(ids[part])
+                pp, nn = one[part] @ m, zero[part] @ m
                 if s != score and score is not None:
                     close()
                     here_pos, here_neg = np.zeros(replicates), np.zeros(replicates)
