@@ -73,11 +73,11 @@ def _nuisance(spark, sf_dir):
     return C.nuisance(contracts.nuisance_rows(_base(spark, sf_dir), kind))
 
 
-@query("nuisance_auc", f"{_SCORES}, {_NAT} SELECT candidate, split, n_rows, n_420, n_444, auc AS auc_nat_raw, greatest(auc, 1 - auc) AS auc_nat_abs, round(a, 9) AS pred_mean_420, round(b, 9) AS pred_mean_444, round(a - b, 9) AS pred_gap_420_minus_444 FROM mn JOIN an USING (candidate, split)")
+@query("nuisance_auc", f"{_SCORES}, {_NAT} SELECT candidate, split, n_rows, n_420, n_444, auc AS auc_nat_raw, greatest(auc, 1 - auc) AS auc_nat_abs, round(a, 6) AS pred_mean_420, round(b, 6) AS pred_mean_444, round(a - b, 6) AS pred_gap_420_minus_444 FROM mn JOIN an USING (candidate, split)")
 def nuisance_auc(spark, sf_dir):
     """How far the scores of real rows tell the subsampling."""
     n = _nuisance(spark, sf_dir).withColumn("auc_nat_raw", F.round("auc_nat_raw", 9))
-    return n.select("candidate", "split", "n_rows", "n_420", "n_444", "auc_nat_raw", F.greatest("auc_nat_raw", 1 - F.col("auc_nat_raw")).alias("auc_nat_abs"), *[F.round(c, 9).alias(c) for c in ("pred_mean_420", "pred_mean_444", "pred_gap_420_minus_444")])
+    return n.select("candidate", "split", "n_rows", "n_420", "n_444", "auc_nat_raw", F.greatest("auc_nat_raw", 1 - F.col("auc_nat_raw")).alias("auc_nat_abs"), *[F.round(c, 6).alias(c) for c in ("pred_mean_420", "pred_mean_444", "pred_gap_420_minus_444")])
 
 
 @query(
