@@ -130,11 +130,12 @@ def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int,
     """replicate and auc: the AUC where every row counts as often as a Poisson quantile of a hash of replicate and id says.
 
     Rows are sorted over all tasks by score; a task makes its rows' multiplicities, adds up its own part of every
-    replicate's area, and the negatives of the tasks before are added for the rest. Nothing is multiplied out.
+    replicate's area, and the negatives of the tasks before are added for the rest. Rows of equal score may lie in
+    several tasks, so each also gives its first and last score's sums, by which ties over tasks are counted half.
     """
     d = df.filter(F.col(y).isNotNull() & finite(F.col(x).cast("double")))
     d = d.select(F.col(x).cast("double").alias("x"), (F.col(y) == 1).alias("y"), (F.col(y) == 0).alias("n"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
-    d = d.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x").sortWithinPartitions("x")
+    d = d.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", F.xxhash64("id")).sortWithinPartitions("x")
 
     def run(batches):
         from hashlib import md5
@@ -151,12 +152,13 @@ def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int,
             return np.searchsorted(_POISSON, np.frombuffer(raw, ">u8") / float(1 << 48), "right").reshape(len(ids), replicates).astype(np.float64)
 
         pos, neg, area = (np.zeros(replicates) for _ in range(3))
-        score, here_pos, here_neg = None, np.zeros(replicates), np.zeros(replicates)
+        score, here_pos, here_neg, ends = None, np.zeros(replicates), np.zeros(replicates), []
 
         def close():
             nonlocal pos, neg, area
             area = area + here_pos * (neg + here_neg / 2)
             pos, neg = pos + here_pos, neg + here_neg
+            ends[1:] = [(score, here_pos, here_neg)]  # the first score and the latest
 
         for b in batches:
             if not len(b):
@@ -173,14 +175,17 @@ def _replicate_aucs(df: DataFrame, y: str, x: str, id_col: str, replicates: int,
                 score, here_pos, here_neg = s, here_pos + pp, here_neg + nn
         if score is not None:
             close()
-            cols = [pa.array(np.arange(replicates), pa.int32()), pa.array(np.full(replicates, TaskContext.get().partitionId()), pa.int32()), *(pa.array(z) for z in (pos, neg, area))]
-            yield pa.RecordBatch.from_arrays(cols, names=["replicate", "part", "pos", "neg", "area"])
-
-    parts = checkpointed(d.mapInArrow(run, "replicate int, part int, pos double, neg double, area double"))
-    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
-    parts = parts.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    whole = parts.groupBy("replicate").agg(F.sum("area").alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return whole.filter("p > 0 AND n > 0").select("replicate", (F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
+            for edge, p, n, z in [(None, pos, neg, area), *((v, p, n, np.zeros(replicates)) for v, p, n in ends)]:
+                cols = [pa.array(np.arange(replicates), pa.int32()), pa.array(np.full(replicates, TaskContext.get().partitionId()), pa.int32()), pa.array([edge] * replicates, pa.float64()), *(pa.array(c) for c in (p, n, z))]
+                yield pa.RecordBatch.from_arrays(cols, names=["replicate", "part", "edge", "pos", "neg", "area"])
+
+    parts = checkpointed(d.mapInArrow(run, "replicate int, part int, edge double, pos double, neg double, area double"))
+    below = lambda *keys: F.coalesce(F.sum("neg").over(Window.partitionBy("replicate", *keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # noqa: E731  a row per task
+    whole = parts.filter("edge IS NULL").withColumn("area", F.col("area") + F.col("pos") * below())
+    whole = whole.groupBy("replicate").agg(F.sum("area").alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ties = parts.filter("edge IS NOT NULL").withColumn("counted", F.col("pos") * (below("edge") + F.col("neg") / 2))
+    ties = ties.groupBy("replicate", "edge").agg((F.sum("pos") * F.sum("neg") / 2 - F.sum("counted")).alias("t")).groupBy("replicate").agg(F.sum("t").alias("t"))
+    return whole.join(ties, "replicate").filter("p > 0 AND n > 0").select("replicate", ((F.col("a") + F.col("t")) / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def bootstrap_auc(df: DataFrame, y: str, x: str, id_col: str, replicates: int = 300, seed: str = "boot") -> DataFrame:
